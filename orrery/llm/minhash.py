@@ -158,6 +158,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _resolve(rows, sets, classes, groups, words, percent, block, id_col)
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs less the rows that near_duplicates doesn't keep; rows of a null id stay. Of rows that share an id, that
+    of the smallest text stays, as they are one document."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = materialize(found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct(), "dropped")
+    again = materialize(docs.groupBy(F.col(id_col).cast("long").alias("_again")).count().filter("count > 1 and _again is not null").select("_again"), "repeated")
+    rows = docs.select(F.struct("*").alias("_row"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    once = rows.join(again, F.col("_id") == F.col("_again"), "left_anti").select("_row")
+    rest = rows.join(again, F.col("_id") == F.col("_again"), "left_semi").groupBy("_id").agg(F.min_by("_row", F.struct("_text")).alias("_row")).select("_row")
+    return once.unionByName(rest).select("_row.*")
+
+
 def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, block: int, id_col: str) -> DataFrame:
     size = groups.groupBy("component").agg(F.count("*").alias("size"))
     placed = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))

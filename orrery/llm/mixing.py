@@ -47,15 +47,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float = 1.
     return rows.select("source", "source_size", "target")
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = (5, 2, 1),
-    share: float = 1.0,
-    most: int = 3,
-) -> DataFrame:
+def _prefix(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(docs[id_col], docs[text_col]), 64 - sum(LEVELS))
+
+
+def thresholds(rows: DataFrame, weights: Sequence[float], share: float = 1.0, most: int = 3) -> DataFrame:
+    """(of, source_size, target, passes, threshold), a row for each source, from rows (source, size, prefix)."""
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    passes = F.least(F.floor(F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))), F.lit(most)).cast("long")
+    rest = F.col("target") - F.col("passes") * F.col("source_size")
+    found = targets.withColumn("passes", passes).withColumn("rest", rest).withColumn("at", F.lit(0).cast("long")).withColumn("final", F.lit(False))
+    found = materialize(found, "mix-targets")
+    deep = 0
+    for bits in LEVELS:
+        deep += bits
+        found = materialize(_refine(rows, found, deep, bits), f"mix-level-{deep}")
+    return found.select(F.col("source").alias("of"), "source_size", "target", "passes", F.col("at").alias("threshold"))
+
+
+def _copies(prefix: Column, most: int) -> Column:
+    return F.least(F.col("passes") + (prefix < F.col("threshold")).cast("long"), F.lit(most).cast("long"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), _prefix(docs, id_col, text_col).alias("prefix"))
+    return materialize(rows, "mix-sizes")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken) of every row of docs.
 
     size: words of the text (null: 0). copies: how often the mix takes the document, 0 to `most`; taken = size *
@@ -63,25 +82,21 @@ def mix(
     id and text, which go together) of the target. Reruns agree, as the hash is of id and text alone. Sources of no
     words, and empty tables, get targets of 0. A source that holds most rows is summed before any shuffle.
     """
-    h = F.xxhash64(docs[id_col], docs[text_col])
-    rows = docs.select(
-        docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), F.shiftrightunsigned(h, 64 - sum(LEVELS)).alias("prefix")
-    )
-    rows = materialize(rows, "mix-sizes")
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    passes = F.least(F.floor(F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))), F.lit(most))
-    found = targets.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("at", F.lit(0).cast("long")).withColumn("final", F.lit(False))
-    found = materialize(found, "mix-targets")  # a row for each source
-    deep = 0
-    for bits in LEVELS:
-        deep += bits
-        found = materialize(_refine(rows, found, deep, bits), f"mix-level-{deep}")
-    bounds = found.select("source", "source_size", "target", "passes", F.col("at").alias("threshold"))
-    out = rows.join(bounds.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    copies = F.least(F.col("passes") + (F.col("prefix") < F.col("threshold")).cast("long"), F.lit(most).cast("long"))
+    rows = _sized(docs, id_col, text_col, source_col)
+    out = rows.join(thresholds(rows, weights, share, most), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    copies = _copies(F.col("prefix"), most)
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
+    """The mix itself: rows of docs as often as mix() takes them, with their columns. Only the thresholds, a row for
+    each source, meet the documents, so no text is shuffled where they are few."""
+    bounds = thresholds(_sized(docs, id_col, text_col, source_col), weights, share, most)
+    rows = docs.select(F.struct("*").alias("_row"), docs[source_col].alias("_source"), _prefix(docs, id_col, text_col).alias("_prefix"))
+    rows = rows.join(bounds, F.col("_source").eqNullSafe(F.col("of")), "left").withColumn("_copies", _copies(F.col("_prefix"), most)).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+
+
 def _refine(rows: DataFrame, found: DataFrame, deep: int, bits: int) -> DataFrame:
     """From boundary buckets `at` of deep - bits bits to those of deep bits; at the last level to the nearest threshold."""
     total = sum(LEVELS)
