@@ -67,10 +67,6 @@ def suffix_of(key: np.ndarray) -> np.ndarray:
     return (key & mask) | (n.astype(np.uint64) << np.uint64(56))
 
 
-def first_of(key: np.ndarray) -> np.ndarray:
-    return ((key & _BODY) >> (8 * (length_of(key) - 1)).astype(np.uint64)).astype(np.uint8)
-
-
 def sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their weights."""
     if not len(key):
