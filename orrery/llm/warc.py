@@ -7,6 +7,7 @@ the digest carried along, so that no Python task ever holds a whole record, howe
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import filesystem, materialize, shared_dir
 
 CHUNK = 1 << 18
+#: Of gzip.
+LEVEL = 4
 #: Smaller payloads are written again rather than referred to.
 LEAST_REVISIT = 100
 ARCHIVES = "path string, n_records long, n_bytes long"
@@ -36,11 +39,14 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
     rows = pages.select(pages[id_col].cast("long").alias("record_id"), pages[url_col].alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    large = rows.filter((F.col("payload_bytes") >= least) & F.col("record_id").isNotNull())
-    first = large.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("record_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
-    again = F.coalesce(F.col("record_id") > F.col("first"), F.lit(False))
-    joined = joined.select("record_id", "url", "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), again.alias("again"), F.when(again, F.col("first")).alias("refers_to"))
+    large = rows.filter((F.col("payload_bytes") >= least) & F.col("record_id").isNotNull()).select(F.col("record_id").alias("id"), F.col("payload_digest").alias("of"))
+    first = large.groupBy(F.col("of").alias("digest")).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    revisits = large.join(first, F.col("of") == F.col("digest")).filter("id > first").select("id", "digest", "first").distinct()
+    revisits = materialize(revisits, "revisits")
+    # an id that repeats may have several payloads, so the digest is part of the key
+    joined = rows.join(revisits, (F.col("record_id") == F.col("id")) & (F.col("payload_digest") == F.col("digest")), "left")
+    again = F.col("first").isNotNull()
+    joined = joined.select("record_id", "url", "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), again.alias("again"), F.col("first").alias("refers_to"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / F.lit(chunk))).cast("int")
     joined = joined.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
     return joined.select(
@@ -68,7 +74,7 @@ def _record_id(urn: str) -> int | None:
 def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write one archive a partition of chunks (rows of a record must follow each other in order); returns ARCHIVES.
 
-    A block is HTTP headers and the payload. A response's digest is computed over the chunks as they pass and must
+    An archive is a gzip member for each record, as readers of WARC expect. A block is HTTP headers and the payload. A response's digest is computed over the chunks as they pass and must
     be the one that its header, written before them, names. A lost task writes a file of a new name, and only names
     that finished tasks returned are in the result, which is kept in files itself. An empty table has no archive.
     """
@@ -76,21 +82,21 @@ def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
-        name, sink, n, digest = f"{TaskContext.get().partitionId():06d}-{uuid4().hex}.warc", None, 0, None
+        name, sink, n, digest = f"{TaskContext.get().partitionId():06d}-{uuid4().hex}.warc.gz", None, 0, None
         try:
             for batch in batches:
                 for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                     if sink is None:
                         fs.create_dir(base, recursive=True)
-                        sink = fs.open_output_stream(f"{base}/{name}")
+                        sink = fs.open_output_stream(f"{base}/{name}", compression=None)
                     if row["chunk_no"] == 0:
-                        sink.write(_head(row, date))
-                        digest = hashlib.sha256()
+                        packer, digest = zlib.compressobj(LEVEL, wbits=31), hashlib.sha256()
+                        sink.write(packer.compress(_head(row, date)))
                         n += 1
-                    sink.write(row["data"])
+                    sink.write(packer.compress(row["data"]))
                     digest.update(row["data"])
                     if row["chunk_no"] == row["n_chunks"] - 1:
-                        sink.write(b"\r\n\r\n")
+                        sink.write(packer.compress(b"\r\n\r\n") + packer.flush())
                         if row["record_type"] == "response" and digest.hexdigest() != row["payload_digest"]:
                             raise ValueError(f"chunks of record {row['record_id']} don't give its digest")
         finally:
@@ -135,8 +141,8 @@ def _read(path: str, chunk: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("data", pa.binary())])
     rows: list[dict] = []
     held = 0
-    with fs.open_input_stream(name, buffer_size=1 << 20) as raw:
-        lines = _Lines(raw)
+    with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw:
+        lines = _Lines(_Members(raw))
         while (version := lines.line()) is not None:
             if version != b"WARC/1.1":
                 raise ValueError(f"no record at {version[:40]!r} in {path}")
@@ -166,6 +172,25 @@ def _read(path: str, chunk: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+class _Members:
+    """What the gzip members of a stream hold, at most n bytes a read."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.raw, self.unpacker = stream, b"", zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.unpacker.eof:
+                self.raw, self.unpacker = self.unpacker.unused_data, zlib.decompressobj(31)
+            if not self.raw:
+                self.raw = self.stream.read(1 << 16)
+            out = self.unpacker.decompress(self.raw, n)
+            ended = not self.raw
+            self.raw = b"" if self.unpacker.eof else self.unpacker.unconsumed_tail
+            if out or ended:
+                return out
+
+
 class _Lines:
     """Lines and runs of bytes from a stream."""
 
@@ -195,12 +220,12 @@ class _Lines:
         return out
 
     def read(self, n: int) -> bytes:
-        out = self.buffer[:n]
-        self.buffer = self.buffer[len(out) :]
-        if len(out) < n:
-            rest = self.stream.read(n - len(out))
-            if len(out) + len(rest) < n:
+        parts, have = [self.buffer[:n]], min(n, len(self.buffer))
+        self.buffer = self.buffer[have:]
+        while have < n:
+            parts.append(self.stream.read(n - have))
+            have += len(parts[-1])
+            if not parts[-1]:
                 raise ValueError("the archive ends in a record")
-            out += rest
         self.taken += n
-        return out
+        return b"".join(parts)
