@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions import rules
+from orrery.functions import classify, rules
 from orrery.functions.text import half_up
 from orrery.operators.mass import known
 
@@ -69,6 +69,12 @@ def split_row_table(by_label: DataFrame, audit: DataFrame, label: str, actual: s
     return plain.unionByName(two)
 
 
+def family_total(rows: DataFrame, family: str) -> DataFrame:
+    """One row (total_kg, payload_count) of the rows of a vehicle family, the name compared without case."""
+    own = classify.equals(F.col("lv_family"), family)
+    return rows.agg(half_up(F.coalesce(F.sum(F.when(own, known(F.col("mass_kg")))), F.lit(0))).alias("total_kg"), F.count_if(own).alias("payload_count"))
+
+
 VERDICTS = {"none": "NO DATA", "left": "LEFT_ONLY", "right": "RIGHT_ONLY", "match": "MATCH", "close": "CLOSE", "lower": "LOWER", "higher": "HIGHER"}
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import classify, rules
 from orrery.functions.text import half_up_at
 
 
@@ -42,6 +45,20 @@ def top_group_cdf(rows: DataFrame, group: Column, value: Column, k: int = 7, poi
     return sampled_cdf(kept, F.col("grp"), F.col("m"), points)
 
 
+def segmented_cdf(objects: DataFrame, by: str = "all", classes: Sequence[str] = ("P", "R", "D", "C"), labels: Mapping[str, str] = rules.CLASS_LABELS, k: int = 7, points: int = 250) -> DataFrame:
+    """sampled_cdf of masses by a segmentation: all, type (classes of more than 20 rows, by label), nation or site
+    (the k largest)."""
+    value = F.col("mass_kg").cast("double")
+    if by == "all":
+        return sampled_cdf(objects, F.lit("all"), value, points)
+    if by == "type":
+        label = classify.labelled(F.col("object_class"), labels)
+        return sampled_cdf(objects.filter(F.col("object_class").isin(*classes)), label, value, points, least_rows=20)
+    if by in ("nation", "site"):
+        return top_group_cdf(objects, F.col("state" if by == "nation" else "site"), value, k, points)
+    raise ValueError(f"no segmentation {by!r}: all, type, nation or site")
+
+
 def common_grid(series: DataFrame) -> DataFrame:
     """(grp, log_m, f): all series at all log10 masses (two decimals) of any of them, each as a step function.
 

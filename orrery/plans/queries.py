@@ -338,6 +338,14 @@ def cdf_common_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdf.common_grid(cdf.sampled_cdf(objects(spark, sf_dir), F.col("object_class"), _price()))
 
 
+_TYPE = "CASE object_class WHEN 'N' THEN 'Payload' ELSE object_class END"
+
+
+@_query(f"{WITH}, {_cdf(f"SELECT {_TYPE} AS grp, mass_kg::DOUBLE AS m FROM objects WHERE object_class IN ('N', 'R')", least=20)} SELECT * FROM c")
+def cdf_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdf.segmented_cdf(objects(spark, sf_dir), "type", ("N", "R"), {"N": "Payload"})
+
+
 # ---- joins, audits, reconciliation ----------------------------------------------------------------------------
 @_query(f"{WITH}, few AS (SELECT * FROM launches WHERE orbital) SELECT o.jcat, o.launch_tag, o.quantity, f.lv, f.lv_family, f.site FROM objects o LEFT JOIN few f ON o.launch_tag = f.launch_tag")
 def enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,6 +369,11 @@ def audit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.split(_family(spark, sf_dir), F.col("pl_name"), audit.orbiters(spark, MEMBERS))
 
 
+@_query(f"{WITH} SELECT {_R.format('sum(coalesce(mass_kg, 0))')} AS total_kg, count(*) AS payload_count FROM objects WHERE object_class = 'N' AND lower(lv_family) = 'building'")
+def family_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.family_total(_payloads(spark, sf_dir, "launch"), "building")
+
+
 @_query(f"""{_AUDIT}, k AS (SELECT member, count(*) AS n, sum(mass) AS mass FROM t GROUP BY 1)
 SELECT ord, m.member, name, published_dry_kg, coalesce(n, 0) AS flights, {_R.format('coalesce(mass, 0)')} AS mass_kg, coalesce(n, 0) * published_dry_kg AS theorized_dry_total_kg FROM m LEFT JOIN k ON m.member = k.member""")
 def audit_per_member(spark: SparkSession, sf_dir: str) -> DataFrame:
