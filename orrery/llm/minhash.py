@@ -26,6 +26,8 @@ WORDS = 5
 BANDS, HASHES = 12, 4
 #: Documents of a group that meet in one task; larger groups are cut into blocks of so many, and blocks meet in pairs.
 BLOCK = 512
+#: Candidates that are broadcast to the documents (some 30 bytes each); with more, both sides are shuffled by id.
+BROADCAST_ROWS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,8 +175,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, block: int, id_col: str) -> DataFrame:
     size = groups.groupBy("component").agg(F.count("*").alias("size"))
     placed = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    small_bins = partitions(groups, groups.count(), 2 * block)
-    held = rows.join(placed, "id").select("id", "text", "component", "blocks")
+    n = groups.count()
+    small_bins = partitions(groups, n, 2 * block)
+    held = rows.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "id").select("id", "text", "component", "blocks")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
