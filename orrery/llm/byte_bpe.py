@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orrery.llm.common import segments, slices
+from orrery.llm.common import enter, memory_of, segments, slices
 
-#: Segments whose ids a Python worker keeps; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Segments and pieces whose ids a Python worker keeps; beyond it the memory starts anew.
+REMEMBERED = 700_000
 
 
 class RankQueue:
@@ -73,8 +73,8 @@ class Codec:
             self.words[rank] = word
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.words))
-        self.known: dict[str, bytes] = {}  # by segment
-        self.pieces: dict[str, bytes] = {}  # by match of the pattern
+        # by segment, and by match of the pattern in one: a match on its own is matched whole, so both agree
+        self.known: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -117,21 +117,20 @@ class Codec:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
-        pieces = self.pieces
-        if len(known) > REMEMBERED or len(pieces) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            pieces.clear()
         own: dict[str, bytes] = {}
         for part in parts:
             if part not in known and part not in own:
                 ids = []
                 for piece in self.split(part):
-                    if (x := pieces.get(piece)) is None:
+                    if (x := known.get(piece)) is None:
                         x = array("i", self.merge(piece.encode())).tobytes()
                         if len(piece) <= 200:
-                            pieces[piece] = x
+                            known[piece] = x
                     ids.append(x)
-                (own if len(part) > 200 else known)[part] = b"".join(ids)
+                if part not in known:
+                    (own if len(part) > 200 else known)[part] = b"".join(ids)
         return b"".join([known[p] if p in known else own[p] for p in parts])
 
     def decode(self, ids: list[int]) -> bytes:
@@ -139,6 +138,7 @@ class Codec:
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+memory_of("byte_bpe", _CODECS.clear)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -173,6 +173,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     source = df.select(*[df[c] for c in keep], df[text_col].alias("_bpe_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("byte_bpe")
         own = codec(path, pattern)
         for batch in slices(batches, 512):
             ids = [own.encode(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
@@ -191,6 +192,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded
     source = df.select(*[df[c] for c in keep], df[ids_col].alias("_bpe_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("byte_bpe")
         own = codec(path, pattern)
         for batch in slices(batches, 512):
             out = pa.array([own.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,21 @@ def partitions(df: DataFrame, rows: int, each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+#: What Python workers remember between tasks, by operator: how to forget it.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def memory_of(operator: str, forget: Callable[[], None]) -> None:
+    _MEMORIES[operator] = forget
+
+
+def enter(operator: str) -> None:
+    """A task of an operator begins: the worker, which Spark uses again, forgets what other operators remember."""
+    for name, forget in _MEMORIES.items():
+        if name != operator:
+            forget()
+
+
 _SEGMENT = re.compile(r"\s*\S+|\s+")
 #: White space to Python's \s but not to the tokenizers' patterns.
 _ODD = re.compile(r"[\x1c-\x1f]")

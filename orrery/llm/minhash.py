@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize, partitions, slices
+from orrery.llm.common import enter, materialize, memory_of, partitions, slices
 from orrery.llm.components import components, roots
 
 WORDS = 5
@@ -34,7 +34,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
@@ -44,6 +44,9 @@ def _hashes() -> _Hashes:
     return _Hashes()
 
 
+memory_of("minhash", _hashes.cache_clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -81,6 +84,7 @@ def signatures(docs: DataFrame, words: int, n_bands: int, hashes: int) -> DataFr
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("minhash")
         for batch in slices(batches, 512):
             sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -180,6 +184,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     held = rows.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "id").select("id", "text", "component", "blocks")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("minhash")
         for batch in slices(batches, 256):
             own = pa.array([shingles(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), own], names=["id", "component", "blocks", "members"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import slices
+from orrery.llm.common import enter, slices
 from orrery.llm.pii_labels import LABELLED
 
 KINDS = ("email", "ip", "card", "phone")
@@ -301,6 +301,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             base = [base_spans(x) for x in texts]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import filesystem, materialize, partitions, segments, shared_dir, slices
+from orrery.llm.common import enter, filesystem, materialize, memory_of, partitions, segments, shared_dir, slices
 
 #: Segments whose ids a Python worker keeps; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
@@ -50,6 +50,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+memory_of("token_files", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -109,6 +110,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = N
     n = partitions(plain, plain.count(), docs_a_shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_files")
         own, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
         fs, base = filesystem(folder)
         name, first = f"{base}/{shard:08d}-{uuid4().hex}", next(batches, None)
