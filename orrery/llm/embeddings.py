@@ -53,11 +53,11 @@ def _widths(dim: int, cosine: float, blocks: int) -> np.ndarray:
 
 
 def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """(dim, block, slab, home, id, raw, turned): each vector once at home, and in the slabs that its radius reaches."""
+    """(dim, block, slab, home, id, copies, raw, turned): each vector once at home, and in the slabs that its radius reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, raw, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             dims = np.array([len(x) // 4 for x in raw], int)
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
@@ -73,11 +73,11 @@ def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
                         n = len(at)
                         if n:
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab_of[at].astype(np.int32)), pa.array(np.full(n, is_home)), pa.array(ids[own[at]]), pa.array([raw[own[i]] for i in at], pa.binary()), pa.array([packed[i] for i in at], pa.binary())],
-                                names=["dim", "block", "slab", "home", "id", "raw", "turned"],
+                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab_of[at].astype(np.int32)), pa.array(np.full(n, is_home)), pa.array(ids[own[at]]), pa.array(copies[own[at]]), pa.array([raw[own[i]] for i in at], pa.binary()), pa.array([packed[i] for i in at], pa.binary())],
+                                names=["dim", "block", "slab", "home", "id", "copies", "raw", "turned"],
                             )
 
-    return table.mapInArrow(run, "dim int, block int, slab int, home boolean, id long, raw binary, turned binary")
+    return table.mapInArrow(run, "dim int, block int, slab int, home boolean, id long, copies long, raw binary, turned binary")
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(chunk))).cast("int")
     sizes = sizes.filter("n_home > 0 and n_visit > 0").select("dim", "block", "slab", cut("n_home").alias("homes"), cut("n_visit").alias("visits"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    dealt = cells.join(sizes, ["dim", "block", "slab"]).join(packed.select("id", "copies"), "id")
+    dealt = cells.join(sizes, ["dim", "block", "slab"])
     dealt = dealt.withColumn("i", F.when(F.col("home"), part("homes"))).withColumn("j", F.when(~F.col("home"), part("visits")))
     dealt = dealt.withColumn("k", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("visits") - 1)).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))))
     dealt = dealt.withColumn("i", F.coalesce("i", "k")).withColumn("j", F.coalesce("j", "k")).select("dim", "block", "slab", "i", "j", "home", "id", "raw", "turned", "copies")
