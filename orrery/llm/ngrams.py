@@ -13,6 +13,8 @@ import numpy as np
 
 #: The mark before and behind a word: white space, so that no word has it.
 EDGE = 0x20
+#: Marks before and behind a text: bytes that UTF-8 never has.
+START, END = b"\xff", b"\xfe"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,6 +50,12 @@ def keys(data: np.ndarray, places: np.ndarray, length: np.ndarray | int) -> np.n
     return out | (length.astype(np.uint64) << np.uint64(56))
 
 
+def windows(data: bytes, length: int) -> np.ndarray:
+    """Keys of the n-grams of `length` bytes (7 at most) that begin at each byte, as far as they fit."""
+    whole = np.ndarray((max(len(data) - length + 1, 0),), ">u8", data + bytes(8), strides=(1,))
+    return (whole.astype(np.uint64) >> np.uint64(64 - 8 * length)) | np.uint64(length << 56)
+
+
 def length_of(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(56)).astype(np.int64)
 

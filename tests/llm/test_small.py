@@ -297,6 +297,51 @@ def test_noise_is_outside_the_band(spark):
     assert not got[100] and all(got[i] for i, *_ in clean)
 
 
+def plain_kneser_ney(texts, order):
+    """Modified Kneser-Ney by position, in dictionaries: a function from a full n-gram to its probability."""
+    levels = {k: {} for k in range(1, order + 1)}
+    for t in texts:
+        data = b"\xff" * (order - 1) + t.lower() + b"\xfe"
+        for at in range(len(data) - order + 1):
+            levels[order][data[at : at + order]] = levels[order].get(data[at : at + order], 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    d, under = {}, {}
+    for k, level in levels.items():
+        f = [0] + [sum(n == i for n in level.values()) for i in (1, 2, 3, 4)]
+        y = f[1] / (f[1] + 2 * f[2]) if f[1] else 0
+        d[k] = [0] + ([min(max(i - (i + 1) * y * f[i + 1] / f[i], 0.05), i - 0.05) for i in (1, 2, 3)] if all(f[1:]) else [0.5, 1.0, 1.5])
+        for g, n in level.items():
+            under.setdefault(g[:-1], []).append(n)
+
+    def p(g):
+        k, n = len(g), levels[len(g)].get(g, 0)
+        own = under[g[:-1]]
+        left = sum(d[k][min(c, 3)] for c in own) / sum(own)
+        return max(n - d[k][min(n, 3)], 0) / sum(own) + left * (p(g[1:]) if k > 1 else 1 / 256)
+
+    return levels, p
+
+
+def test_no_ngram_is_cut(spark):
+    """Counts and discounts are those of all n-grams, however many others there are; rare ones are joined exactly."""
+    rows = [(i, "the one common text of them all " * 40, "en") for i in range(400)] + [(1000 + i, prose(60, 70 + i), "en" if i % 2 else None) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = quality.event_scores(table)
+    got = {held: {r.doc_id: r.log_ppl for r in quality.measure(table, scores, keep=["doc_id"], most=held).collect()} for held in (0, 40, quality.HELD)}
+    assert got[0] == got[40] == got[quality.HELD]
+    for lang in ("en", None):
+        texts = {i: t.encode() for i, t, of in rows if of == lang}
+        levels, p = plain_kneser_ney(texts.values(), quality.ORDER)
+        models = quality.fit_models(table.filter(F.col("lang").eqNullSafe(F.lit(lang))))
+        assert [len(g) for g, _ in models[lang].grams] == [len(levels[k]) for k in range(1, quality.ORDER + 1)]
+        for i in [i for i in texts if i >= 1000][:5]:
+            data = b"\xff" * 4 + texts[i] + b"\xfe"
+            want = -sum(np.log10(p(data[at : at + 5])) for at in range(len(data) - 4)) / (len(texts[i]) + 1)
+            assert abs(got[0][i] - want) < 1e-6
+
+
 # ---- near duplicates
 def brute_components(sets, percent):
     up = {i: i for i in sets}
