@@ -342,6 +342,22 @@ def test_no_ngram_is_cut(spark):
             assert abs(got[0][i] - want) < 1e-6
 
 
+def test_band_with_a_copy_group(spark):
+    """Copies of one text are two thirds of their language's rows; the others stay."""
+    clean = [(i, prose(200, 3000 + i), "en") for i in range(60)]
+    copies = [(100 + i, prose(200, 1), "en") for i in range(120)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + copies, "doc_id long, text string, lang string"), keep=["doc_id"]).collect()}
+    assert all(got[i] for i, *_ in clean)
+
+
+def test_band_with_a_third_of_noise(spark):
+    own = random.Random(6)
+    clean = [(i, prose(400, 4000 + i), "en") for i in range(60)]
+    noise = [(100 + i, " ".join("".join(own.choice("qwxzkj#%0789&!?") for _ in range(own.randint(3, 12))) for _ in range(80)), "en") for i in range(30)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + noise, "doc_id long, text string, lang string"), keep=["doc_id"]).collect()}
+    assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in noise)
+
+
 # ---- near duplicates
 def brute_components(sets, percent):
     up = {i: i for i in sets}
