@@ -342,6 +342,18 @@ def test_no_ngram_is_cut(spark):
             assert abs(got[0][i] - want) < 1e-6
 
 
+def test_order_and_white_space_count(spark):
+    own = random.Random(4)
+    clean = [prose(200, 2000 + i) for i in range(5)] + ["to be or not to be that is the question here " * 20] * 40
+    words_of_last = clean[-1].split()
+    own.shuffle(words_of_last)
+    texts = [*clean, " ".join(words_of_last), clean[-1].replace(" ", "\n")]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_ppl for r in quality.measure(table, quality.event_scores(table), keep=["doc_id"]).collect()}
+    plain, shuffled, lines = got[len(clean) - 1], got[len(clean)], got[len(clean) + 1]
+    assert shuffled > plain and lines > plain
+
+
 def test_band_with_a_copy_group(spark):
     """Copies of one text are two thirds of their language's rows; the others stay."""
     clean = [(i, prose(200, 3000 + i), "en") for i in range(60)]
