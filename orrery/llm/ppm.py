@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 
 from orrery.llm import ngrams
 from orrery.llm.common import enter, materialize, partitions, slices
+from orrery.llm.quality import HELD, UNIT, held_scores
 
 ORDER = 5
-#: n-grams of a smaller share of all events are left to shorter contexts, so that the trie that is broadcast has
-#: 2 ** 21 of each length at most, whatever the corpus.
-LEAST_SHARE = 2.0**-21
 #: The end of a text as a word: a byte that no word has. Its mark behind isn't scored.
 END = b"\n"
 
@@ -40,7 +38,8 @@ class Trie(NamedTuple):
 
 def build_trie(key: np.ndarray, n: np.ndarray, order: int = ORDER, least: float = 0.0) -> Trie:
     """key, n: the n-grams of order + 1 bytes (or as many as the word's start leaves) at all events. Shorter n-grams
-    are sums over the bytes before them, so a byte seen in a context was seen in every shorter one."""
+    are sums over the bytes before them, so a byte seen in a context was seen in every shorter one. For small tables and
+    to look at; score() takes the same numbers from Spark's tables."""
     grams, contexts = [], []
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rest = key.view(np.uint64), n.astype(float)
@@ -123,36 +122,116 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _event_keys(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the longest n-grams at all events of the words, and how many each word has. The end mark is one event
+    after the mark before a word, without one behind it."""
+    data, places, owner = ngrams.flatten([b"" if w == END else w for w in words])
+    key = ngrams.keys(data, places, np.minimum(ngrams.depths(data, places) + 1, order + 1))
+    ends = np.array([w == END for w in words], bool)
+    key[ends[owner]] = ngrams.keys(np.frombuffer(b" " + END, np.uint8), np.array([1]), 2)[0]
+    return key, np.bincount(owner, minlength=len(words))
+
+
 def _gram_counts(words: DataFrame, order: int) -> DataFrame:
+    """(gram, n) at all events of a table (word, n); those of words that don't train have 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            key, sums = ngrams.counted([(w, c) for w, c in zip(names, n, strict=True) if w != END], order + 1)
-            end = [c for w, c in zip(names, n, strict=True) if w == END]
-            if end:  # the end mark after the mark before a word, without one behind it
-                data = np.frombuffer(b" " + END, np.uint8)
-                key, sums = np.append(key, ngrams.keys(data, np.array([1]), 2)), np.append(sums, end[0])
+            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            key, events = _event_keys(names, order)
+            key, sums = ngrams.sums(key, np.repeat(n, events))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sums.astype(np.int64))], names=["gram", "n"])
 
-    return words.filter("n > 0").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
 
+def _context(gram: Column) -> Column:
+    body = F.shiftright(gram.bitwiseAND(F.lit((1 << 56) - 1)), 8)
+    return body.bitwiseOR(F.shiftleft(F.shiftrightunsigned(gram, 56) - 1, 56))
 
-def fit_trie(words: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Trie:
-    """The trie of a table (word, n). The driver gets n-grams of at least least_share of all events, so 1 / least_share
-    rows at most; the rest is summed by the n-gram one byte shorter, and so on, by Spark."""
-    counts = materialize(_gram_counts(words, order), "grams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least, kept, level = total * least_share, [], counts
+
+def _last(gram: Column, k: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << (8 * k)) - 1)).bitwiseOR(F.lit(k << 56))
+
+
+def event_scores(words: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, score): log10 probability, in whole UNITs, of every event of a table (word, n), by all n-grams of its
+    training words. An event that training saw is found in its longest context; others ask all contexts."""
+    events = materialize(_gram_counts(words, order), "events")
+    length = F.shiftrightunsigned("gram", 56)
+    trained = events.filter("n > 0")
+    level, levels = trained.filter(length == order + 1), []
     for k in range(order + 1, 0, -1):
-        # rare n-grams hand their counts down, so that shorter contexts lack nothing
-        body = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)).bitwiseOR(F.lit((k - 1) << 56))
-        own = F.shiftrightunsigned("gram", 56) == k
-        kept.append(level.filter(own & (F.col("n") >= least)).toArrow())
+        levels.append(level)
         if k > 1:
-            down = level.filter(own & (F.col("n") < least)).select(body.alias("gram"), "n")
-            level = materialize(level.filter(~own).unionByName(down).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    table = pa.concat_tables(kept)
-    return build_trie(table["gram"].to_numpy(), table["n"].to_numpy(), order)
+            up = level.select(_last(F.col("gram"), k - 1).alias("gram"), "n").unionByName(trained.filter(length == k - 1))
+            level = up.groupBy("gram").agg(F.sum("n").alias("n"))
+    whole = levels[0]
+    for level in levels[1:]:
+        whole = whole.unionByName(level)
+    whole = materialize(whole, "grams")
+    suffix = F.lit(None).cast("long")
+    for k in range(2, order + 2):
+        suffix = F.when(length == k, _last(F.col("gram"), k - 1)).otherwise(suffix)
+    lower = whole.select(F.col("gram").alias("suffix"), F.col("n").alias("lower"))
+    own = whole.withColumn("suffix", suffix).join(lower, "suffix", "left")
+    contexts = own.groupBy(_context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("lower"), F.lit(0)).alias("shared"))
+    contexts = materialize(contexts, "contexts")
+
+    asked = events.filter("n = 0").withColumn("k", F.explode(F.sequence(F.lit(1), length.cast("int"))))
+    part = F.lit(None).cast("long")
+    for k in range(1, order + 2):
+        part = F.when(F.col("k") == k, _last(F.col("gram"), k)).otherwise(part)
+    asked = asked.select("gram", "k", part.alias("part")).withColumn("context", _context(F.col("part")))
+    known = asked.join(whole.select(F.col("gram").alias("part"), "n"), "part", "left").join(contexts, "context", "left")
+    columns = [F.max(F.when(F.col("k") == k, F.col(c))).cast("double").alias(f"{c}{k}") for k in range(order + 1, 0, -1) for c in ("n", "total", "kinds", "shared")]
+
+    def fallen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, taken, kinds = (np.zeros(batch.num_rows) for _ in range(3))
+            live = np.ones(batch.num_rows, bool)
+            for k in range(order + 1, 0, -1):
+                n, total, different, shared = (batch.column(f"{c}{k}").to_numpy(zero_copy_only=False) for c in ("n", "total", "kinds", "shared"))
+                there = live & ~np.isnan(total)
+                found = there & ~np.isnan(n)
+                lost = there & np.isnan(n) & (different - kinds > 0)
+                score[found] += np.log10((n - 0.5)[found] / (total - taken)[found])
+                score[lost] += np.log10(0.5 * (different - kinds)[lost] / (total - taken)[lost])
+                taken[there], kinds[there] = shared[there], different[there]
+                live &= ~found
+            score[live] -= np.log10(np.maximum(256 - kinds[live], 1.0))  # a byte never seen: all others alike
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.zeros(len(score), np.int64)), pa.array(np.rint(score * UNIT).astype(np.int64))], names=["gram", "n", "score"])
+
+    others = known.groupBy("gram").agg(*columns).mapInArrow(fallen, "gram long, n long, score long")
+    # an event's longest context has its own counts: those of shorter n-grams hold events of longer ones too
+    counts = whole.select("gram", F.col("n").alias("all"))
+    seen = trained.join(counts, "gram").withColumn("context", _context(F.col("gram"))).join(contexts, "context")
+    seen = seen.select("gram", "n", F.round(F.log10((F.col("all") - 0.5) / F.col("total")) * UNIT).cast("long").alias("score"))
+    return materialize(seen.unionByName(others), "scores")
+
+
+def word_scores(words: DataFrame, order: int = ORDER, most: int = HELD) -> DataFrame:
+    """(word, n, score) of a table (word, n). Workers hold the scores of so many events; the rest is joined."""
+    table = event_scores(words, order)
+    held = held_scores(table.filter("n > 0").withColumn("lang", F.lit(None).cast("string")), most).get(None, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    shared = words.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, events = _event_keys(batch.column(0).to_pylist(), order)
+            names, scores = shared.value
+            at = ngrams.find(names, key)
+            score = np.where(at >= 0, scores[at], 0) if len(scores) else np.zeros(len(key), np.int64)
+            owner = np.repeat(np.arange(len(events)), events)
+            offsets = np.append(0, np.cumsum(np.bincount(owner[at < 0], minlength=len(events)))).astype(np.int32)
+            begins = np.cumsum(events) - events
+            sums = np.add.reduceat(score, begins) if len(score) else score
+            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[at < 0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), rest], names=["word", "n", "held", "rest"])
+
+    rows = materialize(words.mapInArrow(run, "word binary, n long, held long, rest array<long>"), "words")
+    more = rows.select("word", F.explode("rest").alias("gram")).join(table.select("gram", "score"), "gram").groupBy("word").agg(F.sum("score").alias("more"))
+    return rows.join(more, "word", "left").select("word", "n", ((F.col("held") + F.coalesce("more", F.lit(0))) / UNIT).alias("score"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int = 5, part: int = 1, docs_a_chunk: int = 4096) -> DataFrame:
@@ -169,17 +248,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs[id_col], parts, part).alias("held_out"))
     words = materialize(word_counts(rows.select((~F.col("held_out")).alias("train"), "text")), "words")
     stats = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    trie = docs.sparkSession.sparkContext.broadcast(fit_trie(words, order))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = code_lengths(trie.value, batch.column(0).to_pylist(), order)
-            end = np.array([w == END for w in batch.column(0).to_pylist()])
-            if end.any():
-                found[end] = _end_score(trie.value, order)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "n", "score"])
-
-    table = words.mapInArrow(scored, "word binary, n long, score double")
+    table = word_scores(words, order)
     n_chunks = partitions(rows, rows.count(), docs_a_chunk)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
 
@@ -208,16 +277,3 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     result = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(stats.n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _end_score(trie: Trie, order: int) -> float:
-    """The end mark is one event, without a mark behind it: its word's score less that of the mark."""
-    data = np.frombuffer(b" " + END + b" ", np.uint8)
-    names, total, kinds, _ = trie.contexts[1]
-    c = ngrams.find(names, ngrams.keys(data, np.array([0]), 1))[0]
-    if c < 0:
-        return -float(np.log10(256))
-    hit = ngrams.find(trie.grams[1][0], ngrams.keys(data, np.array([1]), 2))[0]
-    if hit >= 0:
-        return float(np.log10((trie.grams[1][1][hit] - 0.5) / total[c]))
-    return float(np.log10(0.5 * kinds[c] / total[c])) - float(np.log10(256 - kinds[c]))

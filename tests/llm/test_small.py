@@ -244,6 +244,25 @@ def test_trie_against_plain_ppm():
     assert np.allclose(ppm.code_lengths(trie, probe, order), [plain_ppm(counts, w, order) for w in probe])
 
 
+def test_ppm_cuts_no_context(spark):
+    """Rare words keep their longest contexts beside any number of frequent ones, and words that don't train have
+    the escapes of the whole trie."""
+    table = [(w.encode(), 1 + i % 7) for i, w in enumerate(sorted(set(VOCABULARY)))] + [(b"the", 10**8), (ppm.END, 500)]
+    new = [(w, 0) for w in (b"zzz", b"abba", b"\xc3\xa8x", b"q", b"thea")]
+    words_table = spark.createDataFrame(table + new, "word binary, n long")
+    counts = {}
+    for word, n in table:
+        text = b" " + word + (b"" if word == ppm.END else b" ")
+        for at in range(1, len(text)):
+            for k in range(min(at, ppm.ORDER) + 1):
+                own = counts.setdefault(text[at - k : at], {})
+                own[text[at]] = own.get(text[at], 0) + n
+    for most in (0, 50, ppm.HELD):
+        got = {bytes(r.word): r.score for r in ppm.word_scores(words_table, most=most).collect()}
+        assert len(got) == len(table + new)
+        assert all(abs(got[w] - plain_ppm(counts, w, ppm.ORDER)) < 1e-6 for w in got if w != ppm.END)
+
+
 # ---- quality rules
 def test_quality_counts(docs, rows):
     got = quality.judge(docs, keep=["doc_id"]).collect()
