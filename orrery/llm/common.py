@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,21 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Without a cluster's setting (tests, notebooks) tables that cut lineage go here.
+#: Without a setting a session on one machine (tests, notebooks) keeps tables that cut lineage here.
 LOCAL_DIR = "file:///tmp/checkpoints/orrery"
+#: Tables written by materialize() and not deleted yet.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name that driver and executors share, below spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    """A new folder name that driver and executors share, below spark.checkpoint.dir. Where that is unset, a folder of
+    this machine serves a local master only: executors elsewhere would each write to their own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_DIR
     if base.startswith("/"):
         base = f"file://{base}"
     elif base.startswith("file:/") and not base.startswith("file:///"):
@@ -28,10 +37,49 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends at files that outlive any executor."""
+    """Write df to the shared folder and read it back: the lineage ends at files that outlive any executor. They are
+    deleted by discard(), by released(), or when the program ends."""
     path = shared_dir(df.sparkSession, name)
+    _TABLES[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    with suppress(Exception):  # the session may have ended; what is left over does no harm
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        _delete(df._table_path)
+
+
+@contextmanager
+def released() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end whatever was materialized inside, but for the tables that the given function was called on."""
+    before, kept = set(_TABLES), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [x for x in _TABLES if x not in before and x not in kept]:
+            _delete(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_TABLES):
+        _delete(path)
 
 
 def filesystem(uri: str):
@@ -65,17 +113,6 @@ def enter(operator: str) -> None:
             forget()
 
 
-_SEGMENT = re.compile(r"\s*\S+|\s+")
-#: White space to Python's \s but not to the tokenizers' patterns.
-_ODD = re.compile(r"[\x1c-\x1f]")
-
-
-def segments(text: str) -> list[str]:
-    """Cut text where white space follows other characters. Splitting patterns of byte-level tokenizers never
-    match across such a place, so segments can be encoded apart and their ids joined."""
-    return [text] if _ODD.search(text) else _SEGMENT.findall(text)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a task holds besides its input stays small."""
     for batch in batches:

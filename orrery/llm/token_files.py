@@ -18,45 +18,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import enter, filesystem, materialize, memory_of, partitions, segments, shared_dir, slices
+from orrery.llm.common import enter, filesystem, materialize, memory_of, partitions, shared_dir, slices
+from orrery.llm.segment_ids import SegmentIds, by_bytes, free, joined, text_bytes
 
-#: Segments whose ids a Python worker keeps; beyond it the memory starts anew.
+#: Segments whose ids a Python worker keeps (some 40 bytes each); beyond it the memory starts anew.
 REMEMBERED = 1_000_000
+#: Segments that the library gets as one text.
+TOGETHER = 64
 SHARDS = "shard long, path string, docs_path string, n_docs long, n_ids long"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as bytes of little-endian integers of the given kind."""
+    """Ids of whole texts by the tokenizers library, as it loads the file: the strings of special tokens are those
+    tokens, unless special_as_text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, parts = self.known, [segments(x) for x in texts]
-        new = [x for x in set().union(*parts) if x not in known]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        own = {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(new, found, strict=True)}
-        known.update({k: v for k, v in own.items() if len(k) <= 200})
-        long = {k: v for k, v in own.items() if len(k) > 200}
-        return [b"".join([known[x] if x in known else long[x] for x in p] if long else map(known.__getitem__, p)) for p in parts]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if len(names) <= 1 << 16 else "<u4")
+        # a byte-level token has a character for each byte
+        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.bytes_of[i] = len(name)
+        self.memory = SegmentIds(self.encode_new, self.kind, REMEMBERED)
+
+    def encode_new(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        between = [i for i, x in enumerate(segments) if free(x)]
+        texts = [b"".join([segments[i] for i in between[k : k + TOGETHER]]).decode() for k in range(0, len(between), TOGETHER)]
+        ids = np.concatenate([np.zeros(0, np.int64), *[np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]])
+        reached, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(segments[i]) for i in between])
+        if len(ends) and (ends[-1] != reached[-1] or not np.isin(ends, reached).all()):
+            raise ValueError("the tokenizer isn't byte-level: its tokens don't have the bytes of the text")
+        sizes = np.zeros(len(segments), np.int64)
+        sizes[between] = np.diff(np.searchsorted(reached, ends) + 1, prepend=0)
+        alone = sorted(set(range(len(segments))).difference(between))
+        others = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast([segments[i].decode() for i in alone], add_special_tokens=False)]
+        sizes[alone] = [len(x) for x in others]
+        ids = np.concatenate([ids, *others])
+        order = np.array([*between, *alone], np.int64)
+        first = np.empty(len(order), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return joined(ids, first, sizes), sizes
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a column, each closed by end_id, and where each text's begin and the last end."""
+        flat, at = self.memory.encode(column)
+        n = len(at) - 1
+        out = np.full(len(flat) + n, end_id, self.kind)
+        out[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at))] = flat
+        return out, at + np.arange(n + 1)
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 memory_of("token_files", _ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = Encoder(path, special_as_text)
+    return _ENCODERS[path, special_as_text]
+
+
+def token_ids(docs: DataFrame, tokenizer_path: str, bounds: np.ndarray, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False) -> DataFrame:
+    """(shard, id, tie, n, ids): the packed ids of each text with the end id, their number, and the range of ids, ascending
+    from null, that the document lies in. bounds are where ranges end; one that repeats is an id of very many rows, which
+    share the ranges between by a hash of the text (tie)."""
+    bounds = np.asarray(bounds, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_files")
+        own = encoder(tokenizer_path, special_as_text)
+        for batch in (x for whole in batches for x in by_bytes(whole)):
+            ids, at = own.encode(batch.column(2), end_id)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * own.kind.itemsize), pa.py_buffer(ids)])
+            named, tie = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), batch.column(1).to_numpy()
+            first, last = np.searchsorted(bounds, named, "left"), np.searchsorted(bounds, named, "right")
+            share = (tie.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(33)  # as the sign says, 31 bits
+            shard = first + ((last - first + 1) * share.astype(np.int64) >> 31)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.diff(at)), packed.cast(pa.binary())], names=["shard", "id", "tie", "n", "ids"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "shard int, id long, tie long, n long, ids binary")
+
+
+def shard_bounds(docs: DataFrame, id_col: str, text_col: str, bytes_a_shard: int) -> np.ndarray:
+    """Ends of ranges of ids with about as many documents each, from one pass over the ids and the texts' sizes."""
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(np.iinfo(np.int64).min)).alias("id"), F.octet_length(docs[text_col]).alias("size"))
+    n = partitions(rows, rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], bytes_a_shard)
+    found = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
+    return np.array(found if n > 1 and found else [], np.int64)
 
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
@@ -97,45 +151,42 @@ class SequenceWriter:
         self.out.close()
 
 
-def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 64, docs_a_shard: int = 8192) -> DataFrame:
+def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 64, bytes_a_shard: int = 1 << 24, special_as_text: bool = False) -> DataFrame:
     """Write docs; returns a row for each shard (SHARDS), in files, so that reading it never writes again.
 
-    Whole texts in ascending order of id_col (null first; equal ids by text), null and empty ones as the end id alone.
-    The range exchange samples the ids, so that shards are about equal whatever the ids are. A lost task writes files
-    of a new name, and only names that a finished task returned are in the result. Empty tables give no shard. Other
-    columns of docs aren't read. ids are 16-bit where the vocabulary allows it, else 32-bit.
+    Whole texts in ascending order of id_col (null first; equal ids by a hash of the text, then by their packed ids), null
+    and empty ones as the end id alone. Texts are encoded where they are and only packed ids are shuffled, to ranges of
+    ids whose bounds are quantiles, so that shards are about equal whatever the ids are. A lost task writes files of a new
+    name, and only names that a finished task returned are in the result. Empty tables give no shard. Other columns of
+    docs aren't read. ids are 16-bit where the vocabulary allows it, else 32-bit.
     """
     folder = folder or shared_dir(docs.sparkSession, "sequences")
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    n = partitions(plain, plain.count(), docs_a_shard)
+    bounds = shard_bounds(docs, id_col, text_col, bytes_a_shard)
+    coded = token_ids(docs, tokenizer_path, bounds, id_col, text_col, end_id, special_as_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("token_files")
-        own, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        shard, kind = TaskContext.get().partitionId(), encoder(tokenizer_path, special_as_text).kind
         fs, base = filesystem(folder)
         name, first = f"{base}/{shard:08d}-{uuid4().hex}", next(batches, None)
         if first is None or first.num_rows == 0:
             return
         fs.create_dir(base, recursive=True)
-        end, at, n_docs = own.kind.type(end_id).tobytes(), 0, 0
+        at, n_docs = 0, 0
         docs_schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
         with fs.open_output_stream(f"{name}.arrow") as sink, fs.open_output_stream(f"{name}.docs.arrow") as docs_sink:
-            writer, index = SequenceWriter(sink, own.kind, length, rows), pa.ipc.new_file(docs_sink, docs_schema)
+            writer, index = SequenceWriter(sink, kind, length, rows), pa.ipc.new_file(docs_sink, docs_schema)
             for batch in slices(_chain(first, batches)):
-                ids = own.encode([x or "" for x in batch.column(1).to_pylist()])
-                sizes = np.array([len(x) // own.kind.itemsize + 1 for x in ids], np.int64)
-                for x in ids:
-                    writer.append(x)
-                    writer.append(end)
+                writer.append(text_bytes(batch.column(2))[0].tobytes())
+                sizes = batch.column(1).to_numpy()
                 starts = at + np.cumsum(sizes) - sizes
                 index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(sizes)], schema=docs_schema))
-                at, n_docs = at + int(sizes.sum()), n_docs + len(ids)
+                at, n_docs = at + int(sizes.sum()), n_docs + len(sizes)
             writer.close()
             index.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name.rpartition('/')[2]}.arrow"], "docs_path": [f"{folder}/{name.rpartition('/')[2]}.docs.arrow"], "n_docs": [n_docs], "n_ids": [at]})
 
-    dealt = plain.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    return materialize(dealt.mapInArrow(run, SHARDS), "shards")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("id", "tie", "ids")
+    return materialize(dealt.select("id", "n", "ids").mapInArrow(run, SHARDS), "shards")
 
 
 def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
