@@ -47,29 +47,30 @@ URL_RULES = (
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 )
-#: Names of hosts whose pages make up the list of URLs, as a block list by subject would give them.
-LISTED_HOSTS = r"(^|\.)(adult|ads|casino|bets|free|cheap|pills|spam)-[a-z-]+\."
+#: The list holds the URLs of thin pages (fewer characters of html) and of keyword lists (so many words behind bars).
+#: It says nothing of their hosts.
+LEAST_HTML, MOST_BARS = 1200, 9
 
 
 @_query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    judged = url_filter.filter_urls(pages, listed, URL_RULES)
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.filter((F.length("html") < LEAST_HTML) | (F.regexp_count("html", F.lit(r" \|")) > MOST_BARS)).select("url")
+    judged = url_filter.filter_urls(pages.select("page_id", "url"), listed, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 _HOST = r"coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 ORACLE_SQL["op3_url_filter"] = rf"""
-WITH parts AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
+WITH parts AS (SELECT page_id, url, html, {_HOST} AS host, {_PATH} AS path FROM pages),
 canon AS (
-  SELECT page_id, host, path, CASE WHEN host <> '' THEN
+  SELECT page_id, html, host, path, CASE WHEN host <> '' THEN
     regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', '') ||
     coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') END AS canon
   FROM parts),
-listed AS (SELECT DISTINCT canon AS known FROM canon WHERE regexp_matches(host, '(^|\.)(adult|ads|casino|bets|free|cheap|pills|spam)-[a-z-]+\.') AND canon IS NOT NULL),
+listed AS (SELECT DISTINCT canon AS known FROM canon WHERE (length(html) < 1200 OR len(regexp_extract_all(html, ' \|')) > 9) AND canon IS NOT NULL),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -13,10 +13,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ascii_lower
+from orrery.llm.common import ascii_lower, materialize
 
 #: Odd multipliers of split-block Bloom filters as published in the Parquet format's specification.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
+#: Rows of the filter at most: 40 bytes each, made for some 12 million URLs.
+MOST_BLOCKS = 1 << 20
+#: Listed URLs (some 60 bytes each) that are broadcast.
+BROADCAST_ROWS = 200_000
 #: Query parameters that name a visit and not a page.
 VISIT = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
@@ -72,29 +76,44 @@ def bloom_table(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(len(bits))])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url_col: str = "url", listed_col: str = "url", blocks: int = 1 << 16) -> DataFrame:
+def filter_blocks(n_keys: int) -> int:
+    """Blocks for so many keys: a power of two with some twelve keys each, MOST_BLOCKS at most."""
+    return min(MOST_BLOCKS, 1 << max(6, (n_keys // 12).bit_length()))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url_col: str = "url", listed_col: str = "url", blocks: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages with host, path, rule, listed (boolean) and verdict (block or allow).
 
     The longest fitting rule decides; without one, a page is blocked if its canonical URL is that of a listed URL.
     listed may repeat URLs or hold nulls (they list nothing). Null and odd URLs have an empty host and path, fit no
-    rule and are allowed. Columns of pages named like an output are replaced. The filter that is broadcast has
-    `blocks` rows at most (2 ** 16: 3 MB, made for some 1.6 million listed URLs; with more, more pages reach the
-    exact join, and the verdicts stay the same). A URL that many pages share is one row of the list, and Spark may
-    split its pages.
+    rule and are allowed. Columns of pages named like an output are replaced; any other name may occur. Empty tables
+    are fine on either side.
+
+    The filter that is broadcast is sized by a count of the list and has MOST_BLOCKS rows at most; with a longer list
+    more pages reach the exact join, and the verdicts stay the same. A list of `broadcast_rows` URLs at most is joined
+    by broadcast in the same scan; a longer one by a shuffle of the possible hits alone, which takes a second scan of
+    the pages, so that the others never leave their partition. A URL that many pages share is one row of the list, and
+    Spark may split its pages.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
-    known = listed.select(canonical_url(F.col(listed_col)).alias("_known")).filter("_known is not null").distinct()
-    seen = pages.withColumn("_canon", canonical_url(F.col(url_col)))
-    seen = seen.withColumn("_block", F.coalesce(_block(F.col("_canon"), blocks), F.lit(-1)))
-    filt = F.broadcast(bloom_table(known, "_known", blocks).withColumnRenamed("block", "_block"))
+    known = materialize(listed.select(canonical_url(F.col(listed_col)).alias("_known")).filter("_known is not null").distinct(), "listed-urls")
+    n_listed = known.count()
+    blocks = blocks or filter_blocks(n_listed)
+    rows = pages.select(F.struct("*").alias("_page"), pages[url_col].cast("string").alias("_url"))
+    seen = rows.withColumn("_canon", canonical_url(F.col("_url")))
+    seen = seen.withColumn("_at", F.coalesce(_block(F.col("_canon"), blocks), F.lit(-1)))
     hit = F.lit(True)
     for i, b in enumerate(_bits(F.col("_canon"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(b) == b)
-    seen = seen.join(filt, "_block", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-    seen = seen.select(*keep, "_canon", "_maybe")
-    sure = seen.filter(~F.col("_maybe")).withColumn("listed", F.lit(False))
-    maybe = seen.filter("_maybe").join(known, F.col("_canon") == F.col("_known"), "left").withColumn("listed", F.col("_known").isNotNull()).drop("_known")
-    out = sure.unionByName(maybe).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    seen = seen.join(F.broadcast(bloom_table(known, "_known", blocks)), F.col("_at") == F.col("block"), "left")
+    seen = seen.select("_page", "_url", F.when(F.coalesce(hit, F.lit(False)), F.col("_canon")).alias("_maybe"))
+    same = F.col("_maybe") == F.col("_known")
+    if n_listed <= broadcast_rows:
+        out = seen.join(F.broadcast(known), same, "left")
+    else:
+        maybe = seen.filter("_maybe is not null").join(known, same, "left")
+        out = maybe.unionByName(seen.filter("_maybe is null").withColumn("_known", F.lit(None).cast("string")))
+    out = out.select("_page", F.col("_known").isNotNull().alias("listed"), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(host, path, rules, "verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return out.select(*[F.col(c) for c in keep], "host", "path", rule_of(host, path, rules, "rule").alias("rule"), "listed", verdict.alias("verdict"))
+    return out.select(*[F.col("_page")[c].alias(c) for c in keep], "host", "path", rule_of(host, path, rules, "rule").alias("rule"), "listed", verdict.alias("verdict"))
