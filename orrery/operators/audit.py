@@ -75,6 +75,12 @@ def family_total(rows: DataFrame, family: str) -> DataFrame:
     return rows.agg(half_up(F.coalesce(F.sum(F.when(own, known(F.col("mass_kg")))), F.lit(0))).alias("total_kg"), F.count_if(own).alias("payload_count"))
 
 
+def compared_totals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row (left_kg, right_kg, most_kg) of two one-row tables with total_kg: both totals and the larger one."""
+    pair = left.select(F.col("total_kg").alias("left_kg"), F.lit(1).alias("one")).join(right.select(F.col("total_kg").alias("right_kg"), F.lit(1).alias("one")), "one")
+    return pair.select("left_kg", "right_kg", F.greatest("left_kg", "right_kg").alias("most_kg"))
+
+
 VERDICTS = {"none": "NO DATA", "left": "LEFT_ONLY", "right": "RIGHT_ONLY", "match": "MATCH", "close": "CLOSE", "lower": "LOWER", "higher": "HIGHER"}
 
 

@@ -23,17 +23,18 @@ def payloads(objects: DataFrame, payload: str = "P") -> DataFrame:
     return objects.filter(F.col("object_class") == payload)
 
 
-def mass_by(objects: DataFrame, key: Column, payload: str = "P", top: int | None = None, unknown: str | None = "Unknown", order: str = "mass") -> DataFrame:
+def mass_by(objects: DataFrame, key: Column, payload: str = "P", top: int | None = None, unknown: str | None = "Unknown", order: str = "mass", above: float | None = None) -> DataFrame:
     """(label, mass_kg, count, payload_count) by key.
 
     A null key is the label `unknown`, or is left out where that is None. Null mass counts 0, its row counts. Mass is
-    rounded after summing and before ordering: by mass, largest first, or by label; ties by label. With top, the
-    largest only.
+    rounded after summing and before ordering: by mass, largest first, or by label; ties by label. With `above`,
+    labels of a larger mass than it only; with top, the first of those.
     """
     rows = objects.select((F.coalesce(key, F.lit(unknown)) if unknown is not None else key).alias("label"), "mass_kg", "object_class")
     if unknown is None:
         rows = rows.filter("label is not null")
     out = rows.groupBy("label").agg(half_up(F.sum(known(F.col("mass_kg")))).alias("mass_kg"), F.count("*").alias("count"), F.count_if(F.col("object_class") == payload).alias("payload_count"))
+    out = out if above is None else out.filter(F.col("mass_kg") > above)
     out = out.orderBy(F.col("mass_kg").desc(), "label") if order == "mass" else out.orderBy("label")
     return out.limit(top) if top else out
 

@@ -56,6 +56,11 @@ def mass_by_country_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mass.mass_by(_payloads(spark, sf_dir, "owner"), F.col("state"), PAYLOAD, top=3)
 
 
+@_query(f"{WITH} SELECT coalesce(op_orbit, 'Unknown') AS label, {_MASS} FROM objects WHERE object_class = 'N' GROUP BY 1 HAVING {_R.format('sum(coalesce(mass_kg, 0))')} > 0 ORDER BY mass_kg DESC, label LIMIT 8")
+def mass_by_orbit_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mass.mass_by(_payloads(spark, sf_dir, "part"), F.col("op_orbit"), PAYLOAD, top=8, above=0)
+
+
 @_query(f"{WITH} SELECT coalesce(op_orbit, 'Unknown') AS label, {_MASS} FROM objects WHERE object_class = 'N' GROUP BY 1 ORDER BY mass_kg DESC, label LIMIT 4")
 def mass_by_orbit_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mass.mass_by(_payloads(spark, sf_dir, "part"), F.col("op_orbit"), PAYLOAD, top=4)
@@ -346,6 +351,16 @@ def cdf_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdf.segmented_cdf(objects(spark, sf_dir), "type", ("N", "R"), {"N": "Payload"})
 
 
+@_query(f"{WITH}, {_cdf('SELECT state AS grp, mass_kg::DOUBLE AS m FROM objects WHERE state IN (SELECT state FROM objects WHERE mass_kg > 0 GROUP BY state ORDER BY count(*) DESC, state LIMIT 3)')} SELECT * FROM c")
+def cdf_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdf.segmented_cdf(objects(spark, sf_dir, "owner"), "nation", k=3)
+
+
+@_query(f"{WITH}, {_cdf('SELECT site AS grp, mass_kg::DOUBLE AS m FROM objects WHERE site IN (SELECT site FROM objects WHERE mass_kg > 0 GROUP BY site ORDER BY count(*) DESC, site LIMIT 4)')} SELECT * FROM c")
+def cdf_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdf.segmented_cdf(objects(spark, sf_dir, "launch"), "site", k=4)
+
+
 # ---- joins, audits, reconciliation ----------------------------------------------------------------------------
 @_query(f"{WITH}, few AS (SELECT * FROM launches WHERE orbital) SELECT o.jcat, o.launch_tag, o.quantity, f.lv, f.lv_family, f.site FROM objects o LEFT JOIN few f ON o.launch_tag = f.launch_tag")
 def enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,6 +389,12 @@ def family_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.family_total(_payloads(spark, sf_dir, "launch"), "building")
 
 
+@_query(f"""{_AUDIT}, o AS (SELECT {_R.format('sum(coalesce(mass_kg, 0))')} AS right_kg FROM objects WHERE object_class = 'N' AND lower(lv_family) = 'building')
+SELECT total_kg AS left_kg, right_kg, greatest(total_kg, right_kg) AS most_kg FROM au, o""")
+def compared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.compared_totals(audit_split(spark, sf_dir), family_total(spark, sf_dir))
+
+
 @_query(f"""{_AUDIT}, k AS (SELECT member, count(*) AS n, sum(mass) AS mass FROM t GROUP BY 1)
 SELECT ord, m.member, name, published_dry_kg, coalesce(n, 0) AS flights, {_R.format('coalesce(mass, 0)')} AS mass_kg, coalesce(n, 0) * published_dry_kg AS theorized_dry_total_kg FROM m LEFT JOIN k ON m.member = k.member""")
 def audit_per_member(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,6 +519,12 @@ def explore_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explore(spark, sf_dir)[1]
 
 
+# words of capital letters and digits: there the default collation and code units agree
+@_query(f"{WITH} SELECT jcat, owner, price FROM objects WHERE object_class = 'N' ORDER BY owner COLLATE nocase, jcat, price LIMIT 50 OFFSET 100")
+def explore_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.explore(_explored(spark, sf_dir), equal={"object_class": "N"}, sort="owner", order="asc", page=3)[0].select("jcat", "owner", "price")
+
+
 @_query(f"{WITH} SELECT jcat, name, satno FROM objects WHERE contains(lower(name), '3') OR contains(lower(pl_name), '3') OR contains(jcat, '3') OR contains(satno::VARCHAR, '3')")
 def explore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.search(_explored(spark, sf_dir), "3").select("jcat", "name", "satno")

@@ -24,13 +24,25 @@ def header(spark: SparkSession, path: str, within: int) -> list[str]:
 
 
 def _rows(spark: SparkSession, path: str, least: int) -> DataFrame:
-    """(parts, pos): fields of lines that aren't comments and have enough of them, numbered in the file's order.
+    """(parts, pos): fields of lines that aren't comments and have enough of them, numbered in the catalog's order: by
+    file, in the order of their names, and by place in the file.
 
-    pos is twice the place of the line's split in the file and the line's number in its task. A task reads no more
-    lines than two splits have bytes, so numbers grow along a file and none repeats, without a sort or a window.
+    In a file, pos is twice the place of the line's split and the line's number in its task. A task reads no more lines
+    than two splits have bytes, so numbers grow along a file and none repeats, without a sort or a window. A file's number
+    stands above the 42 bits that a file of two tebibytes needs.
     """
     number_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = _lines(spark, path).select("value", (F.col("_metadata.file_block_start") * 2 + number_in_task).alias("pos"))
+    lines = _lines(spark, path)
+    names = sorted(lines.inputFiles())
+    place = F.col("_metadata.file_block_start") * 2 + number_in_task
+    if len(names) > 1:  # names of files, as the plan itself holds them
+        ranks = spark.createDataFrame([(x.rsplit("/", 1)[-1], i) for i, x in enumerate(names)], "file string, rank long")
+        if len({x.rsplit("/", 1)[-1] for x in names}) < len(names):
+            raise ValueError("files of one catalog need different names")
+        lines = lines.select("value", place.alias("place"), F.col("_metadata.file_name").alias("name"))
+        lines = lines.join(F.broadcast(ranks), F.col("name") == F.col("file")).select("value", (F.col("rank") * (1 << 42) + F.col("place")).alias("pos"))
+    else:
+        lines = lines.select("value", place.alias("pos"))
     parts = lines.filter(~F.col("value").startswith("#")).select(F.split("value", "\t", -1).alias("parts"), "pos")
     return parts.filter(F.size("parts") >= least)
 

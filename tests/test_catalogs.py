@@ -58,6 +58,15 @@ def test_launches_keep_last_content_and_first_place(tables):
     assert rows[1].lv == "Proton-K" and rows[3].orbital is False and rows[5].lv_family == "Ariane 5"
 
 
+def test_files_of_a_catalog_follow_each_other(spark, tmp_path):
+    head = "#Launch_Tag\tLV_Type\tLaunch_Site\tLaunch_Date\tLaunchCode\n"
+    for name, vehicle in (("a.tsv", "First"), ("b.tsv", "Second"), ("c.tsv", "Third")):
+        (tmp_path / name).write_text(head + "".join(f"L{k}\t{vehicle}\tX\t-\tO\n" for k in range(5)))
+    rows = catalogs.read_launches(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r.launch_tag, r.lv) for r in rows] == [(f"L{k}", "Third") for k in range(5)]
+    assert len({r.pos for r in catalogs._rows(spark, str(tmp_path), 5).collect()}) == 15
+
+
 def test_missing_column_and_missing_header(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("#JCAT\tX1\tX2\tX3\tX4\tX5\tX6\tX7\tX8\tX9\nS1" + "\t1" * 9 + "\n")
     row = catalogs.read_objects(spark, str(tmp_path / "a.tsv")).first()

@@ -41,10 +41,11 @@ def test_totals_by_provider_and_by_year_agree(spark, sf_dir):
     assert by_provider == mass.mass_by_year(mass.payloads(rows, "N")).agg(F.sum("mass_kg")).first()[0]
 
 
-@pytest.mark.parametrize("n", [1, 37, 777, 1300])
-def test_sampled_cdf_against_its_rule(spark, n):
+@pytest.mark.parametrize("n,values", [(1, "few"), (37, "few"), (777, "few"), (1300, "few"), (1000, "any"), (2777, "wide"), (1500, "close")])
+def test_sampled_cdf_against_its_rule(spark, n, values):
     dice = random.Random(n)
-    masses = sorted(float(dice.randint(1, 40)) for _ in range(n))
+    draw = {"few": lambda: float(dice.randint(1, 40)), "any": dice.random, "wide": lambda: 10 ** dice.uniform(-9, 9), "close": lambda: 1e6 + dice.random() * 1e-6}[values]
+    masses = sorted(draw() for _ in range(n))
     step = max(1, n // 250)
     want = [(i, masses[i], (i + 1) / n) for i in range(0, n, step)]
     if want[-1][1] != masses[-1]:
@@ -61,6 +62,28 @@ def test_plans_stay_in_the_engine(spark, sf_dir):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
 
 
+def test_no_window_holds_a_group_of_raw_values(spark):
+    rows = spark.createDataFrame([("a", float(i)) for i in range(2000)], "g string, m double")
+    plan = cdf.sampled_cdf(rows, F.col("g"), F.col("m"))._jdf.queryExecution().optimizedPlan().toString()
+    by_value = [x for x in plan.split("\n") if "Window" in x and "[m#" in x]
+    assert by_value and all("inner#" in x for x in by_value)
+
+
+def test_small_things(spark, tmp_path):
+    from orrery.functions import dates
+    from orrery.operators import audit
+    from orrery.sources import catalogs
+
+    days = spark.createDataFrame([(0,), (9131,), (None,)], "d int").select(dates.day_to_year(F.col("d")).alias("y"))
+    assert [r.y for r in days.collect()] == [1957, 1982, None]
+    rows = spark.createDataFrame([("a", 5.0, "P"), ("b", 0.0, "P"), ("c", None, "P"), ("d", 7.0, "P")], "k string, mass_kg double, object_class string")
+    assert [r.label for r in mass.mass_by(rows, F.col("k"), top=3, above=0).collect()] == ["d", "a"]
+    one = lambda x: spark.createDataFrame([(x,)], "total_kg long")
+    assert tuple(audit.compared_totals(one(3), one(4)).first()) == (3, 4, 4)
+    catalogs.write_json(rows, str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == 4
+
+
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
     plan = launches(spark, sf_dir).filter("site = '5-LOW'").select("launch_tag", "lv_family")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderpriority,5-LOW)" in plan and "o_totalprice" not in plan
