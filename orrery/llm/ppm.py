@@ -1,188 +1,105 @@
 """Scores of texts by prediction by partial matching, and by counts of words.
 
-The model is a trie of byte contexts within words, from the words of the training documents: a byte is predicted in
-the longest context that training saw; where it never followed there, an escape (half a count for each different
-byte seen: method D) leads to the next shorter context, where bytes already offered are excluded. A word is its bytes and
-a mark behind it, contexts start at the mark before it, and an end mark closes each text. So a word has one code
-length wherever it stands, and a text's is the sum over its words: the corpus is reduced to counts of words, each
-distinct word is scored once, and a join brings counts and scores back to the documents.
+The model is a trie of byte contexts over whole texts, white space included, from the training documents: a byte is
+predicted in the longest context that training saw; where it never followed there, an escape (half a count for each
+different byte seen: method D) leads to the next shorter context, where bytes already offered are excluded. Marks before
+a text fill its first contexts and an end mark closes it.
+
+The trie is tables in Spark: n-grams of every length with counts, contexts with totals. Nothing is cut from it. Workers
+hold the scores of the most frequent events and the counts of the most frequent words; all others are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import ngrams
-from orrery.llm.common import enter, materialize, partitions, slices
-from orrery.llm.quality import HELD, UNIT, held_scores
+from orrery.llm.common import discard, enter, materialize
+from orrery.llm.ngrams import HELD, UNIT
+from orrery.llm.segment_ids import by_bytes
 
-ORDER = 5
-#: The end of a text as a word: a byte that no word has. Its mark behind isn't scored.
+#: Bytes of the longest context.
+ORDER = 4
+#: The end of a text as a token: a byte that no word has.
 END = b"\n"
 
 
-class Trie(NamedTuple):
-    """By length of context: sorted n-grams with counts, sorted contexts with their sum, number of bytes, and the sum
-    that their bytes have in the context one shorter."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def build_trie(key: np.ndarray, n: np.ndarray, order: int = ORDER, least: float = 0.0) -> Trie:
-    """key, n: the n-grams of order + 1 bytes (or as many as the word's start leaves) at all events. Shorter n-grams
-    are sums over the bytes before them, so a byte seen in a context was seen in every shorter one. For small tables and
-    to look at; score() takes the same numbers from Spark's tables."""
-    grams, contexts = [], []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    rest = key.view(np.uint64), n.astype(float)
-    for k in range(order + 1, 0, -1):
-        own = ngrams.length_of(rest[0]) == k
-        now = ngrams.sums(rest[0][own], rest[1][own])
-        held.append(now)
-        if k > 1:
-            up = ngrams.suffix_of(now[0])
-            rest = np.concatenate([rest[0][~own], up]), np.concatenate([rest[1][~own], now[1]])
-    for k, (g, c) in enumerate(reversed(held), 1):
-        keep = c >= least
-        g, c = g[keep], c[keep]
-        names, at = np.unique(ngrams.context_of(g), return_inverse=True)
-        total, kinds = np.bincount(at, c, len(names)), np.bincount(at, minlength=len(names)).astype(float)
-        shared = np.zeros(len(names))
-        if k > 1:
-            shared = np.bincount(at, grams[-1][1][ngrams.find(grams[-1][0], ngrams.suffix_of(g))], len(names))
-        grams.append((g, c))
-        contexts.append((names, total, kinds, shared))
-    return Trie(grams, contexts)
-
-
-def code_lengths(trie: Trie, words: list[bytes], order: int = ORDER) -> np.ndarray:
-    """log10 probability of each word with its mark, by the trie."""
-    data, places, owner = ngrams.flatten(words)
-    depth = np.minimum(ngrams.depths(data, places), order)
-    score = np.zeros(len(places))
-    taken, kinds = np.zeros(len(places)), np.zeros(len(places))  # excluded at the next level: sum there, and bytes
-    live = np.arange(len(places))
-    for k in range(order, -1, -1):
-        now = live[depth[live] >= k]
-        later = live[depth[live] < k]
-        if len(now):
-            names, total, different, shared = trie.contexts[k]
-            c = ngrams.find(names, ngrams.keys(data, places[now] - 1, k) if k else np.zeros(len(now), np.uint64))
-            there = c >= 0
-            at, c = now[there], c[there]
-            sum_left, kinds_left = total[c] - taken[at], different[c] - kinds[at]
-            g, count = trie.grams[k]
-            hit = ngrams.find(g, ngrams.keys(data, places[at], k + 1))
-            found = hit >= 0
-            score[at[found]] += np.log10((count[hit[found]] - 0.5) / sum_left[found])
-            lost = ~found & (kinds_left > 0)
-            score[at[lost]] += np.log10(0.5 * kinds_left[lost] / sum_left[lost])
-            taken[at], kinds[at] = shared[c], different[c]
-            live = np.concatenate([later, now[~there], at[~found]])
-        else:
-            live = later
-    score[live] -= np.log10(np.maximum(256 - kinds[live], 1.0))  # a byte never seen: all others alike
-    return np.bincount(owner, score, len(words))
-
-
 def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) over rows of (train boolean, text): n counts training rows. Words of other rows have 0, so that the
-    table holds every word that will be looked up. Summed by word within a task before the shuffle."""
+def _lower(column: pa.Array) -> list[bytes]:
+    return [(x or "").encode().lower() for x in column.to_pylist()]
+
+
+def corpus_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(word, gram, n) over rows of (train boolean, text), one of word and gram null: how often training rows have each
+    word, and each n-gram of order + 1 bytes at an event. What only other rows have has 0, so that the table holds all
+    that will be looked up. Summed within a task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ppm")
-        for batch in slices(batches, 8192):
+        grams = ngrams.Counts()
+        for batch in (x for whole in batches for x in by_bytes(whole)):
             seen: Counter[bytes] = Counter()
             other: set[bytes] = set()
-            for train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = ngrams.words_of(text)
-                if train:
-                    seen.update(words)
-                    seen[END] += 1
+            train = np.array(batch.column(0).to_pylist(), bool)
+            low = _lower(batch.column(1))
+            for own, text in zip(train.tolist(), low, strict=True):
+                if own:
+                    seen.update(text.split())
                 else:
-                    other.update(words)
-                    other.add(END)
+                    other.update(text.split())
+            seen[END] += int(train.sum())
             for word in other:
                 if word not in seen:
                     seen[word] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _event_keys(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the longest n-grams at all events of the words, and how many each word has. The end mark is one event
-    after the mark before a word, without one behind it."""
-    data, places, owner = ngrams.flatten([b"" if w == END else w for w in words])
-    key = ngrams.keys(data, places, np.minimum(ngrams.depths(data, places) + 1, order + 1))
-    ends = np.array([w == END for w in words], bool)
-    key[ends[owner]] = ngrams.keys(np.frombuffer(b" " + END, np.uint8), np.array([1]), 2)[0]
-    return key, np.bincount(owner, minlength=len(words))
-
-
-def _gram_counts(words: DataFrame, order: int) -> DataFrame:
-    """(gram, n) at all events of a table (word, n); those of words that don't train have 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            key, events = _event_keys(names, order)
-            key, sums = ngrams.sums(key, np.repeat(n, events))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sums.astype(np.int64))], names=["gram", "n"])
-
-    return words.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _context(gram: Column) -> Column:
-    body = F.shiftright(gram.bitwiseAND(F.lit((1 << 56) - 1)), 8)
-    return body.bitwiseOR(F.shiftleft(F.shiftrightunsigned(gram, 56) - 1, 56))
-
-
-def _last(gram: Column, k: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << (8 * k)) - 1)).bitwiseOR(F.lit(k << 56))
-
-
-def event_scores(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n, score): log10 probability, in whole UNITs, of every event of a table (word, n), by all n-grams of its
-    training words. An event that training saw is found in its longest context; others ask all contexts."""
-    events = materialize(_gram_counts(words, order), "events")
-    length = F.shiftrightunsigned("gram", 56)
-    trained = events.filter("n > 0")
-    level, levels = trained.filter(length == order + 1), []
-    for k in range(order + 1, 0, -1):
+            grams.add([x for x, own in zip(low, train, strict=True) if own], order + 1)
+            grams.add([x for x, own in zip(low, train, strict=True) if not own], order + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["word", "gram", "n"])
+        key, n = grams.whole()
+        for at in range(0, len(key), 1 << 16):
+            part = key[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["word", "gram", "n"])
+
+    return rows.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+
+
+def event_scores(events: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, score): log10 probability, in whole UNITs, of every event of a table (gram, n) of n-grams of order + 1
+    bytes; n is 0 where training doesn't have it. Events of training are found in their longest context; the others
+    ask all contexts."""
+    level = events.filter("n > 0").select("gram", "n")
+    levels = [level]
+    for k in range(order, 0, -1):
+        level = level.groupBy(ngrams.last(F.col("gram"), k).alias("gram")).agg(F.sum("n").alias("n"))
         levels.append(level)
-        if k > 1:
-            up = level.select(_last(F.col("gram"), k - 1).alias("gram"), "n").unionByName(trained.filter(length == k - 1))
-            level = up.groupBy("gram").agg(F.sum("n").alias("n"))
     whole = levels[0]
     for level in levels[1:]:
         whole = whole.unionByName(level)
     whole = materialize(whole, "grams")
+    length = F.shiftrightunsigned("gram", 56)
     suffix = F.lit(None).cast("long")
     for k in range(2, order + 2):
-        suffix = F.when(length == k, _last(F.col("gram"), k - 1)).otherwise(suffix)
+        suffix = F.when(length == k, ngrams.last(F.col("gram"), k - 1)).otherwise(suffix)
     lower = whole.select(F.col("gram").alias("suffix"), F.col("n").alias("lower"))
     own = whole.withColumn("suffix", suffix).join(lower, "suffix", "left")
-    contexts = own.groupBy(_context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("lower"), F.lit(0)).alias("shared"))
+    # kinds: different bytes seen; shared: the sum that they have in the context one shorter
+    contexts = own.groupBy(ngrams.context(F.col("gram")).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("lower"), F.lit(0)).alias("shared"))
     contexts = materialize(contexts, "contexts")
 
-    asked = events.filter("n = 0").withColumn("k", F.explode(F.sequence(F.lit(1), length.cast("int"))))
+    asked = events.filter("n = 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(order + 1))))
     part = F.lit(None).cast("long")
     for k in range(1, order + 2):
-        part = F.when(F.col("k") == k, _last(F.col("gram"), k)).otherwise(part)
-    asked = asked.select("gram", "k", part.alias("part")).withColumn("context", _context(F.col("part")))
+        part = F.when(F.col("k") == k, ngrams.last(F.col("gram"), k)).otherwise(part)
+    asked = asked.select("gram", "k", part.alias("part")).withColumn("context", ngrams.context(F.col("part")))
     known = asked.join(whole.select(F.col("gram").alias("part"), "n"), "part", "left").join(contexts, "context", "left")
     columns = [F.max(F.when(F.col("k") == k, F.col(c))).cast("double").alias(f"{c}{k}") for k in range(order + 1, 0, -1) for c in ("n", "total", "kinds", "shared")]
 
@@ -203,77 +120,83 @@ def event_scores(words: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.zeros(len(score), np.int64)), pa.array(np.rint(score * UNIT).astype(np.int64))], names=["gram", "n", "score"])
 
     others = known.groupBy("gram").agg(*columns).mapInArrow(fallen, "gram long, n long, score long")
-    # an event's longest context has its own counts: those of shorter n-grams hold events of longer ones too
-    counts = whole.select("gram", F.col("n").alias("all"))
-    seen = trained.join(counts, "gram").withColumn("context", _context(F.col("gram"))).join(contexts, "context")
-    seen = seen.select("gram", "n", F.round(F.log10((F.col("all") - 0.5) / F.col("total")) * UNIT).cast("long").alias("score"))
-    return materialize(seen.unionByName(others), "scores")
+    seen = events.filter("n > 0").withColumn("context", ngrams.context(F.col("gram"))).join(contexts, "context")
+    seen = seen.select("gram", "n", F.round(F.log10((F.col("n") - 0.5) / F.col("total")) * UNIT).cast("long").alias("score"))
+    out = materialize(seen.unionByName(others), "scores")
+    discard(whole, contexts)
+    return out
 
 
-def word_scores(words: DataFrame, order: int = ORDER, most: int = HELD) -> DataFrame:
-    """(word, n, score) of a table (word, n). Workers hold the scores of so many events; the rest is joined."""
-    table = event_scores(words, order)
-    held = held_scores(table.filter("n > 0").withColumn("lang", F.lit(None).cast("string")), most).get(None, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    shared = words.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, events = _event_keys(batch.column(0).to_pylist(), order)
-            names, scores = shared.value
-            at = ngrams.find(names, key)
-            score = np.where(at >= 0, scores[at], 0) if len(scores) else np.zeros(len(key), np.int64)
-            owner = np.repeat(np.arange(len(events)), events)
-            offsets = np.append(0, np.cumsum(np.bincount(owner[at < 0], minlength=len(events)))).astype(np.int32)
-            begins = np.cumsum(events) - events
-            sums = np.add.reduceat(score, begins) if len(score) else score
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[at < 0].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), rest], names=["word", "n", "held", "rest"])
-
-    rows = materialize(words.mapInArrow(run, "word binary, n long, held long, rest array<long>"), "words")
-    more = rows.select("word", F.explode("rest").alias("gram")).join(table.select("gram", "score"), "gram").groupBy("word").agg(F.sum("score").alias("more"))
-    return rows.join(more, "word", "left").select("word", "n", ((F.col("held") + F.coalesce("more", F.lit(0))) / UNIT).alias("score"))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int = 5, part: int = 1, docs_a_chunk: int = 4096) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int = 5, part: int = 1, most: int = HELD) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     Training rows are those whose crc32(id as text) mod parts isn't part (null ids train). Tokens are a text's words,
     A-Z lower-cased, and one end; null and empty texts have the end alone. base_score is the sum over tokens of
-    log10((c + 0.5) / (N + 0.5 (V + 1))); score is the trie's log10 probability of words, marks and end. An empty
-    table gives an empty one; repeated rows are scored alike, and each trains.
+    log10((c + 0.5) / (N + 0.5 (V + 1))); score is the trie's log10 probability of the text (A-Z lower-cased, white
+    space included) and its end. An empty table gives an empty one; repeated rows are scored alike, and each trains.
+    Very long texts are read whole, alone in a batch.
 
-    Documents are dealt to chunks by a hash of id and text; a chunk asks the table of words for its distinct words,
-    so the most frequent word is one row a chunk, and what comes back is joined to the chunk's documents in one task.
+    Workers hold the `most` most frequent words and events; what a text has besides is joined from the whole tables, in
+    which no key is frequent, so that scores are the same whatever `most` is.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs[id_col], parts, part).alias("held_out"))
-    words = materialize(word_counts(rows.select((~F.col("held_out")).alias("train"), "text")), "words")
+    rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], parts, part).alias("held_out"), docs[text_col].alias("text"))
+    counts = materialize(corpus_counts(rows.select((~F.col("held_out")).alias("train"), "text"), order), "counts")
+    words, grams = counts.filter("gram is null").select("word", "n"), counts.filter("gram is not null").select("gram", "n")
     stats = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    table = word_scores(words, order)
-    n_chunks = partitions(rows, rows.count(), docs_a_chunk)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)))
-
-    def asked(chunk: pa.Table) -> pa.Table:
-        names: set[bytes] = {END}
-        for text in chunk["text"].to_pylist():
-            names.update(ngrams.words_of(text))
-        return pa.table({"chunk": pa.array([chunk["chunk"][0].as_py()] * len(names), pa.int64()), "word": pa.array(list(names), pa.binary())})
-
-    answers = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, word binary").join(table, "word").select("chunk", "word", "n", "score")
-    base = float(np.log10(stats.n + 0.5 * (stats.v + 1)))
+    table = event_scores(grams, order)
+    spark = docs.sparkSession
+    events = spark.sparkContext.broadcast(ngrams.held_scores(table.filter("n > 0").withColumn("lang", F.lit(None).cast("string")), most).get(None, ngrams.NONE))
+    top = ngrams.most_frequent(words.filter("n > 0"), most)
+    frequent = top.toArrow() if top is not None else pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+    held = spark.sparkContext.broadcast((frequent["word"].to_pylist(), frequent["n"].to_numpy()))
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "log_words", "log_bytes", "rest_words", "rest_events"]
 
-    def summed(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(known["word"].to_pylist())}
-        n, value = known["n"].to_numpy(), known["score"].to_numpy()
-        logs = np.log10(n + 0.5)
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for text in chunk["text"].to_pylist():
-            at = np.fromiter(map(place.__getitem__, [*ngrams.words_of(text), END]), np.int64)
-            out["n_tokens"].append(len(at))
-            out["n_known"].append(int((n[at] > 0).sum()))
-            out["base_score"].append(float(logs[at].sum() - base * len(at)))
-            out["score"].append(float(value[at].sum()))
-        return pa.table({"id": chunk["id"], "held_out": chunk["held_out"], **{k: pa.array(v, pa.int64() if k[0] == "n" else pa.float64()) for k, v in out.items()}})
-
-    result = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return result.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(stats.n).cast("long").alias("train_tokens"), "base_score", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ppm")
+        place = {w: i for i, w in enumerate(held.value[0])}
+        logs = np.log10(np.append(held.value[1], 0) + 0.5)
+        n_rows = TaskContext.get().partitionId() << 33
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 24)):
+            low = _lower(batch.column(2))
+            split = [[*x.split(), END] for x in low]
+            at = np.fromiter((place.get(w, -1) for x in split for w in x), np.int64, sum(map(len, split)))
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            begins = np.cumsum(sizes) - sizes
+            found = at >= 0
+            missed = np.flatnonzero(~found)
+            flat = [w for x in split for w in x]
+            rest = pa.array([flat[i] for i in missed.tolist()], pa.binary())
+            cut = pa.array(np.append(np.searchsorted(missed, begins), len(missed)).astype(np.int32))
+            totals, other = events.value.text_scores(low, order + 1)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in other])]).astype(np.int32)
+            columns = [
+                pa.array(np.arange(n_rows, n_rows + len(low))),
+                batch.column(0),
+                batch.column(1),
+                pa.array(sizes),
+                pa.array(np.add.reduceat(found.astype(np.int64), begins)),
+                pa.array(np.add.reduceat(np.where(found, logs[at], 0.0), begins)),
+                pa.array(totals, pa.int64()),
+                pa.ListArray.from_arrays(cut, rest),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(other))),
+            ]
+            n_rows += len(low)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"row long, id {id_type}, held_out boolean, n_tokens long, n_known long, log_words double, log_bytes long, rest_words array<binary>, rest_events array<long>"
+    scored = materialize(rows.mapInArrow(run, schema), "scored")
+    n = F.col("n")
+    more_words = scored.select("row", F.explode("rest_words").alias("word")).join(words, "word").groupBy("row").agg(F.sum(F.log10(n + 0.5)).alias("more_words"), F.count_if(n > 0).alias("more_known"))
+    more_bytes = scored.select("row", F.explode("rest_events").alias("gram")).join(table, "gram").groupBy("row").agg(F.sum("score").alias("more_bytes"))
+    out = scored.drop("rest_words", "rest_events").join(more_words, "row", "left").join(more_bytes, "row", "left")
+    base = F.col("log_words") + F.coalesce("more_words", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(stats.n + 0.5 * (stats.v + 1))))
+    return out.select(
+        F.col("id").alias(id_col),
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(stats.n).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        ((F.col("log_bytes") + F.coalesce("more_bytes", F.lit(0))) / UNIT).alias("score"),
+    )
