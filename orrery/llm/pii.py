@@ -1,15 +1,17 @@
 """Personal data: patterns for four kinds, and a linear-chain conditional random field over word shapes.
 
-The field is trained from a small labelled table and adds what the patterns miss (phone numbers without a plus,
-grouped cards, mail addresses that are spelled out). Words far from any digit, @ or [ get no label but "none" from the
-weights, which training checks, so chains are cut there and only the words around such characters are decoded, all
-chains of a batch at once.
+The field is trained from a small labelled table and adds what the patterns miss: phone numbers without a plus, cards
+in other groups, addresses that are spelled out. A line of a text is a chain, and all words of all lines count: the
+scores of a batch's words are sums of array look-ups by word and by shape, and the lines of a batch are decoded side by
+side. A line where no word's score can pay for a label, by a bound from the trained weights, has no labels; that is what
+decoding it would give.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import enter, slices
+from orrery.llm.common import enter, memory_of
 from orrery.llm.pii_labels import LABELLED
+from orrery.llm.segment_ids import by_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
@@ -78,30 +81,53 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- features -------------------------------------------------------------------------------------------------
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_TELLING = re.compile(r"[0-9@\[]")
-_RUNS = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[0-9]"), "9"))
-#: Words this far from a telling one belong to its chain.
-NEAR = 3
+#: Classes of bytes: capitals, letters (all beyond ASCII count as such), digits; other characters are themselves.
+_CLASSES = bytes(65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+_RUNS, _DIGITS = re.compile(r"A+|a+"), re.compile(r"9+")
+_EDGES = ".,;:!?\"'"
+#: Words that tell by themselves, also with one mark before and two behind.
+NAMED = tuple("at dot call phone tel fax ring dial number card visa ip host server mail email write contact id order version page section".split())
+_OPEN, _CLOSE = ("", "(", "[", "{", '"', "'"), ("", ".", ",", ":", ";", "!", "?", ")", "]", "}", '"', "'", "),", ").", "],", "].", '",', '".')
+NAME_OF = {(o + w + c).encode(): i for i, w in enumerate(NAMED, 1) for o in _OPEN for c in _CLOSE}
 
 
-def shape(word: str) -> str:
-    """Letters by class, runs as one; digits one by one (nine at most); other characters as they are."""
-    out = word[:64]
-    for pattern, mark in _RUNS:
-        out = pattern.sub(mark, out)
-    return re.sub(r"9{9,}", "9" * 9, out)
+class Word(NamedTuple):
+    """What the field sees of a word."""
+
+    shape: str
+    name: str
+    own: list[str]
+
+
+def classes(text: bytes) -> bytes:
+    return text.translate(_CLASSES)
+
+
+def seen(word: bytes) -> Word:
+    """Of a word by its classes: runs of letters as one, digits one by one, no marks at the edges."""
+    plain = word.decode()
+    s = _RUNS.sub(lambda m: m[0][0], plain.strip(_EDGES))
+    digits = s.count("9")
+    return Word(s, "", ["bias", f"s={s}", f"g={_DIGITS.sub('9', s)}", f"d={digits}", f"k={bool(digits)}{'@' in s}{'[' in s or '(' in s or '{' in s}", f"end={plain[-1:] in _EDGES}"])
+
+
+def named(word: bytes) -> str:
+    i = NAME_OF.get(word.lower(), 0)
+    return NAMED[i - 1] if i else ""
+
+
+#: Features by the words around: the place of the word, and what is seen of it.
+AROUND = [(-1, "shape"), (1, "shape"), (0, "name"), (-1, "name"), (1, "name"), (-2, "name"), (2, "name")]
+PAIRS = (-1, 1)
 
 
 def _features(words: list[str]) -> list[list[str]]:
-    shapes = [shape(w) if len(w) < 200 else "long" for w in words]
-    marks = [s.strip(".,;:!?\"'") for s in shapes]
+    raw = [w.encode() for w in words]
+    row = [seen(classes(w))._replace(name=named(w)) for w in raw]
     out = []
-    for i, m in enumerate(marks):
-        left, right = marks[i - 1] if i else "^", marks[i + 1] if i + 1 < len(marks) else "$"
-        digits = m.count("9")
-        low = words[i].lower().strip(".,;:!?\"'()[]")
-        named = f"w={low}" if low in ("at", "dot", "call", "phone", "tel", "card", "ip", "mail", "id", "order", "version") else "w"
-        out.append(["bias", f"s={m}", f"l={left}", f"r={right}", f"s={m}|r={right}", f"s={m}|l={left}", f"d={digits}", named, f"plain={not digits and '@' not in m and '[' not in m}"])
+    for i, w in enumerate(row):
+        at = lambda k: row[i + k] if 0 <= i + k < len(row) else Word("^" if k < 0 else "$", "", [])  # noqa: B023, E731
+        out.append([*w.own, *[f"{k}{part}={getattr(at(k), part)}" for k, part in AROUND], *[f"{k}pair={w.shape}|{at(k).shape}" for k in PAIRS]])
     return out
 
 
@@ -124,7 +150,7 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, 0.0, -1e4), np.where([x.startswith("I-") for x in LABELS], -1e4, 0.0)
 
 
-def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.02) -> Field:
+def train(rows: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.15, ridge: float = 0.02) -> Field:
     """Maximum likelihood with a ridge, by gradient steps with running second moments, over sentences as padded batches."""
     names = sorted({f for words, _ in rows for fs in _features(words) for f in fs})
     index = {f: i for i, f in enumerate(names)}
@@ -152,7 +178,8 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: floa
         d_emit, d_step, d_begin = np.zeros_like(emit), np.zeros_like(step), -p[0].sum(0)
         miss = np.eye(k)[gold[mask]] - at
         for j in range(width):
-            np.add.at(d_emit, flat[:, j], miss)
+            for label in range(k):
+                d_emit[:, label] += np.bincount(flat[:, j], miss[:, label], len(d_emit))
         np.add.at(d_begin, gold[:, 0], 1.0)
         for t in range(1, size):
             live = mask[:, t]
@@ -168,85 +195,156 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: floa
     return Field(index, emit, step + ban, begin + ban0)
 
 
-def viterbi(field: Field, chains: list[list[list[str]]]) -> list[list[int]]:
-    """The best labels of chains of features. Chains run side by side, longest first, so that those still running
-    are always the first rows."""
-    if not chains:
-        return []
-    order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
-    sizes = np.array([len(chains[i]) for i in order])
-    ends, unknown = np.cumsum(sizes), len(field.emit) - 1
-    ids = np.array([[field.index.get(f, unknown) for f in fs] for i in order for fs in chains[i]])
-    score, starts = field.emit[ids].sum(1), ends - sizes
-    live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(sizes[0])]  # chains longer than t
-    best, back = field.begin + score[starts], []
-    for t in range(1, int(sizes[0])):
-        ways = best[: live[t], :, None] + field.step
-        back.append(ways.argmax(1))
-        best[: live[t]] = ways.max(1) + score[starts[: live[t]] + t]
-    now = best.argmax(1)
-    out = [np.zeros(s, int) for s in sizes]
-    for row, (s, label) in enumerate(zip(sizes.tolist(), now.tolist(), strict=True)):
-        for t in range(s - 1, -1, -1):
-            out[row][t] = label
-            if t:
-                label = int(back[t - 1][row, label])
-    result: list[list[int]] = [[]] * len(chains)
-    for row, i in enumerate(order):
-        result[i] = out[row].tolist()
-    return result
-
-
-def _chains(text: str) -> list[list[re.Match]]:
-    """Runs of words near a telling one, on one line each."""
-    if not _TELLING.search(text):
-        return []
-    out = []
-    for line in re.finditer(r"[^\n]+", text):
-        if not _TELLING.search(line[0]):
-            continue
-        words = list(_WORDS.finditer(text, *line.span()))
-        last = -NEAR - 1
-        until = -1
-        for i, w in enumerate(words):
-            if not _TELLING.search(w[0]):
-                continue
-            first = max(i - NEAR, 0)
-            if last < 0 or first > until + 1:
-                out.append([])
+class Tables:
+    """The weights of a field as arrays: by word (those met so far), by shape, by telling word, by pair of shapes."""
+
+    def __init__(self, field: Field, most: int = 200_000) -> None:
+        self.field, self.most = field, most
+        weight = lambda f: field.emit[field.index[f]] if f in field.index else np.zeros(len(LABELS))
+        self.weight = weight
+        shapes = sorted({f.split("=", 1)[1] for f in field.index if f[:2] == "s=" or f.startswith(("-1shape=", "1shape="))})
+        self.shapes = {x: i + 1 for i, x in enumerate(shapes)}  # 0: any other
+        by = {"shape": ["\0", *shapes], "name": ["", *NAMED]}
+        self.around = [(k, part, np.array([weight(f"{k}{part}={x}") for x in by[part]], np.float32)) for k, part in AROUND]
+        n = len(shapes) + 1
+        self.pairs = {k: np.zeros((n, n, len(LABELS)), np.float32) for k in PAIRS}
+        for f, i in field.index.items():
+            for k in PAIRS:
+                if f.startswith(f"{k}pair="):
+                    a, b = f.split("=", 1)[1].split("|", 1) if f.count("|") == 1 else (None, None)
+                    if a in self.shapes and b in self.shapes:
+                        self.pairs[k][self.shapes[a], self.shapes[b]] = field.emit[i]
+        self.start, self.stop = self.shapes.get("^", 0), self.shapes.get("$", 0)
+        stay = field.step[0, 0]
+        first, inner = [LABELS.index(f"B-{k}") for k in KINDS], [LABELS.index(f"I-{k}") for k in KINDS]
+        # at most: what a first word's steps gain on none, the way out of the span included, and an inner word's step
+        leave = max(0.0, float(field.step[1:, 0].max() - stay))
+        self.first, self.first_gain = first, np.array([max(field.step[:, b].max() - stay, field.begin[b] - field.begin[0]) + leave for b in first], np.float32)
+        self.inner, self.inner_gain = inner, np.array([max(field.step[b, i], field.step[i, i]) - stay for b, i in zip(first, inner, strict=True)], np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.types: dict[bytes, int] = {}
+        self.shape_of, self.own = np.zeros(0, np.int32), np.zeros((0, len(LABELS)), np.float32)
+
+    def scores(self, words: list[bytes], kinds: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Scores by word and label. words: in lower case; kinds: their classes; sizes: words of each line."""
+        if len(self.types) > self.most:
+            self.forget()
+        types = self.types
+        new = [w for w in set(kinds) if w not in types]
+        if new:
+            found = [seen(w) for w in new]
+            types.update(zip(new, range(len(types), len(types) + len(new)), strict=True))
+            self.shape_of = np.append(self.shape_of, np.array([self.shapes.get(x.shape, 0) for x in found], np.int32))
+            self.own = np.concatenate([self.own, np.array([sum(self.weight(f) for f in x.own) for x in found], np.float32)])
+        at = np.fromiter(map(types.__getitem__, kinds), np.int64, len(kinds))
+        name = np.fromiter((NAME_OF.get(w, 0) for w in words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        before = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+        after = np.repeat(sizes, sizes) - 1 - before
+        out = self.own[at]
+        seen_of = {"shape": self.shape_of[at], "name": name}
+        outside = {"shape": {-1: self.start, 1: self.stop}, "name": {-1: 0, 1: 0}}
+
+        def moved(part: str, k: int) -> np.ndarray:
+            inside = (before >= -k) if k < 0 else (after >= k)
+            return np.where(inside, np.roll(seen_of[part], -k), outside[part][1 if k > 0 else -1])
+
+        for k, part, table in self.around:
+            if part == "shape":
+                out += table[moved(part, k)]
             else:
-                first = until + 1
-            last, end = i, min(i + NEAR, len(words) - 1)
-            out[-1] += words[first : end + 1]
-            until = end
+                telling = np.flatnonzero(seen_of[part])  # few; a plain word around weighs table[0]
+                out += table[0]
+                place = telling - k
+                inside = (place >= 0) & (place < len(at))
+                place, telling = place[inside], telling[inside]
+                same = (after[place] >= k) if k > 0 else (before[place] >= -k)
+                out[place[same]] += table[seen_of[part][telling[same]]] - table[0]
+        for k in PAIRS:
+            out += self.pairs[k][seen_of["shape"], moved("shape", k)]
+        return out
+
+    def open_lines(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Lines that may hold a label. If any path is better than no labels, one of its spans gains: its first word by
+        at most its score above none and its steps, its inner words likewise. So there is no such path where the best
+        first word and all inner words above 0 don't sum to more than 0."""
+        begins = np.cumsum(sizes) - sizes
+        first = (scores[:, self.first] + self.first_gain).max(1) - scores[:, 0]
+        inner = (scores[:, self.inner] + self.inner_gain).max(1) - scores[:, 0]
+        return np.maximum.reduceat(first, begins) + np.add.reduceat(np.maximum(inner, 0), begins) > 0
+
+
+def viterbi(field: Field, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The best label of each word of lines of the given sizes. Lines run side by side, longest first, so that those
+    still running are always the first rows."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, long = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    live = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), "left")  # lines longer than t
+    out = np.zeros(len(scores), np.int8)
+    if not len(long):
+        return out
+    step, best, back = field.step.astype(np.float32).T[None], field.begin.astype(np.float32) + scores[starts], []
+    for t in range(1, int(long[0])):
+        ways = best[: live[t], None, :] + step  # by label, then by the one before
+        back.append(ways.argmax(2).astype(np.int8))
+        best[: live[t]] = ways.max(2) + scores[starts[: live[t]] + t]
+    now = best.argmax(1)
+    for t in range(int(long[0]) - 1, -1, -1):
+        out[starts[: live[t]] + t] = now[: live[t]]
+        if t:
+            now[: live[t]] = back[t - 1][np.arange(live[t]), now[: live[t]]]
     return out
 
 
 _EDGE = re.compile(r"^[^0-9A-Za-z+(\[]+|[^0-9A-Za-z)\]]+$")
 
 
+_AT = r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*"
+_DOT = r"\s*[\[({]?\s*(?:\.|\bdot\b)\s*[\])}]?\s*"
+_SPELLED = re.compile(rf"[\w.%+-]+?{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_IP_FORM = re.compile(r"[0-9]{1,3}(?:[\[({]?\.[\])}]?[0-9]{1,3}){3}")
+
+
 def _fits(kind: str, found: str) -> bool:
-    digits = sum(x in "0123456789" for x in found)
+    digits = re.sub(r"[^0-9]", "", found)
     if kind == "phone":
-        return 9 <= digits <= 15 and "." * 3 not in found
+        return 9 <= len(digits) <= 15 and "." * 3 not in found
     if kind == "card":
-        plain = re.sub(r"[^0-9]", "", found)
-        return 12 <= digits <= 19 and luhn(plain)
+        return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\[?\.\]?[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
-    return bool(re.search(r"[A-Za-z0-9].*(@|\bat\b).*(\.|\bdot\b).*[A-Za-z]$", found, re.I | re.S)) and len(found) <= 200
+        return bool(_IP_FORM.fullmatch(found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
+    return len(found) <= 320 and bool(_SPELLED.fullmatch(found))
 
 
-def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+def added_spans(tables: Tables, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """What the field finds beyond the patterns; a span that touches one of theirs, or lacks its kind's form, goes."""
-    chains, owner = [], []
+    words: list[bytes] = []
+    kinds: list[bytes] = []
+    sizes, owner, number = [], [], []
     for i, text in enumerate(texts):
-        for chain in _chains(text):
-            chains.append(chain)
-            owner.append(i)
-    labels = viterbi(field, [_features([w[0] for w in chain]) for chain in chains])
+        raw = text.encode()
+        kinds += classes(raw).split()
+        for k, line in enumerate(raw.lower().split(b"\n")):
+            if own := line.split():
+                words += own
+                sizes.append(len(own))
+                owner.append(i)
+                number.append(k)
     out: list[list[Span]] = [[] for _ in texts]
-    for i, chain, found in zip(owner, chains, labels, strict=True):
+    if not words:
+        return out
+    n = np.array(sizes, np.int64)
+    scores = tables.scores(words, kinds, n)
+    lines = np.flatnonzero(tables.open_lines(scores, n))
+    labels = viterbi(tables.field, scores[np.repeat(np.isin(np.arange(len(n)), lines), n)], n[lines])
+    ends = np.cumsum(n[lines])
+    for j in np.flatnonzero(np.add.reduceat((labels > 0).astype(np.int64), ends - n[lines])) if len(lines) else []:
+        i, found = owner[lines[j]], labels[ends[j] - n[lines[j]] : ends[j]].tolist()
+        split = texts[i].split("\n")
+        offset = sum(map(len, split[: number[lines[j]]])) + number[lines[j]]
+        chain = [(m.start() + offset, m.end() + offset) for m in _WORDS.finditer(split[number[lines[j]]])]
         k = 0
         while k < len(chain):
             name = LABELS[found[k]]
@@ -254,7 +352,7 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[
             if name != "O":
                 while end < len(chain) and LABELS[found[end]] == f"I-{name[2:]}":
                     end += 1
-                start, stop = chain[k].start(), chain[end - 1].end()
+                start, stop = chain[k][0], chain[end - 1][1]
                 inner = texts[i][start:stop]
                 lead = _EDGE.match(inner)
                 shift = lead.end() if lead and lead.start() == 0 else 0
@@ -266,6 +364,17 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[
     return out
 
 
+_TABLES: dict[int, Tables] = {}
+memory_of("pii", _TABLES.clear)
+
+
+def _tables(field: Field) -> Tables:
+    if id(field) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(field)] = Tables(field)
+    return _TABLES[id(field)]
+
+
 # ---- Spark ----------------------------------------------------------------------------------------------------
 def labelled_table(spark: SparkSession) -> DataFrame:
     """The labelled sentences that come with the package: words with their labels."""
@@ -302,10 +411,11 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
-        for batch in slices(batches):
+        tables = _tables(shared.value)
+        for batch in (x for whole in batches for x in by_bytes(whole)):
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             base = [base_spans(x) for x in texts]
-            added = added_spans(shared.value, texts, base)
+            added = added_spans(tables, texts, base)
             rows = [sorted([(*s, True) for s in b] + [(*s, False) for s in a], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for b, a in zip(base, added, strict=True)]
             found = pa.array([[{"kind": k, "start": s, "end": e, "base": o} for k, s, e, o in r] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=schema.names)
@@ -313,15 +423,16 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     return source.mapInArrow(run, schema)
 
 
+@cache
+def _trained(rows: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]) -> Field:
+    return train([(list(w), list(x)) for w, x in rows])
+
+
 def trained_field(spark: SparkSession, labelled: DataFrame | None = None, most: int = 2000) -> Field:
-    """The field of a labelled table of `most` sentences at most; the check is that plain words get no label."""
+    """The field of a labelled table (words, labels) of `most` sentences at most."""
     table = labelled if labelled is not None else labelled_table(spark)
-    rows = [(list(r.words), list(r.labels)) for r in table.select("words", "labels").limit(most).collect()]
-    field = train(sorted(rows))
-    plain = viterbi(field, [_features(["word"] * n) for n in (1, 2, 2 * NEAR + 2)])
-    if any(any(x) for x in plain):
-        raise ValueError("the labelled table gives labels to plain words")
-    return field
+    rows = [(tuple(r.words), tuple(r.labels)) for r in table.select("words", "labels").limit(most).collect()]
+    return _trained(tuple(sorted(rows)))
 
 
 def masked(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
