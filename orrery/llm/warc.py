@@ -24,7 +24,7 @@ LEVEL = 4
 #: Smaller payloads are written again rather than referred to.
 LEAST_REVISIT = 100
 ARCHIVES = "path string, n_records long, n_bytes long"
-CHUNKS = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, n_chunks int, data binary"
+CHUNKS = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, n_chunks int, chunk_offset long, data binary, running_digest string"
 
 
 def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, least: int = LEAST_REVISIT) -> DataFrame:
@@ -35,6 +35,9 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found by SHA-256 and length, summed before the shuffle, so thousands of copies are a row a task; pages then meet
     the few digests that occur more than once, and payloads aren't shuffled where those are small. Null ids: such
     pages are responses and no one's target.
+
+    A row has its chunk's offset, and a digest that carries on: SHA-256 of the chunk for the first, of the digest before
+    (its hexadecimal digits) and the chunk for the others. A chunk that is lost, moved or changed shows at once.
     """
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
     rows = pages.select(pages[id_col].cast("long").alias("record_id"), pages[url_col].alias("url"), payload.alias("payload"))
@@ -48,7 +51,14 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     again = F.col("first").isNotNull()
     joined = joined.select("record_id", "url", "payload_bytes", "payload_digest", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), again.alias("again"), F.col("first").alias("refers_to"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / F.lit(chunk))).cast("int")
-    joined = joined.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    part = lambda k: F.substring("payload", k * F.lit(chunk) + 1, F.lit(chunk))
+    carried = F.aggregate(
+        F.sequence(F.lit(0), n - 1),
+        F.array().cast("array<string>"),
+        lambda done, k: F.concat(done, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")).cast("binary"), part(k)), 256))),
+    )
+    digests = F.when(n > 1, carried).otherwise(F.array(F.when(F.col("again"), F.sha2(F.lit(b""), 256)).otherwise(F.col("payload_digest"))))
+    joined = joined.withColumn("n_chunks", n).select("*", F.posexplode(digests).alias("chunk_no", "running_digest"))
     return joined.select(
         "record_id",
         "url",
@@ -58,10 +68,17 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         "payload_digest",
         "chunk_no",
         "n_chunks",
-        F.substring("payload", F.col("chunk_no") * F.lit(chunk) + 1, F.lit(chunk)).alias("data"),
+        (F.col("chunk_no").cast("long") * chunk).alias("chunk_offset"),
+        part(F.col("chunk_no")).alias("data"),
+        "running_digest",
     )
 
 
+def carried_on(before: str, data: bytes) -> str:
+    """The digest that a chunk's row has; before: that of the chunk before, empty for the first."""
+    return hashlib.sha256(before.encode() + data).hexdigest()
+
+
 def _urn(record_id: int | None) -> str:
     return f"<urn:page:{'' if record_id is None else record_id}>"
 
@@ -74,8 +91,10 @@ def _record_id(urn: str) -> int | None:
 def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write one archive a partition of chunks (rows of a record must follow each other in order); returns ARCHIVES.
 
-    An archive is a gzip member for each record, as readers of WARC expect. A block is HTTP headers and the payload. A response's digest is computed over the chunks as they pass and must
-    be the one that its header, written before them, names. A lost task writes a file of a new name, and only names
+    An archive is a gzip member for each record, as readers of WARC expect. A block is HTTP
+    headers and the payload. Chunks must follow each other without a gap, and have the digests that carry on; a response's
+    digest is computed over the chunks as they pass and must be the one that its header, written before them, names. A
+    lost task writes a file of a new name, and only names
     that finished tasks returned are in the result, which is kept in files itself. An empty table has no archive.
     """
     folder = folder or shared_dir(chunks.sparkSession, "warc")
@@ -83,6 +102,7 @@ def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "20
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         name, sink, n, digest = f"{TaskContext.get().partitionId():06d}-{uuid4().hex}.warc.gz", None, 0, None
+        at = (None, 0, 0, "")  # record, number and offset that come next, digest so far
         try:
             for batch in batches:
                 for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
@@ -90,11 +110,16 @@ def write_archives(chunks: DataFrame, folder: str | None = None, date: str = "20
                         fs.create_dir(base, recursive=True)
                         sink = fs.open_output_stream(f"{base}/{name}", compression=None)
                     if row["chunk_no"] == 0:
+                        at = (row["record_id"], 0, 0, "")
                         packer, digest = zlib.compressobj(LEVEL, wbits=31), hashlib.sha256()
                         sink.write(packer.compress(_head(row, date)))
                         n += 1
                     sink.write(packer.compress(row["data"]))
                     digest.update(row["data"])
+                    carried = carried_on(at[3], row["data"]) if row["n_chunks"] > 1 else digest.hexdigest()
+                    if (row["record_id"], row["chunk_no"], row["chunk_offset"], row["running_digest"]) != (*at[:3], carried):
+                        raise ValueError(f"chunk {row['chunk_no']} of record {row['record_id']} is not what follows")
+                    at = (at[0], at[1] + 1, at[2] + len(row["data"]), carried)
                     if row["chunk_no"] == row["n_chunks"] - 1:
                         sink.write(packer.compress(b"\r\n\r\n") + packer.flush())
                         if row["record_type"] == "response" and digest.hexdigest() != row["payload_digest"]:
@@ -138,7 +163,7 @@ def read_archives(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def _read(path: str, chunk: int) -> Iterator[pa.RecordBatch]:
     fs, name = filesystem(path)
-    schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("chunk_offset", pa.int64()), ("data", pa.binary()), ("running_digest", pa.string())])
     rows: list[dict] = []
     held = 0
     with fs.open_input_stream(name, compression=None, buffer_size=1 << 20) as raw:
@@ -154,14 +179,15 @@ def _read(path: str, chunk: int) -> Iterator[pa.RecordBatch]:
             left -= lines.taken - before
             digest, kind = hashlib.sha256(), head["warc-type"]
             own = {"record_id": _record_id(head["warc-record-id"]), "url": head["warc-target-uri"], "record_type": kind, "refers_to": _record_id(head["warc-refers-to"]) if kind == "revisit" else None, "payload_bytes": size, "payload_digest": head["warc-payload-digest"].removeprefix("sha256:")}
-            n = max(1, -(-left // chunk))
+            n, carried = max(1, -(-left // chunk)), ""
             for k in range(n):
                 data = lines.read(min(chunk, left))
                 left -= len(data)
                 digest.update(data)
                 if k == n - 1 and kind == "response" and digest.hexdigest() != own["payload_digest"]:
                     raise ValueError(f"payload of {own['record_id']} in {path} is damaged")
-                rows.append(own | {"chunk_no": k, "n_chunks": n, "data": data})
+                carried = carried_on(carried, data) if n > 1 else digest.hexdigest()
+                rows.append(own | {"chunk_no": k, "n_chunks": n, "chunk_offset": k * chunk, "data": data, "running_digest": carried})
                 held += len(data)
                 if held >= 4 * chunk or len(rows) >= 4096:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -184,7 +210,10 @@ class _Members:
                 self.raw, self.unpacker = self.unpacker.unused_data, zlib.decompressobj(31)
             if not self.raw:
                 self.raw = self.stream.read(1 << 16)
-            out = self.unpacker.decompress(self.raw, n)
+            try:
+                out = self.unpacker.decompress(self.raw, n)
+            except zlib.error as e:
+                raise ValueError(f"the archive is damaged: {e}") from e
             ended = not self.raw
             self.raw = b"" if self.unpacker.eof else self.unpacker.unconsumed_tail
             if out or ended:
