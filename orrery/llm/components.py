@@ -6,16 +6,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize
+from orrery.llm.common import discard, materialize
+
+
+#: Ids with more neighbours than this share of all links (and a thousand) are joined by broadcast: some 2 / HOT of them
+#: at most, whatever the table.
+HOT = 20_000
+
+
+def _handed(rows: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """rows (a, b) with m of least (u, m, n), u being a. The few ids of more than `many` rows are broadcast, so that no
+    task gets all rows of one; Spark can't split a join that comes right after an aggregation by the same key."""
+    hot = least.filter(F.col("n") > many).select(F.col("u").alias("hot"), F.col("m").alias("hot_m"))
+    marked = rows.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left")
+    few = marked.filter("hot is null").select("a", "b").join(least.filter(F.col("n") <= many), F.col("a") == F.col("u")).select("a", "b", "m")
+    return marked.filter("hot is not null").select("a", "b", F.col("hot_m").alias("m")).unionByName(few)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every id in links (a, b): component is the smallest id reachable.
 
     Self links and repeated links do no harm; nulls are left out. In each round every id hands the smallest of its
-    neighbours to the others; the rounds needed grow with the logarithm of a component's width. Links stay in tables
-    in the shared folder between rounds. An id with very many links is reduced to its smallest neighbour before the
-    shuffle, and the join that hands it back is one that Spark can split.
+    neighbours to the others; the rounds needed grow with the logarithm of a component's width, and more than `rounds`
+    raise an error. Links stay in tables in the shared folder between rounds. An id with very many links is reduced to
+    its smallest neighbour before the shuffle, and what hands it back is a broadcast of the few such ids.
     """
     a, b = F.col("a"), F.col("b")
     now = links.filter("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -24,14 +38,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before or mark[0] == 0:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        before = tuple(mark)
+        before, many = tuple(mark), max(1000, mark[0] // HOT)
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy(a.alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).unionByName(now.join(least, a == F.col("u")).select("a", F.col("m").alias("b")))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy(a.alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(low, a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").distinct(), "links")
+        least = both.groupBy(a.alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _handed(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(_handed(now, least, many).select("a", F.col("m").alias("b")))
+        large = materialize(large.filter("a <> b").distinct(), "large")
+        low = large.groupBy(a.alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _handed(large, low, many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        after = materialize(small.filter("a <> b").distinct(), "links")
+        discard(now, large)
+        now = after
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 

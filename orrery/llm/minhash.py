@@ -1,9 +1,10 @@
 """Near duplicates by MinHash with tensored banding.
 
 Two collections of a few bands each are computed; a table's key is a band of the first with one of the second, so m
-bands a collection serve m * m tables, and the hashing is that of 2 m bands. Documents that share a key form a
-candidate group; groups that overlap are united, each candidate's full set is sent to its group once, and links are
-confirmed there on full sets.
+bands a collection serve m * m tables, and the hashing is that of 2 m bands. A key can only be shared where both of its
+bands are, so bands that one document alone has are left out first, and most documents form few keys or none. Documents
+that share a key form a candidate group; groups that overlap are united, each candidate's full set is sent to its group
+once, and links are confirmed there on full sets (of 64-bit hashes of the shingles).
 """
 
 from __future__ import annotations
@@ -17,17 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import enter, materialize, memory_of, partitions, slices
+from orrery.llm.common import WORD, discard, enter, materialize, memory_of, partitions, slices
 from orrery.llm.components import components, roots
 
 WORDS = 5
 #: Bands in each of the two collections, and hashes in a band. Two sets of similarity s share a key with probability
-#: (1 - (1 - s ** HASHES) ** BANDS) ** 2: 0.9997 at 0.85, 0.99999 at 0.9.
-BANDS, HASHES = 12, 4
-#: Documents of a group that meet in one task; larger groups are cut into blocks of so many, and blocks meet in pairs.
-BLOCK = 512
-#: Candidates that are broadcast to the documents (some 30 bytes each); with more, both sides are shuffled by id.
-BROADCAST_ROWS = 1_000_000
+#: (1 - (1 - s ** HASHES) ** BANDS) ** 2: 0.9998 at 0.85, 0.9965 at 0.8, 0.16 at 0.5, 0.02 at 0.4.
+BANDS, HASHES = 16, 5
+#: Documents and bytes of their sets that a group brings to one task; larger groups are cut into blocks, and blocks
+#: meet in pairs.
+BLOCK, BLOCK_BYTES = 512, 1 << 25
+#: Rows of ids that are broadcast to the documents (some 40 bytes each); with more, both sides are shuffled by id.
+BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links are pairs with 100 * intersection >= percent * union of their sets of word runs; component_id is the
     smallest id reachable and kept marks that row. Texts without words (null, empty) have no set and link with nothing.
-    Rows that share an id are one document with the links of each; null ids have a null component and aren't kept.
+    Rows that share an id are one document with the links of each (without_near_duplicates tells them apart); null ids
+    have a null component and aren't kept.
 
     Equal sets are one class from the start, however many copies there are. A group of different texts of any size is
     cut into blocks of `block` documents; a task gets two blocks and returns a link to a root for each document, never
@@ -156,31 +159,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = sets.filter("n > 0 and id is not null")
     classes = materialize(whole.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     one = whole.join(classes, (whole["digest"] == classes["digest"]) & (whole["id"] == classes["rep"]), "left_semi").select("id", "first", "second")
-    cells = [F.xxhash64(F.col("first")[i], F.col("second")[j], F.lit(i * n_bands + j)) for i in range(n_bands) for j in range(n_bands)]
-    keyed = one.select("id", F.explode(F.array(*cells)).alias("key"))
+    each = one.select("id", F.posexplode(F.concat("first", "second")).alias("b", "value")).withColumn("band", F.xxhash64("b", "value"))
+    common = each.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("band")
+    own = each.join(common, "band", "left_semi").groupBy("id").agg(F.collect_list(F.when(F.col("b") < n_bands, F.col("band"))).alias("first"), F.collect_list(F.when(F.col("b") >= n_bands, F.col("band"))).alias("second"))
+    keyed = own.select("id", F.explode("first").alias("f"), "second").select("id", "f", F.explode("second").alias("s")).select("id", F.xxhash64("f", "s").alias("key"))
+    keyed = materialize(keyed, "keys")
     center = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).filter("center <> last").select("key", "center")
     stars = keyed.join(center, "key").filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     groups = materialize(components(stars), "groups")
+    discard(keyed)
     return _resolve(rows, sets, classes, groups, words, percent, block, id_col)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs less the rows that near_duplicates doesn't keep; rows of a null id stay. Of rows that share an id, that
-    of the smallest text stays, as they are one document."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialize(found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct(), "dropped")
-    again = materialize(docs.groupBy(F.col(id_col).cast("long").alias("_again")).count().filter("count > 1 and _again is not null").select("_again"), "repeated")
-    rows = docs.select(F.struct("*").alias("_row"), docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text")).join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    once = rows.join(again, F.col("_id") == F.col("_again"), "left_anti").select("_row")
-    rest = rows.join(again, F.col("_id") == F.col("_again"), "left_semi").groupBy("_id").agg(F.min_by("_row", F.struct("_text")).alias("_row")).select("_row")
-    return once.unionByName(rest).select("_row.*")
+    """docs less the rows whose text is that of another row or near it: of each group that near_duplicates links, the
+    row of the smallest id stays. Texts without words (null, empty) stay, however often they occur.
+
+    A row goes because of its text alone: rows that share an id, and those of a null id, are told apart by their texts,
+    and come after all other ids.
+    """
+    plain = docs.select(F.struct("*").alias("_row"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    own = F.xxhash64("text")
+    groups = plain.groupBy("id").agg(F.count("*").alias("n"), F.min(own).alias("a"), F.max(own).alias("z"))
+    repeated = materialize(groups.filter("n > 1 or id is null").select("id", (F.col("id").isNull() | (F.col("a") != F.col("z"))).alias("differ")), "repeated")
+    rows = plain
+    if any_repeated := not repeated.isEmpty():
+        last = plain.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        texts = plain.join(repeated.filter("differ").select(F.col("id").alias("again")), F.col("id").eqNullSafe(F.col("again")), "left_semi").select(F.col("id").alias("of"), own.alias("h")).distinct()
+        named = materialize(texts.select("of", "h", (F.monotonically_increasing_id() + F.lit(last + 1)).alias("name")), "names")
+        rows = plain.join(named, F.col("id").eqNullSafe(F.col("of")) & (own == F.col("h")), "left").select("_row", F.coalesce("name", "id").alias("id"), "text")
+    found = near_duplicates(rows, "id", "text", **options)
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("id").alias("_gone")).distinct(), "dropped")
+    left = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("id") == F.col("_gone"), "left_anti")
+    if not any_repeated:
+        return left.select("_row.*")
+    # copies of a text under one id: one stays, of those that have words
+    again = repeated.select(F.col("id").alias("again")).unionByName(named.select(F.col("name").alias("again")))
+    several = left.join(again, F.col("id") == F.col("again"), "left_semi")
+    words_in = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
+    rest = several.filter(words_in).groupBy("id").agg(F.min_by("_row", F.struct("text")).alias("_row"))
+    once = left.join(again, F.col("id") == F.col("again"), "left_anti").select("_row")
+    return once.unionByName(rest.select("_row")).unionByName(several.filter(~words_in).select("_row")).select("_row.*")
 
 
 def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, block: int, id_col: str) -> DataFrame:
-    size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    n = groups.count()
-    small_bins = partitions(groups, n, 2 * block)
+    sized = groups.join(sets.filter("id is not null").groupBy("id").agg((8 * F.sum("n")).alias("bytes")), "id")
+    size = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    placed = materialize(groups.join(size.select("component", "bytes", blocks.alias("blocks")), "component"), "placed")
+    n, total = placed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))), F.lit(0))).first()
+    small_bins = partitions(groups, max(n // (2 * block), total // BLOCK_BYTES) + 1, 1)
     held = rows.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "id").select("id", "text", "component", "blocks")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +226,7 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     task = F.when(many, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(small_bins)))
     dealt = dealt.select("id", "component", "members", task.alias("task"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
     links = dealt.groupBy("task", "i", "j").applyInArrow(_confirmed(percent), "a long, b long")
-    linked = components(links).withColumnRenamed("id", "member")
+    linked = materialize(components(links), "linked").withColumnRenamed("id", "member")
     named = classes.join(linked, F.col("rep") == F.col("member"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("id", "n", "digest").join(named, (F.col("digest") == F.col("_digest")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
     component = F.coalesce("component_id", "id")
