@@ -84,6 +84,7 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Classes of bytes: capitals, letters (all beyond ASCII count as such), digits; other characters are themselves.
 _CLASSES = bytes(65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 _RUNS, _DIGITS = re.compile(r"A+|a+"), re.compile(r"9+")
+_BETWEEN = re.compile(r"[-./_]|[\[({]\.[\])}]")
 _EDGES = ".,;:!?\"'"
 #: Words that tell by themselves, also with one mark before and two behind.
 NAMED = tuple("at dot call phone tel fax ring dial number card visa ip host server mail email write contact id order version page section".split())
@@ -108,7 +109,7 @@ def seen(word: bytes) -> Word:
     plain = word.decode()
     s = _RUNS.sub(lambda m: m[0][0], plain.strip(_EDGES))
     digits = s.count("9")
-    return Word(s, "", ["bias", f"s={s}", f"g={_DIGITS.sub('9', s)}", f"d={digits}", f"k={bool(digits)}{'@' in s}{'[' in s or '(' in s or '{' in s}", f"end={plain[-1:] in _EDGES}"])
+    return Word(s, "", ["bias", f"s={s}", f"g={_DIGITS.sub('9', s)}", f"q={_BETWEEN.sub('-', _DIGITS.sub('9', s))}", f"n={digits}|{len(_DIGITS.findall(s))}", f"d={digits}", f"k={bool(digits)}{'@' in s}{'[' in s or '(' in s or '{' in s}", f"end={plain[-1:] in _EDGES}"])
 
 
 def named(word: bytes) -> str:
