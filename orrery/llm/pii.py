@@ -120,6 +120,8 @@ def named(word: bytes) -> str:
 #: Features by the words around: the place of the word, and what is seen of it.
 AROUND = [(-1, "shape"), (1, "shape"), (0, "name"), (-1, "name"), (1, "name"), (-2, "name"), (2, "name")]
 PAIRS = (-1, 1)
+#: Pairs of places that both hold telling words.
+NAME_PAIRS = ((-1, 1), (1, 3), (0, 2), (-2, 0), (-3, -1))
 
 
 def _features(words: list[str]) -> list[list[str]]:
@@ -128,7 +130,7 @@ def _features(words: list[str]) -> list[list[str]]:
     out = []
     for i, w in enumerate(row):
         at = lambda k: row[i + k] if 0 <= i + k < len(row) else Word("^" if k < 0 else "$", "", [])  # noqa: B023, E731
-        out.append([*w.own, *[f"{k}{part}={getattr(at(k), part)}" for k, part in AROUND], *[f"{k}pair={w.shape}|{at(k).shape}" for k in PAIRS]])
+        out.append([*w.own, *[f"{k}{part}={getattr(at(k), part)}" for k, part in AROUND], *[f"{k}pair={w.shape}|{at(k).shape}" for k in PAIRS], *[f"{a}{b}names={at(a).name}|{at(b).name}" if at(a).name and at(b).name else "no names" for a, b in NAME_PAIRS]])
     return out
 
 
@@ -151,7 +153,7 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, 0.0, -1e4), np.where([x.startswith("I-") for x in LABELS], -1e4, 0.0)
 
 
-def train(rows: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.15, ridge: float = 0.02) -> Field:
+def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.02) -> Field:
     """Maximum likelihood with a ridge, by gradient steps with running second moments, over sentences as padded batches."""
     names = sorted({f for words, _ in rows for fs in _features(words) for f in fs})
     index = {f: i for i, f in enumerate(names)}
@@ -215,6 +217,9 @@ class Tables:
                     a, b = f.split("=", 1)[1].split("|", 1) if f.count("|") == 1 else (None, None)
                     if a in self.shapes and b in self.shapes:
                         self.pairs[k][self.shapes[a], self.shapes[b]] = field.emit[i]
+        none = weight("no names")
+        self.name_pairs = {(a, b): np.array([[weight(f"{a}{b}names={x}|{y}") - none if x and y else 0 * none for y in by["name"]] for x in by["name"]], np.float32) for a, b in NAME_PAIRS}
+        self.no_names = (len(NAME_PAIRS) * none).astype(np.float32)
         self.start, self.stop = self.shapes.get("^", 0), self.shapes.get("$", 0)
         stay = field.step[0, 0]
         first, inner = [LABELS.index(f"B-{k}") for k in KINDS], [LABELS.index(f"I-{k}") for k in KINDS]
@@ -265,6 +270,14 @@ class Tables:
                 out[place[same]] += table[seen_of[part][telling[same]]] - table[0]
         for k in PAIRS:
             out += self.pairs[k][seen_of["shape"], moved("shape", k)]
+        out += self.no_names
+        telling = np.flatnonzero(name)
+        for (a, b), table in self.name_pairs.items():
+            place = telling - a
+            place = place[(place >= 0) & (place < len(at))]
+            for k in (a, b):
+                place = place[(after[place] >= k) & (before[place] >= -k)]
+            out[place] += table[name[place + a], name[place + b]]
         return out
 
     def open_lines(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import random
 
-#: # is a digit; N, M and T are names, hosts and top domains.
+#: # is a digit; N, M and T are names, hosts and top domains. The form that is all plain words stands four times.
 FORMS = {
     "phone": ["(###) ###-####", "(###) ### ####", "###-###-####", "###.###.####", "### ### ####", "0## #### ####", "00## ## #######", "0##/#######", "0## / #######", "0##-#######", "0##.######## ", "0#### ######", "+## ## #### ####", "+1 (###) ###-####", "00##-##-#######"],
-    "email": ["N [at] M [dot] T", "N(at)M(dot)T", "N (at) M (dot) T", "N at M dot T", "N AT M DOT T", "N[at]M[dot]T", "N[at]M.T", "N [at] M.T", "N (at) M.T", "N at M dot M dot T", "N [at] M [dot] M [dot] T", "N@M.T", "N_N@M.T", "N {at} M {dot} T"],
+    "email": ["N [at] M [dot] T", "N(at)M(dot)T", "N (at) M (dot) T", "N at M dot T", "N at M dot T", "N at M dot T", "N at M dot T", "N AT M DOT T", "N[at]M[dot]T", "N[at]M.T", "N [at] M.T", "N (at) M.T", "N at M dot M dot T", "N [at] M [dot] M [dot] T", "N@M.T", "N_N@M.T", "N {at} M {dot} T"],
     "ip": ["I[.]I[.]I[.]I", "I(.)I(.)I(.)I", "I.I.I.I", "I[.]I.I[.]I", "I{.}I{.}I{.}I"],
     "card": ["CCCC CCCC CCCC CCCL", "CCCC-CCCC-CCCC-CCCL", "CCCC.CCCC.CCCC.CCCL", "CCCC/CCCC/CCCC/CCCL", "CCCC_CCCC_CCCC_CCCL", "CCCCCCCCCCCCCCCL", "CCCC.CCCCCC.CCCCL"],
 }
 AROUND = {
     "phone": ["please call {} before noon", "tel {} all day", "Tel: {} or write", "phone {} after six", "my number is {} and no other", "fax {}", "reach us on {} or in the shop", "{} rings", "ring {} today", "dial {} now", "the shop ({}) is closed", "at {} you reach anna", "{}", "{} again"],
-    "email": ["write to {} please", "mail {} about the order", "his mail is {} these days", "send it to {} or call", "{} is the address", "contact {} for more", "Email: {} soon", "she is {} now", "or {} if you like", "reply to {} by may", "{}", "so {} wrote"],
+    "email": ["write to {} please", "mail {} about the order", "his mail is {} these days", "send it to {} or call", "{} is the address", "contact {} for more", "Email: {} soon", "she is {} now", "or {} if you like", "reply to {} by may", "{}", "{}", "{}", "{} or", "{} and bob", "so {} wrote", "see {}", "{} please", "my address: {}", "ask {}"],
     "ip": ["server {} was blocked", "see {} in the log", "from {} came nothing", "host {} is down", "ip {} again", "{} answered", "the address {} is bad", "{}"],
     "card": ["card {} was used", "paid with {} yesterday", "pay by {} here", "card {} expired", "card number {} please", "{} is blocked", "visa {} and a name"],
 }
@@ -56,7 +56,7 @@ def value(form: str, dice: random.Random) -> str:
     return out.strip()
 
 
-def labelled(each: int = 6, seed: int = 11) -> list[str]:
+def labelled(each: int = 8, seed: int = 11) -> list[str]:
     """Sentences: `each` of every form, in sentences drawn for its kind, and the plain ones."""
     dice = random.Random(seed)
     out = []
