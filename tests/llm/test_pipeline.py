@@ -5,10 +5,12 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from orrery.llm import byte_bpe, mixing, pii, quality
+from orrery.llm.common import materialize, released
 from tests.llm.test_small import brute_components
 
 QUALITY, NEAR, PII, MIX, IDS = (f for _, f in corpus_pipeline.STAGES)
@@ -69,6 +71,61 @@ def test_ids(stages):
     assert all(r.round_trip and r.ids == library.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in rows)
 
 
+def run_stages(spark, docs):
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        with released() as keep:
+            out.append(keep(materialize(stage(spark, out[-1], ""), "stage")))
+    return out
+
+
+def test_nulls_clashing_columns_and_repeated_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ("_row", "_text", "kept", "w0", "pii", "ids", "size", "_id", "component", "lang_", "n", "taken", "log_ppl")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7_000_001, "", "en", "web", 0), (7_000_002, "x" * 300_000, "en", None, 1), (7_000_002, "word " * 60, None, "web", 2)], docs.schema)
+    extra = docs.unionByName(odd).unionByName(docs.limit(5)).withColumns({n: F.lit(1) for n in names})
+    steps = run_stages(spark, extra)
+    assert all(s.columns == extra.columns for s in steps[1:5])
+    assert steps[5].filter("round_trip").count() == steps[5].count() > 0
+    kept = [r.doc_id for r in steps[2].collect()]
+    assert len(kept) == len(set(kept))
+
+
+def test_nulls_pass_every_stage(spark):
+    """Each stage alone on rows of nulls: quality drops texts without words, the others keep them."""
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, None, "en", "web", 0), (2, "", None, "web", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert QUALITY(spark, docs, "").count() == 0
+    assert NEAR(spark, docs, "").count() == 3 and PII(spark, docs, "").count() == 3
+    assert MIX(spark, docs, "").columns == docs.columns
+    assert sorted(r.n_tokens for r in IDS(spark, docs, "").collect()) == [0, 0, 0]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [s.count() for s in run_stages(spark, docs)] == [0] * 6
+
+
+def test_run_leaves_one_table(spark, sf_dir):
+    from orrery.llm import common
+
+    before = set(common._TABLES)
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert set(common._TABLES) - before == {out._table_path} and out.count() > 0
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from orrery.llm import common
+
+    settings = {"spark.master": "spark://host:7077"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session, "x")
+    settings["spark.master"] = "local[4]"
+    assert common.shared_dir(session, "x").startswith("file:///tmp/")
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
