@@ -1,4 +1,4 @@
-"""Shared folders, cut lineage and whitespace segments for the operators of this subpackage."""
+"""Shared folders, tables between steps, and small helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,10 +110,3 @@ def enter(operator: str) -> None:
     for name, forget in _MEMORIES.items():
         if name != operator:
             forget()
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task holds besides its input stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)

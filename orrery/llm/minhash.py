@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import WORD, discard, enter, materialize, memory_of, partitions, slices
+from orrery.llm.common import WORD, discard, enter, materialize, memory_of, partitions
 from orrery.llm.components import components, roots
+from orrery.llm.segment_ids import by_bytes
 
 WORDS = 5
 #: Bands in each of the two collections, and hashes in a band. Two sets of similarity s share a key with probability
@@ -87,7 +88,7 @@ def signatures(docs: DataFrame, words: int, n_bands: int, hashes: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("minhash")
-        for batch in slices(batches, 512):
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 22)):
             sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             own = np.zeros((len(sets), 2 * n_bands), np.uint64)
@@ -209,13 +210,13 @@ def _resolve(rows: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     placed = materialize(groups.join(size.select("component", "bytes", blocks.alias("blocks")), "component"), "placed")
     n, total = placed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))), F.lit(0))).first()
     small_bins = partitions(groups, max(n // (2 * block), total // BLOCK_BYTES) + 1, 1)
-    held = rows.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "id").select("id", "text", "component", "blocks")
+    held = rows.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, "id").select("id", "component", "blocks", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("minhash")
-        for batch in slices(batches, 256):
-            own = pa.array([shingles(x, words).tobytes() for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), own], names=["id", "component", "blocks", "members"])
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 21)):
+            own = pa.array([shingles(x, words).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own], names=["id", "component", "blocks", "members"])
 
     full = held.mapInArrow(members, "id long, component long, blocks int, members binary").filter(F.octet_length("members") > 0)
     many = F.col("blocks") > 1

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import enter, filesystem, materialize, memory_of, partitions, shared_dir, slices
+from orrery.llm.common import enter, filesystem, materialize, memory_of, partitions, shared_dir
 from orrery.llm.segment_ids import SegmentIds, by_bytes, free, joined, text_bytes
 
 #: Segments whose ids a Python worker keeps (some 40 bytes each); beyond it the memory starts anew.
@@ -175,7 +175,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, folder: str | None = N
         docs_schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
         with fs.open_output_stream(f"{name}.arrow") as sink, fs.open_output_stream(f"{name}.docs.arrow") as docs_sink:
             writer, index = SequenceWriter(sink, kind, length, rows), pa.ipc.new_file(docs_sink, docs_schema)
-            for batch in slices(_chain(first, batches)):
+            for batch in (x for whole in _chain(first, batches) for x in by_bytes(whole)):
                 writer.append(text_bytes(batch.column(2))[0].tobytes())
                 sizes = batch.column(1).to_numpy()
                 starts = at + np.cumsum(sizes) - sizes

@@ -700,8 +700,26 @@ def test_chunks_carry_their_digests(spark):
             warc.write_archives(lost)
 
 
-def test_slices():
-    batch = pa.RecordBatch.from_pydict({"a": list(range(5))})
-    from orrery.llm.common import slices
-
-    assert [b.num_rows for b in slices(iter([batch]), 2)] == [2, 2, 1]
+def test_batches_are_cut_by_bytes():
+    from orrery.llm.segment_ids import by_bytes
+
+    texts = ["x" * 10, None, "y" * 50, "", "z" * 5, "é" * 4]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(6)), "t": texts})
+    parts = list(by_bytes(batch, 16))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column(1).to_pylist()) <= 16 for p in parts)
+    assert list(by_bytes(batch.slice(0, 0))) == []
+
+
+def test_several_very_long_texts(spark):
+    """Texts of megabytes side by side, through every operator on texts."""
+    own = random.Random(3)
+    long = [" ".join(own.choice(VOCABULARY) for _ in range(250_000)) for _ in range(3)]
+    rows = [(i, x, "en", "s") for i, x in enumerate([*long, long[0] + " end", "short"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4}
+    assert sorted(r.n_words for r in quality.judge(table, keep=["doc_id"]).collect()) == [1, 250_000, 250_000, 250_000, 250_001]
+    assert sorted(r.n_tokens for r in ppm.score(table).collect()) == [2, 250_001, 250_001, 250_001, 250_002]
+    assert all(bytes(r.decoded) == rows[r.doc_id][1].encode() for r in byte_bpe.encode(table, RANKS, PATTERN, decoded_col="decoded").collect())
+    assert token_files.read_documents(token_files.write_sequences(table, public_tokenizers.path("byte_bpe_50k.json"))).count() == 5
+    assert pii.find_pii(table, pii.trained_field(spark)).filter("size(pii) = 0").count() == 5
