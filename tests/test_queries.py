@@ -71,7 +71,7 @@ def test_no_window_holds_a_group_of_raw_values(spark):
 
 def test_small_things(spark, tmp_path):
     from orrery.functions import dates
-    from orrery.operators import audit
+    from orrery.operators import audit, series
     from orrery.sources import catalogs
 
     days = spark.createDataFrame([(0,), (9131,), (None,)], "d int").select(dates.day_to_year(F.col("d")).alias("y"))
@@ -80,6 +80,8 @@ def test_small_things(spark, tmp_path):
     assert [r.label for r in mass.mass_by(rows, F.col("k"), top=3, above=0).collect()] == ["d", "a"]
     one = lambda x: spark.createDataFrame([(x,)], "total_kg long")
     assert tuple(audit.compared_totals(one(3), one(4)).first()) == (3, 4, 4)
+    wide = spark.createDataFrame([(1, 2, 3)], "bucket int, a int, b int")
+    assert sorted(map(tuple, series.long_form(wide, ["a", "b"]).collect())) == [(1, "a", 2), (1, "b", 3)]
     catalogs.write_json(rows, str(tmp_path / "rows"))
     assert spark.read.json(str(tmp_path / "rows")).count() == 4
 
