@@ -3,7 +3,8 @@
 Unit vectors of cosine c are sqrt(2 - 2 c) apart. A random rotation spreads that evenly over the dimensions, which
 are split into blocks: vectors within the whole squared distance are within a block's proportional share of it in one
 block at least. So each block is range-joined under its own budget: by slabs of its first coordinate, to which a
-vector comes with all that lie within the budget's radius, and in a slab by the block's distances. Candidates are
+vector comes with all that lie within the budget's radius, and in a slab by boxes over all coordinates of the block: the
+vectors at home are halved at medians, and visitors go on to a half only if its box is within the budget. Candidates are
 verified there on the full vectors in double precision, and a pair counts in the first block that has it.
 """
 
@@ -16,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialize
+from orrery.llm.common import discard, materialize
 from orrery.llm.components import Forest, components
 
 BLOCKS = 8
 #: Vectors of a slab that meet in one task; larger slabs are cut into chunks, and chunks meet in pairs.
 CHUNK = 32_768
-#: Added to a block's budget, so that rounding to single precision loses no candidate.
+#: Added to a block's budget, so that rounding loses no candidate.
 SLACK = 1e-6
+#: Vectors at home in a box that isn't halved again.
+LEAF = 48
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -48,12 +51,39 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _turn(unit: np.ndarray) -> np.ndarray:
+    """Rotated vectors, summed in one order, so that a vector has the same bits wherever it is turned."""
+    turn, out = rotation(unit.shape[1]), np.zeros_like(unit)
+    for k in range(unit.shape[1]):
+        out += unit[:, k : k + 1] * turn[k]
+    return out
+
+
+def boxed(visitors: np.ndarray, home: np.ndarray, limit: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of visitors and of home, box by box: all pairs within the squared distance are among them. Boxes hold `leaf`
+    rows of home at most, unless those are all alike."""
+    todo = [(np.arange(len(visitors)), np.arange(len(home)))]
+    while todo:
+        i, j = todo.pop()
+        low, high = home[j].min(0), home[j].max(0)
+        beyond = np.maximum(np.maximum(low - visitors[i], visitors[i] - high), 0)
+        i = i[np.einsum("ij,ij->i", beyond, beyond) <= limit + 1e-9]
+        if not len(i):
+            continue
+        c = int((high - low).argmax())
+        if len(j) <= leaf or high[c] == low[c]:
+            yield i, j
+            continue
+        order = np.argsort(home[j, c], kind="stable")
+        todo += [(i, j[order[: len(j) // 2]]), (i, j[order[len(j) // 2 :]])]
+
+
 def _widths(dim: int, cosine: float, blocks: int) -> np.ndarray:
     return np.maximum(2 * np.sqrt(budgets(dim, cosine, blocks)), 0.02)
 
 
 def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """(dim, block, slab, home, id, copies, raw, turned): each vector once at home, and in the slabs that its radius reaches."""
+    """(dim, block, slab, home, id, copies, raw): each vector once at home, and in the slabs that its radius reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,23 +91,22 @@ def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
             dims = np.array([len(x) // 4 for x in raw], int)
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                turned = (_unit([raw[i] for i in own]) @ rotation(int(dim))).astype(np.float32)
-                packed = [x.tobytes() for x in turned]
+                turned = _turn(_unit([raw[i] for i in own]))
                 edges, radius, width = block_edges(dim, blocks), np.sqrt(budgets(dim, cosine, blocks)), _widths(dim, cosine, blocks)
                 for b in range(len(edges) - 1):
-                    first = turned[:, edges[b]].astype(float)
+                    first = turned[:, edges[b]]
                     home = np.floor(first / width[b]).astype(int)
-                    lo, hi = (np.floor((first + s * radius[b]) / width[b]).astype(int) for s in (-1, 1))
+                    lo, hi = (np.floor((first + s * (radius[b] + 1e-5)) / width[b]).astype(int) for s in (-1, 1))
                     for slab_of, is_home, use in [(home, True, np.ones(len(own), bool))] + [(lo + k, False, lo + k <= hi) for k in range(int((hi - lo).max()) + 1)]:
                         at = np.flatnonzero(use)
                         n = len(at)
                         if n:
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab_of[at].astype(np.int32)), pa.array(np.full(n, is_home)), pa.array(ids[own[at]]), pa.array(copies[own[at]]), pa.array([raw[own[i]] for i in at], pa.binary()), pa.array([packed[i] for i in at], pa.binary())],
-                                names=["dim", "block", "slab", "home", "id", "copies", "raw", "turned"],
+                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab_of[at].astype(np.int32)), pa.array(np.full(n, is_home)), pa.array(ids[own[at]]), pa.array(copies[own[at]]), pa.array([raw[own[i]] for i in at], pa.binary())],
+                                names=["dim", "block", "slab", "home", "id", "copies", "raw"],
                             )
 
-    return table.mapInArrow(run, "dim int, block int, slab int, home boolean, id long, copies long, raw binary, turned binary")
+    return table.mapInArrow(run, "dim int, block int, slab int, home boolean, id long, copies long, raw binary")
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -89,45 +118,37 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(cosine: float, blocks: int, step: int = 1024):
+def _joined(cosine: float, blocks: int, step: int = 1 << 20):
     """A chunk of visitors against a chunk at home: sums of copies linked to each, and links to a root for each."""
 
     def run(cell: pa.Table) -> pa.Table:
         dim, block = cell["dim"][0].as_py(), cell["block"][0].as_py()
         home = cell["home"].to_numpy()
-        raw, ids = _unit(cell["raw"].to_pylist()), cell["id"].to_numpy()
-        turned = np.frombuffer(b"".join(cell["turned"].to_pylist()), np.float32).astype(float).reshape(len(ids), dim)
-        copies = cell["copies"].to_numpy()
-        edges, limit = block_edges(dim, blocks), budgets(dim, cosine, blocks)
-        a, b = np.flatnonzero(~home), np.flatnonzero(home)
-        a, b = a[np.argsort(ids[a])], b[np.argsort(ids[b])]
-        own = slice(edges[block], edges[block + 1])
-        small = turned[:, own].astype(np.float32)
+        raw, ids, copies = _unit(cell["raw"].to_pylist()), cell["id"].to_numpy(), cell["copies"].to_numpy()
+        turned, edges, limit = _turn(raw), block_edges(dim, blocks), budgets(dim, cosine, blocks)
+        a, b, own = np.flatnonzero(~home), np.flatnonzero(home), slice(edges[block], edges[block + 1])
+        small = np.ascontiguousarray(turned[:, own])
         square = (small * small).sum(1)
-        right = np.concatenate([small[b].T, np.ones((1, len(b)), np.float32), square[b][None, :]]).astype(np.float32)
         near = np.zeros(len(ids), np.int64)
         forest = Forest(len(ids))
-        for lo in range(0, len(a), step):
-            rows = a[lo : lo + step]
-            left = np.concatenate([-2 * small[rows], square[rows][:, None], np.ones((len(rows), 1), np.float32)], 1)
-            for at in range(int(np.searchsorted(ids[b], ids[rows[0]], "right")), len(b), 4 * step):
-                found = np.flatnonzero((left @ right[:, at : at + 4 * step]).ravel() <= limit[block] + 1e-5)
-                if not len(found):
-                    continue
-                width = min(4 * step, len(b) - at)
-                for k in range(0, len(found), 1 << 16):
-                    p, q = rows[found[k : k + (1 << 16)] // width], b[at + found[k : k + (1 << 16)] % width]
-                    use = (ids[p] < ids[q]) & (_near(turned[p][:, own], turned[q][:, own]) <= limit[block])
-                    p, q = p[use], q[use]
-                    use = np.einsum("ij,ij->i", raw[p], raw[q]) >= cosine
-                    p, q = p[use], q[use]
-                    for earlier in range(block):
-                        part = slice(edges[earlier], edges[earlier + 1])
-                        use = _near(turned[p][:, part], turned[q][:, part]) > limit[earlier]
-                        p, q = p[use], q[use]
-                    np.add.at(near, p, copies[q])
-                    np.add.at(near, q, copies[p])
-                    forest.join(p, q)
+        for i, j in boxed(small[a], small[b], limit[block]):
+            left, q = a[i], b[j]
+            for at in range(0, len(left), max(1, step // len(q))):
+                p = left[at : at + max(1, step // len(q))]
+                found = square[p][:, None] + square[q][None, :] - 2 * (small[p] @ small[q].T) <= limit[block] + 1e-9
+                x, y = np.nonzero(found & (ids[p][:, None] < ids[q][None, :]))
+                x, y = p[x], q[y]
+                use = _near(small[x], small[y]) <= limit[block]
+                x, y = x[use], y[use]
+                use = np.einsum("ij,ij->i", raw[x], raw[y]) >= cosine
+                x, y = x[use], y[use]
+                for earlier in range(block):
+                    part = slice(edges[earlier], edges[earlier + 1])
+                    use = _near(turned[x][:, part], turned[y][:, part]) > limit[earlier]
+                    x, y = x[use], y[use]
+                np.add.at(near, x, copies[y])
+                np.add.at(near, y, copies[x])
+                forest.join(x, y)
         root = forest.settled()
         child = np.flatnonzero(root != np.arange(len(ids)))
         linked = np.flatnonzero(near)
@@ -146,8 +167,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
     A slab of any size is cut into chunks by a hash, and each pair of chunks is a task with 2 * chunk vectors at most
     that returns counts and a link to a root for each vector, never pairs. The rotation spreads a threshold over all
-    blocks, so the join is exact for any data. Its work grows with the square of the different vectors, by a constant
-    that falls with the blocks' selectivity: see README.
+    blocks, so the join is exact for any data. How many pairs its boxes leave to compare depends on the data and falls
+    with the number of vectors: see README.
     """
     v = F.col("v")
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("v"))
@@ -171,8 +192,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     dealt = cells.join(sizes, ["dim", "block", "slab"])
     dealt = dealt.withColumn("i", F.when(F.col("home"), part("homes"))).withColumn("j", F.when(~F.col("home"), part("visits")))
     dealt = dealt.withColumn("k", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("visits") - 1)).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))))
-    dealt = dealt.withColumn("i", F.coalesce("i", "k")).withColumn("j", F.coalesce("j", "k")).select("dim", "block", "slab", "i", "j", "home", "id", "raw", "turned", "copies")
+    dealt = dealt.withColumn("i", F.coalesce("i", "k")).withColumn("j", F.coalesce("j", "k")).select("dim", "block", "slab", "i", "j", "home", "id", "raw", "copies")
     found = materialize(dealt.groupBy("dim", "block", "slab", "i", "j").applyInArrow(_joined(cosine, blocks), "id long, root long, n long"), "joined")
+    discard(cells)
     counts = found.filter("root is null").groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("n"))
     linked = components(found.filter("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "member")
     named = classes.join(counts, F.col("rep") == F.col("of"), "left").join(linked, F.col("rep") == F.col("member"), "left")
