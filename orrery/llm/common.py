@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +108,18 @@ def memory_of(operator: str, forget: Callable[[], None]) -> None:
     _MEMORIES[operator] = forget
 
 
+_LAST = [""]
+
+
 def enter(operator: str) -> None:
-    """A task of an operator begins: the worker, which Spark uses again, forgets what other operators remember."""
+    """A task of an operator begins: the worker, which Spark uses again, forgets what other operators remember and gives
+    memory that is free back to the system."""
     for name, forget in _MEMORIES.items():
         if name != operator:
             forget()
+    if _LAST[0] != operator:
+        _LAST[0] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)

@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 from orrery.llm.common import discard, materialize
 
 
-#: Ids with more neighbours than this share of all links (and a thousand) are joined by broadcast: some 2 / HOT of them
-#: at most, whatever the table.
+#: Keys with more rows than this share of all (and a thousand) are joined by broadcast: HOT of them at most, whatever
+#: the table.
 HOT = 20_000
 
 
-def _handed(rows: DataFrame, least: DataFrame, many: int) -> DataFrame:
-    """rows (a, b) with m of least (u, m, n), u being a. The few ids of more than `many` rows are broadcast, so that no
-    task gets all rows of one; Spark can't split a join that comes right after an aggregation by the same key."""
-    hot = least.filter(F.col("n") > many).select(F.col("u").alias("hot"), F.col("m").alias("hot_m"))
-    marked = rows.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left")
-    few = marked.filter("hot is null").select("a", "b").join(least.filter(F.col("n") <= many), F.col("a") == F.col("u")).select("a", "b", "m")
-    return marked.filter("hot is not null").select("a", "b", F.col("hot_m").alias("m")).unionByName(few)
+def hot_rows(rows: int) -> int:
+    """How many rows of one key make it hot."""
+    return max(1000, rows // HOT)
+
+
+def handed(rows: DataFrame, found: DataFrame, key: str, many: int) -> DataFrame:
+    """rows with m of found (u, m, n), u being the key and n how many rows of the table have it; rows of other keys go.
+
+    The few keys of more than `many` rows are broadcast, so that no task gets all rows of one: Spark can't split a join
+    that comes right after an aggregation by the same key.
+    """
+    hot = found.filter(F.col("n") > many).select(F.col("u").alias("_hot"), F.col("m").alias("_m"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    few = marked.filter("_hot is null").select(*rows.columns).join(found.filter(F.col("n") <= many).select("u", "m"), F.col(key) == F.col("u")).select(*rows.columns, "m")
+    return marked.filter("_hot is not null").select(*rows.columns, F.col("_m").alias("m")).unionByName(few)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -38,13 +46,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before or mark[0] == 0:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        before, many = tuple(mark), max(1000, mark[0] // HOT)
+        before, many = tuple(mark), hot_rows(mark[0])
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy(a.alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = _handed(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(_handed(now, least, many).select("a", F.col("m").alias("b")))
+        large = handed(both.filter("b > a"), least, "a", many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(handed(now, least, "a", many).select("a", F.col("m").alias("b")))
         large = materialize(large.filter("a <> b").distinct(), "large")
         low = large.groupBy(a.alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _handed(large, low, many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = handed(large, low, "a", many).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         after = materialize(small.filter("a <> b").distinct(), "links")
         discard(now, large)
         now = after

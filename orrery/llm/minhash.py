@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import WORD, discard, enter, materialize, memory_of, partitions
-from orrery.llm.components import components, roots
+from orrery.llm.components import components, handed, hot_rows, roots
 from orrery.llm.segment_ids import by_bytes
 
 WORDS = 5
@@ -28,7 +28,7 @@ WORDS = 5
 BANDS, HASHES = 16, 5
 #: Documents and bytes of their sets that a group brings to one task; larger groups are cut into blocks, and blocks
 #: meet in pairs.
-BLOCK, BLOCK_BYTES = 512, 1 << 25
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Rows of ids that are broadcast to the documents (some 40 bytes each); with more, both sides are shuffled by id.
 BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, words: int, n_bands: int, hashes: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("minhash")
-        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 22)):
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 21)):
             sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             own = np.zeros((len(sets), 2 * n_bands), np.uint64)
@@ -112,7 +112,7 @@ def near_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     common = np.bincount(column)[column] > 1  # what one set alone has is in no intersection
     column, row = column[common], row[common]
     column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
-    shared, width = np.zeros((n, n), np.float32), 8192
+    shared, width = np.zeros((n, n), np.float32), 4096
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, (at, at + width))
         part = np.zeros((n, min(width, int(column[hi - 1]) - at + 1)), np.float32)
@@ -161,12 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(whole.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     one = whole.join(classes, (whole["digest"] == classes["digest"]) & (whole["id"] == classes["rep"]), "left_semi").select("id", "first", "second")
     each = one.select("id", F.posexplode(F.concat("first", "second")).alias("b", "value")).withColumn("band", F.xxhash64("b", "value"))
-    common = each.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("band")
-    own = each.join(common, "band", "left_semi").groupBy("id").agg(F.collect_list(F.when(F.col("b") < n_bands, F.col("band"))).alias("first"), F.collect_list(F.when(F.col("b") >= n_bands, F.col("band"))).alias("second"))
+    common = each.groupBy(F.col("band").alias("u")).agg(F.min("id").alias("m"), F.max("id").alias("z"), F.count("*").alias("n")).filter("m < z").select("u", "m", "n")
+    own = handed(each.select("id", "b", "band"), common, "band", hot_rows(2 * n_bands * classes.count())).groupBy("id").agg(F.collect_list(F.when(F.col("b") < n_bands, F.col("band"))).alias("first"), F.collect_list(F.when(F.col("b") >= n_bands, F.col("band"))).alias("second"))
     keyed = own.select("id", F.explode("first").alias("f"), "second").select("id", "f", F.explode("second").alias("s")).select("id", F.xxhash64("f", "s").alias("key"))
     keyed = materialize(keyed, "keys")
-    center = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).filter("center <> last").select("key", "center")
-    stars = keyed.join(center, "key").filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    center = keyed.groupBy(F.col("key").alias("u")).agg(F.min("id").alias("m"), F.max("id").alias("z"), F.count("*").alias("n")).filter("m < z").select("u", "m", "n")
+    stars = handed(keyed, center, "key", hot_rows(keyed.count())).filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     groups = materialize(components(stars), "groups")
     discard(keyed)
     return _resolve(rows, sets, classes, groups, words, percent, block, id_col)

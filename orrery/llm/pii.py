@@ -426,7 +426,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pii")
         tables = _tables(shared.value)
-        for batch in (x for whole in batches for x in by_bytes(whole)):
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 20)):
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             base = [base_spans(x) for x in texts]
             added = added_spans(tables, texts, base)

@@ -31,7 +31,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose last column has so many bytes at most, or one longer row."""
     ends = text_bytes(batch.column(batch.num_columns - 1))[1]
     lo = 0
