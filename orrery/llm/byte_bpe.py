@@ -22,9 +22,9 @@ from orrery.llm.common import enter, memory_of
 from orrery.llm.segment_ids import HashIndex, SegmentIds, by_bytes, free, joined, mixed
 
 #: Segments whose ids a Python worker keeps (some 40 bytes each); beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Bytes of pre-tokens that are merged at once (some 40 bytes of memory each), or one longer pre-token.
-MERGED = 1 << 21
+MERGED = 1 << 20
 
 
 class RankQueue:

@@ -109,17 +109,23 @@ def memory_of(operator: str, forget: Callable[[], None]) -> None:
 
 
 _LAST = [""]
+#: Of the C library: the setting for the size from which memory is mapped apart, and that size.
+_MAPPED_FROM, _MAPPED_SIZE = -3, 1 << 19
 
 
 def enter(operator: str) -> None:
     """A task of an operator begins: the worker, which Spark uses again, forgets what other operators remember and gives
-    memory that is free back to the system."""
+    memory that is free back to the system. Large arrays are mapped apart, so that they go back as soon as they are
+    freed and leave no holes that the worker keeps."""
     for name, forget in _MEMORIES.items():
         if name != operator:
             forget()
     if _LAST[0] != operator:
+        library = ctypes.CDLL(None)
+        with suppress(AttributeError):  # where the C library has no such functions
+            if not _LAST[0]:
+                library.mallopt(_MAPPED_FROM, _MAPPED_SIZE)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            library.malloc_trim(0)
         _LAST[0] = operator
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # where the C library has no such function
-            ctypes.CDLL(None).malloc_trim(0)

@@ -42,7 +42,7 @@ def events(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[use], begins - np.arange(len(texts)) * (order - 1)
 
 
-def pieces(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of so many bytes in all, or of one longer text."""
     at, size = 0, 0
     for i, text in enumerate(texts):
@@ -80,7 +80,7 @@ class Counts:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes], order: int, weight: int = 1) -> None:
-        for a, b in pieces(texts, 1 << 22):
+        for a, b in pieces(texts, 1 << 21):
             key = np.sort(events(texts[a:b], order)[0])
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             self.parts.append((key[start], weight * np.diff(start, append=len(key))))

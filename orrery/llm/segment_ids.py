@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Longer segments are encoded each time and not remembered.
 LONGEST = 200
 _P = np.uint64(0x9E3779B97F4A7C15)
