@@ -260,20 +260,23 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     a memory of REMEMBERED short segments per worker.
     """
     keep = [c for c in df.columns if c not in (ids_col, decoded_col)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else []))
-    source = df.select(*[df[c] for c in keep], df[text_col].alias("_bpe_text"))
+    # the text goes to the workers once, as the last column, and stays if it isn't named like an output
+    stays = text_col in keep
+    sent = [c for c in keep if c != text_col]
+    schema = T.StructType([df.schema[c] for c in sent] + [df.schema[text_col]] * stays + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else []))
+    source = df.select(*[df[c] for c in sent], df[text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("byte_bpe")
         own = codec(path, pattern)
-        for batch in (x for whole in batches for x in by_bytes(whole)):
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 21)):
             ids, offsets = own.encode(batch.column(batch.num_columns - 1))
-            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+            columns = [*batch.columns[: len(sent) + stays], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
             if decoded_col:
                 columns.append(own.decode(ids, offsets).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*keep, ids_col, *([decoded_col] if decoded_col else []))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

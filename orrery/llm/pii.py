@@ -418,8 +418,11 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     over a run of characters again.
     """
     keep = [c for c in docs.columns if c != spans_col]
-    schema = T.StructType([docs.schema[c] for c in keep]).add(spans_col, SPANS)
-    source = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_pii_text"))
+    # the text goes to the workers once, as the last column
+    sent = [c for c in keep if c != text_col]
+    stays = text_col in keep
+    schema = T.StructType([docs.schema[c] for c in sent] + [docs.schema[text_col]] * stays).add(spans_col, SPANS)
+    source = docs.select(*[docs[c] for c in sent], docs[text_col])
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
@@ -432,9 +435,9 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
             added = added_spans(tables, texts, base)
             rows = [sorted([(*s, True) for s in b] + [(*s, False) for s in a], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for b, a in zip(base, added, strict=True)]
             found = pa.array([[{"kind": k, "start": s, "end": e, "base": o} for k, s, e, o in r] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(sent) + stays], found], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*keep, spans_col)
 
 
 @cache
