@@ -9,44 +9,22 @@ from pyspark.sql import functions as F
 
 from orrery.functions import classify, rules
 from orrery.functions.text import half_up_at
+from orrery.operators import ranks
+from orrery.sources.shared import materialize
 
 
-#: Bins of equal width that a group's range is cut into, and a bin's again.
-BINS = 4096
-
-
-def _bins_with_samples(rows: DataFrame, keys: list[str], last: str, before: str) -> DataFrame:
-    """Of the bins (keys, last) of rows, those that hold a sampled place of their group, with how many values come before
-    them. A window holds a row for each bin."""
-    w = Window.partitionBy(*keys).orderBy(last)
-    sums = rows.groupBy(*keys, last).agg(F.sum("k").alias("held"), F.first(before).alias("_start"), F.first("step").alias("step"), F.first("n").alias("n"))
-    sums = sums.withColumn("_before", F.col("_start") + F.sum("held").over(w) - F.col("held"))
-    sample = F.ceil(F.col("_before") / F.col("step")).cast("long") * F.col("step")
-    end = F.col("_before") + F.col("held")
-    return sums.filter((sample < end) | (end == F.col("n"))).select(*[F.col(k).alias(f"_{k}") for k in (*keys, last)], "_before")
-
-
-def sampled_cdf(rows: DataFrame, group: Column, value: Column, points: int = 250, least_rows: int = 0) -> DataFrame:
+def sampled_cdf(rows: DataFrame, group: Column, value: Column, points: int = 250, least_rows: int = 0, each: int = ranks.EACH) -> DataFrame:
     """(grp, i, m, f): of a group's n values in order, those at i = 0, step, 2 step, ... with f = (i + 1) / n.
 
     step is n div points, 1 at least. Where the last sampled value isn't the largest, the largest is added with f = 1.
     Values that are null or not above 0, and null groups, are left out; groups of least_rows rows and fewer too.
 
-    Rows are summed by (group, value) first. No window holds a group's values: its range is cut into BINS, counts of bins
-    tell which of them hold sampled places, those are cut into BINS again, and only values in such a bin of a bin are
-    ordered.
+    Rows are summed by (group, value) first; places come from running sums over ranges of some `each` values, cut at
+    quantiles, so that no window is longer however far a value lies from the others.
     """
-    keep = lambda rows, bins, keys: rows.join(bins, [F.col(k) == F.col(f"_{k}") for k in keys]).drop(*[f"_{k}" for k in keys])
     data = rows.select(group.alias("grp"), value.alias("m")).filter("grp is not null and m > 0").groupBy("grp", "m").agg(F.count("*").alias("k"))
-    groups = data.groupBy("grp").agg(F.sum("k").alias("n"), F.min("m").alias("low"), F.max("m").alias("top")).filter(F.col("n") > least_rows)
-    groups = groups.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / points)).cast("long")).withColumnRenamed("grp", "_grp")
-    place = F.coalesce(F.try_divide((F.col("m") - F.col("low")).cast("double"), (F.col("top") - F.col("low")).cast("double")), F.lit(0.0)) * BINS
-    data = data.join(groups, F.col("grp") == F.col("_grp")).drop("_grp").withColumn("place", F.least(place, F.lit(BINS - 0.5)))
-    data = data.withColumn("bin", F.floor("place")).withColumn("start", F.lit(0).cast("long"))
-    data = keep(data, _bins_with_samples(data, ["grp"], "bin", "start"), ["grp", "bin"]).withColumnRenamed("_before", "above")
-    data = data.withColumn("inner", F.floor((F.col("place") - F.col("bin")) * BINS))
-    data = keep(data, _bins_with_samples(data, ["grp", "bin"], "inner", "above"), ["grp", "bin", "inner"])
-    data = data.withColumn("hi", F.col("_before") + F.sum("k").over(Window.partitionBy("grp", "bin", "inner").orderBy("m")))
+    data = ranks.running(data, "grp", "m", "k", each).withColumnRenamed("total", "n").filter(F.col("n") > least_rows)
+    data = data.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / points)).cast("long"))
     first = F.ceil((F.col("hi") - F.col("k")) / F.col("step")).cast("long") * F.col("step")
     last = F.floor((F.col("n") - 1) / F.col("step")).cast("long") * F.col("step")  # the last sampled place
     inside = F.when(first < F.col("hi"), F.sequence(first, F.col("hi") - 1, F.col("step"))).otherwise(F.array().cast("array<bigint>"))
@@ -91,7 +69,7 @@ def common_grid(series: DataFrame) -> DataFrame:
     The result is every series at every place by definition. series is a summary: a few hundred points for each group
     that a chart shows, and two decimals of a logarithm bound the grid (62 thousand places for any double).
     """
-    points = series.select("grp", F.log10(F.col("m").cast("double")).alias("x"), "f", "i")
+    points = materialize(series.select("grp", F.log10(F.col("m").cast("double")).alias("x"), "f", "i"), "series")
     grid = points.select(half_up_at(F.col("x"), 2).alias("x")).distinct()
     ends = points.groupBy("grp").agg(F.min(F.struct("x", "i", "f")).alias("first"))
     # each series gets the places as one array, which is as long as the grid

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import classify
 from orrery.functions.dates import day_number, decay_day_number
 from orrery.functions.text import half_up, half_up_at
+from orrery.operators import intervals
 
 LATEST_DAY = 30_000
 
@@ -58,14 +59,66 @@ def active_daily(table: DataFrame) -> DataFrame:
     return daily.select("day", F.sum("d").over(Window.orderBy("day")).alias("active")).orderBy("day")
 
 
+def _altitudes(rows: DataFrame, day: Column, low: float) -> DataFrame:
+    rows = rows.withColumn("frac", _left(day))
+    rows = rows.withColumn("cur_p", F.col("p") * F.col("frac")).withColumn("cur_a", F.col("a") * F.col("frac"))
+    return rows.withColumn("hot", (F.col("dday") >= 0) & (F.col("cur_p") < low))
+
+
+def _left(day: Column) -> Column:
+    """The share of its life that an object has left on a day; all of it where it is still up."""
+    life = F.greatest(F.lit(1), F.col("dday") - F.col("lday"))
+    return F.when(F.col("dday") < 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (day - F.col("lday")).cast("double") / life))
+
+
 def altitude_on(table: DataFrame, day: int, low: float = 100) -> DataFrame:
     """Active objects with frac, cur_p, cur_a and hot: the share of their life left scales a decaying object's perigee
     and apogee; hot ones decay and are below `low` km."""
+    return _altitudes(active_on(table, day), F.lit(day), low)
+
+
+def active_at(table: DataFrame, days: DataFrame, width: int = 512, salts: int = 8) -> DataFrame:
+    """table's rows with each day of days (day) on which they are active: active_on() for many days at once, by bins.
+    Days that repeat give rows that repeat; null days none."""
+    end = F.when(F.col("dday") >= 0, F.col("dday"))
+    return intervals.overlapping(table, F.col("lday"), end, days.select("day"), F.col("day"), F.col("day"), width, salts)
+
+
+def active_during(table: DataFrame, windows: DataFrame, width: int = 512, salts: int = 8) -> DataFrame:
+    """table's rows with each of windows (from_day, to_day, ...) that they are active in on some day."""
+    end = F.when(F.col("dday") >= 0, F.col("dday"))
+    return intervals.overlapping(table, F.col("lday"), end, windows, F.col("from_day"), F.col("to_day"), width, salts)
+
+
+def altitude_at(table: DataFrame, days: DataFrame, low: float = 100, width: int = 512, salts: int = 8) -> DataFrame:
+    """altitude_on() for many days at once: active objects of each day of days (day)."""
+    return _altitudes(active_at(table, days, width, salts), F.col("day"), low)
+
+
+def crossing_day(low: float) -> Column:
+    """The first day on which a decaying object is below `low` km (above 0), null if none is: its altitude falls along a
+    line from the perigee at launch to 0, so that the day follows from it; days beside it are tried, as the line is of
+    rounded numbers."""
+    if not low > 0:
+        raise ValueError("the limit must be above 0 km")
     life = F.greatest(F.lit(1), F.col("dday") - F.col("lday"))
-    frac = F.when(F.col("dday") < 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(day) - F.col("lday")).cast("double") / life))
-    rows = active_on(table, day).withColumn("frac", frac)
-    rows = rows.withColumn("cur_p", F.col("p") * F.col("frac")).withColumn("cur_a", F.col("a") * F.col("frac"))
-    return rows.withColumn("hot", (F.col("dday") >= 0) & (F.col("cur_p") < low))
+    near = F.col("lday") + F.when(F.col("p") > low, F.ceil(life * (F.lit(1.0) - F.lit(float(low)) / F.col("p")))).otherwise(0)
+    days = F.sequence(F.greatest(F.col("lday").cast("long"), near.cast("long") - 2), near.cast("long") + 2)
+    first = F.array_min(F.filter(days, lambda d: F.col("p") * _left(d) < low))
+    return F.when((F.col("dday") >= 0) & (first <= F.col("dday")), first)
+
+
+def near_reentry_daily(table: DataFrame, low: float = 100) -> DataFrame:
+    """(day, active, near_reentry) on each day on which either number changes: objects that are up, and those of them that
+    decay and are below `low` km. One pass: an object comes and goes in two pairs of steps, summed by day and run over
+    the days, which are a bounded number of rows."""
+    step = lambda day, up, hot: F.struct(day.cast("long").alias("day"), F.lit(up).alias("up"), F.lit(hot).alias("hot"))
+    down = F.when(F.col("dday") >= 0, F.col("dday") + 1)
+    cross = crossing_day(low)
+    steps = F.array(step(F.col("lday"), 1, 0), step(down, -1, 0), step(cross, 0, 1), step(F.when(cross.isNotNull(), down), 0, -1))
+    daily = table.select(F.explode(steps).alias("x")).select("x.*").filter("day is not null").groupBy("day").agg(F.sum("up").alias("up"), F.sum("hot").alias("hot"))
+    w = Window.orderBy("day")
+    return daily.select("day", F.sum("up").over(w).alias("active"), F.sum("hot").over(w).alias("near_reentry")).orderBy("day")
 
 
 def hot_count(table: DataFrame, day: int, low: float = 100) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import classify, dates, text
-from orrery.operators import audit, cadence, cdf, explore, lifetimes, mass, series
+from orrery.operators import audit, cadence, cdf, explore, lifetimes, mass, search, series
 from orrery.plans.adapters import SEGMENT_RULES, SQL, SQL_PROVIDER, decays, launches, objects, table
-from orrery.sources import catalogs
+from orrery.sources import catalogs, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,6 +479,41 @@ def near_reentry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifetimes.hot_count(_lives(spark, sf_dir), DAY)
 
 
+@_query(f"""{_LIVES}, changes AS (SELECT lday AS day FROM life UNION SELECT dday + 1 FROM life WHERE dday >= 0),
+seen AS (SELECT day, count(*) AS active, count(*) FILTER (WHERE dday >= 0 AND p * greatest(0.0::DOUBLE, 1.0 - (day - lday)::DOUBLE / greatest(1, dday - lday)) < 100) AS near_reentry
+ FROM range((SELECT min(day) FROM changes), (SELECT max(day) + 1 FROM changes)) r(day) JOIN life ON lday <= day AND (dday < 0 OR dday >= day) GROUP BY 1)
+SELECT * FROM seen""")
+def near_reentry_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both numbers on every day of the whole span on which anything is up: days without a change repeat the last ones."""
+    steps = lifetimes.near_reentry_daily(_lives(spark, sf_dir))
+    following = F.lead("day").over(Window.orderBy("day"))  # a row for each day
+    days = steps.withColumn("next", F.coalesce(following, F.col("day") + 1)).filter("active > 0")
+    return days.select(F.explode(F.sequence("day", F.col("next") - 1)).alias("day"), "active", "near_reentry")
+
+
+_MONTHS = f"{_LIVES}, asked AS (SELECT DISTINCT datediff('day', DATE '1957-01-01', date_trunc('month', o_orderdate)::DATE) AS day FROM orders)"
+_FRAC_AT = "CASE WHEN dday < 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0 - (day - lday)::DOUBLE / greatest(1, dday - lday)) END"
+
+
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.datediff(F.to_date(F.date_trunc("month", "o_orderdate")), F.lit(dates.EPOCH).cast("date")).alias("day")).distinct()
+
+
+@_query(f"""{_MONTHS}, up AS (SELECT day, dday, p * ({_FRAC_AT}) AS cur_p, a * ({_FRAC_AT}) AS cur_a FROM asked JOIN life ON lday <= day AND (dday < 0 OR dday >= day))
+SELECT day, count(*) AS active, count(*) FILTER (WHERE dday >= 0 AND cur_p < 100) AS near_reentry, sum(floor(cur_p + 0.5)::BIGINT)::BIGINT AS perigees, max(floor(cur_a + 0.5)::BIGINT) AS highest FROM up GROUP BY 1""")
+def altitudes_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Altitudes of all objects on the first of every month, summed up."""
+    up = lifetimes.altitude_at(_lives(spark, sf_dir), _months(spark, sf_dir))
+    return up.groupBy("day").agg(F.count("*").alias("active"), F.count_if("hot").alias("near_reentry"), F.sum(text.half_up(F.col("cur_p"))).alias("perigees"), F.max(text.half_up(F.col("cur_a"))).alias("highest"))
+
+
+@_query(f"{_MONTHS} SELECT day AS from_day, day + 400 AS to_day, c, count(*) AS n, sum(p)::BIGINT AS perigees FROM asked JOIN life ON lday <= day + 400 AND (dday < 0 OR dday >= day) GROUP BY ALL")
+def active_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that are up at some time in windows of 401 days from the first of every month, by class."""
+    windows = _months(spark, sf_dir).select(F.col("day").alias("from_day"), (F.col("day") + 400).alias("to_day"))
+    return lifetimes.active_during(_lives(spark, sf_dir), windows).groupBy("from_day", "to_day", "c").agg(F.count("*").alias("n"), F.sum("p").alias("perigees"))
+
+
 @_query(f"{WITH} SELECT perigee_km AS p, inc_deg AS i, object_class AS c FROM objects")
 def orbital_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifetimes.orbital_points(objects(spark, sf_dir, "part"))
@@ -530,6 +565,39 @@ def explore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.search(_explored(spark, sf_dir), "3").select("jcat", "name", "satno")
 
 
+#: Names with accents and small letters, by size of a part, in an order that isn't that of code units.
+ACCENTED = ("zebra", "Zulu", "éclair", "Eclair", "eclair", "Éclair", "apex", "Ärger", "alpha", "beta")
+_ACCENTED = f"{WITH}, named AS (SELECT jcat, price, ([{', '.join(repr(x) for x in ACCENTED)}])[1 + (perigee_km // 40) % 10] AS name FROM objects)"
+
+
+def _accented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = objects(spark, sf_dir, "part", "owner", "launch").select("jcat", "price", (F.col("perigee_km") / 40).cast("int").alias("size"))
+    return rows.select("jcat", "price", F.get(F.array(*map(F.lit, ACCENTED)), F.col("size") % 10).alias("name"), F.struct("jcat", "price").alias("pos"))
+
+
+@_query(f"{_ACCENTED} SELECT jcat, price, name FROM named ORDER BY name COLLATE en DESC, jcat, price LIMIT 100 OFFSET 2400")
+def explore_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page in collated order from a directory of pages."""
+    folder = shared.shared_dir(spark, "pages")
+    explore.write_pages(_accented(spark, sf_dir), folder, "name", "desc", each=1000)
+    return explore.read_page(spark, folder, "25th", 100)[0].select("jcat", "price", "name")
+
+
+@_query(f"{_ACCENTED} SELECT jcat, price, name FROM named WHERE name COLLATE en > 'éclair' COLLATE en OR (name = 'éclair' AND jcat > '2') ORDER BY name COLLATE en, jcat, price LIMIT 500")
+def explore_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a row, in collated order."""
+    last = F.struct(F.lit("2").alias("jcat"), F.lit(0).cast("decimal(18,2)").alias("price"))
+    return explore.page_after(_accented(spark, sf_dir), "name", "asc", "éclair", last, 500).select("jcat", "price", "name")
+
+
+@_query(f"{WITH} SELECT jcat, name, satno FROM objects WHERE contains(lower(name), 'ge gea') OR contains(lower(pl_name), 'ge gea') OR contains(jcat, 'ge gea') OR contains(satno::VARCHAR, 'ge gea')")
+def explore_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by an index of trigrams."""
+    folder = shared.shared_dir(spark, "index")
+    search.write_index(_explored(spark, sf_dir), folder, each=2000)
+    return search.search_index(spark, folder, "GE gea").select("jcat", "name", "satno")
+
+
 # ---- scalar functions -----------------------------------------------------------------------------------------
 @_query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y') AS year, month(o_orderdate)::INTEGER AS month, datediff('day', DATE '1957-01-01', o_orderdate::DATE)::INTEGER AS day,
  datediff('day', DATE '1957-01-01', o_orderdate::DATE)::INTEGER AS decay_day, strftime(o_orderdate, '%Y-%m-%d') AS back FROM orders""")

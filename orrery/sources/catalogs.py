@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.dates import iso_date, year_number
 from orrery.functions.text import catalog_number, clean, is_orbital, number, object_class, orbit_class, trimmed, vehicle_family
+from orrery.sources.shared import materialize
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,28 +24,27 @@ def header(spark: SparkSession, path: str, within: int) -> list[str]:
     return []
 
 
-def _rows(spark: SparkSession, path: str, least: int) -> DataFrame:
-    """(parts, pos): fields of lines that aren't comments and have enough of them, numbered in the catalog's order: by
-    file, in the order of their names, and by place in the file.
+def _rows(spark: SparkSession, path: str, least: int, where: Callable[[Column], Column]) -> DataFrame:
+    """(parts, file, block, line) of the lines that aren't comments, have enough fields and hold `where` of them: the
+    fields, the file and split that a line is from, and its number in the task that reads it, which grows along a split."""
+    lines = _lines(spark, path).select(F.split("value", "\t", -1).alias("parts"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").startswith("#").alias("comment"))
+    return lines.filter(~F.col("comment") & (F.size("parts") >= least) & where(F.col("parts"))).select("parts", "file", "block", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line"))
 
-    In a file, pos is twice the place of the line's split and the line's number in its task. A task reads no more lines
-    than two splits have bytes, so numbers grow along a file and none repeats, without a sort or a window. A file's number
-    stands above the 42 bits that a file of two tebibytes needs.
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows of (file, block, line, ...) with pos for these three: positions 0 to n - 1 by file, in the order of their
+    names, and by place in the file. rows is written once and numbered from what was written.
+
+    Splits are counted, running sums over the splits, a row for each, are their offsets, and in a split a row's number is
+    its line less the split's first one: no sort or window over rows.
     """
-    number_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = _lines(spark, path)
-    names = sorted(lines.inputFiles())
-    place = F.col("_metadata.file_block_start") * 2 + number_in_task
-    if len(names) > 1:  # names of files, as the plan itself holds them
-        ranks = spark.createDataFrame([(x.rsplit("/", 1)[-1], i) for i, x in enumerate(names)], "file string, rank long")
-        if len({x.rsplit("/", 1)[-1] for x in names}) < len(names):
-            raise ValueError("files of one catalog need different names")
-        lines = lines.select("value", place.alias("place"), F.col("_metadata.file_name").alias("name"))
-        lines = lines.join(F.broadcast(ranks), F.col("name") == F.col("file")).select("value", (F.col("rank") * (1 << 42) + F.col("place")).alias("pos"))
-    else:
-        lines = lines.select("value", place.alias("pos"))
-    parts = lines.filter(~F.col("value").startswith("#")).select(F.split("value", "\t", -1).alias("parts"), "pos")
-    return parts.filter(F.size("parts") >= least)
+    table = materialize(rows, "lines")
+    splits = table.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("line").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("file", "block")) - F.col("_n")
+    splits = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (before - F.col("_first")).alias("_shift"))
+    out = table.join(splits, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    rest = [c for c in rows.columns if c not in ("file", "block", "line")]
+    return out.select((F.col("line") + F.col("_shift")).alias("pos"), *rest)
 
 
 def _getter(names: list[str]) -> Callable[[str], Column]:
@@ -57,14 +57,17 @@ def _getter(names: list[str]) -> Callable[[str], Column]:
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """The object catalog: rows with a key and 10 fields at least, cleaned; no vehicle yet. Without a header: empty."""
+    """The object catalog: rows with a key and 10 fields at least, cleaned, with their positions 0 to n - 1 in it (pos);
+    no vehicle yet. Without a header: empty."""
     names = header(spark, path, 10)
     get = _getter(names)
     key = clean(get("jcat"))
-    rows = _rows(spark, path, 10).filter(key.isNotNull()) if names else _rows(spark, path, 10).limit(0)
+    rows = _rows(spark, path, 10, lambda _: key.isNotNull()) if names else _rows(spark, path, 10, lambda _: F.lit(False))
     launch = iso_date(get("ldate"))
-    return rows.select(
-        "pos",
+    out = rows.select(
+        "file",
+        "block",
+        "line",
         key.alias("jcat"),
         catalog_number(get("satcat")).alias("satno"),
         F.coalesce(clean(get("name")), key).alias("name"),
@@ -85,6 +88,7 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
         F.lit(None).cast("double").alias("period_min"),
         clean(get("ddate")).alias("decay_date"),
     )
+    return in_order(out)
 
 
 def last_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -95,14 +99,15 @@ def last_wins(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 
 def read_launches(spark: SparkSession, path: str) -> DataFrame:
-    """The launch table: rows with a tag and 5 fields at least, cleaned, one a tag (last_wins)."""
+    """The launch table: rows with a tag and 5 fields at least, cleaned, one a tag (last_wins) with the position of its
+    first row."""
     names = header(spark, path, 5)
     get = _getter(names)
     tag = clean(get("launch_tag"))
-    rows = _rows(spark, path, 5).filter(tag.isNotNull()) if names else _rows(spark, path, 5).limit(0)
+    rows = _rows(spark, path, 5, lambda _: tag.isNotNull()) if names else _rows(spark, path, 5, lambda _: F.lit(False))
     vehicle, launch = clean(get("lv_type")), iso_date(get("launch_date"))
-    out = rows.select("pos", tag.alias("launch_tag"), vehicle.alias("lv"), vehicle_family(vehicle).alias("lv_family"), clean(get("launch_site")).alias("site"), launch.alias("ldate"), launch.try_cast("date").alias("launch_date"), is_orbital(trimmed(get("launchcode"))).alias("orbital"))
-    return last_wins(out, "launch_tag")
+    out = rows.select("file", "block", "line", tag.alias("launch_tag"), vehicle.alias("lv"), vehicle_family(vehicle).alias("lv_family"), clean(get("launch_site")).alias("site"), launch.alias("ldate"), launch.try_cast("date").alias("launch_date"), is_orbital(trimmed(get("launchcode"))).alias("orbital"))
+    return last_wins(in_order(out), "launch_tag")
 
 
 def enrich(objects: DataFrame, launches: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """The hand-made catalogs through reading and every step behind it."""
 
+import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import cadence, explore, lifetimes, mass
+from orrery.operators import cadence, explore, lifetimes, mass, search
 from orrery.sources import catalogs
 
 NAMES = "JCAT Satcat Launch_Tag Type Name PLName LDate DDate Status Owner State Mass Perigee Apogee Inc OpOrbit".split()
@@ -48,8 +50,7 @@ def test_objects(tables):
     assert (got["S3"].satno, got["S3"].mass_kg, got["S3"].lv) == (None, 12.5, "Proton-K")
     assert (got["S4"].object_class, got["S4"].obj_type, got["S4"].satno, got["S4"].lv) == ("-", None, None, None)
     assert got["S7"].ldate is None
-    positions = [got[k].pos for k in sorted(got)]
-    assert positions == sorted(positions) and len(set(positions)) == 7
+    assert [got[k].pos for k in sorted(got)] == list(range(7))
 
 
 def test_launches_keep_last_content_and_first_place(tables):
@@ -64,7 +65,28 @@ def test_files_of_a_catalog_follow_each_other(spark, tmp_path):
         (tmp_path / name).write_text(head + "".join(f"L{k}\t{vehicle}\tX\t-\tO\n" for k in range(5)))
     rows = catalogs.read_launches(spark, str(tmp_path)).orderBy("pos").collect()
     assert [(r.launch_tag, r.lv) for r in rows] == [(f"L{k}", "Third") for k in range(5)]
-    assert len({r.pos for r in catalogs._rows(spark, str(tmp_path), 5).collect()}) == 15
+
+
+def test_positions_over_splits_and_compressed_files(spark, tmp_path):
+    """0 to n - 1 in the order of files and lines, whatever splits Spark reads, and the same when read again."""
+    head = "#Launch_Tag\tLV_Type\tLaunch_Site\tLaunch_Date\tLaunchCode\n"
+    lines = [f"L{k}\tV\tX\t-\tO\n" if k % 7 else "# comment\n" for k in range(4000)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a.tsv").write_text(head + "".join(lines[:1500]))
+    with gzip.open(tmp_path / "b.tsv.gz", "wt") as f:
+        f.write(head + "".join(lines[1500:2000]))
+    (tmp_path / "c.tsv").write_text(head + "".join(lines[2000:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = catalogs.read_launches(spark, str(tmp_path / "*.tsv*")).select("pos", "launch_tag").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(i, x.split("\t")[0]) for i, x in enumerate(x for x in lines if x[0] != "#")]
+    assert sorted(map(tuple, got)) == want
+    assert sorted(map(tuple, catalogs.read_launches(spark, str(tmp_path / "*.tsv*")).select("pos", "launch_tag").collect())) == want
+    plan = catalogs.read_objects(spark, str(tmp_path / "a.tsv"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block" in x or "block#" in x for x in plan.split("\n") if "Window" in x)
 
 
 def test_missing_column_and_missing_header(spark, tmp_path):
@@ -112,10 +134,96 @@ def test_pages_partition_the_result(tables):
     assert [r.jcat for r in explore.page_after(tables[0], "mass_kg", "desc", after.mass_kg, after.pos, 2).collect()] == whole[2:4]
 
 
+NAMED = ["É", "b", "A", "a", "Z", None, "B", "e", "a", None, "é", "zz", "E"]
+
+
+def test_pages_after_a_row_partition_the_result(spark):
+    """For every sortable column, both directions, nulls and ties included."""
+    rows = spark.createDataFrame([(i, x, float(i % 4) if i % 5 else None) for i, x in enumerate(NAMED)], "pos long, name string, mass_kg double").withColumn("ldate", F.col("name")).cache()
+    for field in ("name", "mass_kg", "ldate"):
+        for order in ("asc", "desc"):
+            whole = explore.ordered(rows, field, order).collect()
+            paged = explore.explore(rows, sort=field, order=order, limit=3)[0].collect()
+            while len(page := explore.page_after(rows, field, order, paged[-1][field], paged[-1].pos, 3).collect()) > 0:
+                paged += page
+            assert [r.pos for r in paged] == [r.pos for r in whole], (field, order)
+
+
+def test_directory_of_pages(spark, tmp_path):
+    rows = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(NAMED * 20)], "pos long, name string, place string").withColumn("ldate", F.lit(None).cast("string"))
+    for order in ("asc", "desc"):
+        explore.write_pages(rows, str(tmp_path / order), "name", order, each=50)
+        whole = [r.pos for r in explore.ordered(rows, "name", order).collect()]
+        pages = [explore.read_page(spark, str(tmp_path / order), k, 30) for k in range(1, 11)]
+        assert [r.pos for page, _ in pages for r in page.collect()] == whole
+        assert [t.first().asDict() for _, t in pages[::8]] == [explore.explore(rows, sort="name", order=order, page=k, limit=30)[1].first().asDict() for k in (1, 9)]
+    page = explore.read_page(spark, str(tmp_path / "asc"), 3, 20)[0]
+    page.collect()
+    assert files_read(page) == 2 and len(list((tmp_path / "asc" / "rows").glob("file=*/*.parquet"))) == 6
+
+
+def files_read(df):
+    """Of the scans of a plan that has run."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().get("numFiles").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_search_by_index_equals_the_scan(spark, tmp_path):
+    dice = random.Random(2)
+    letters = "abCÉß%_\u0130\U0001f680 -9"
+    word = lambda n: "".join(dice.choice(letters) for _ in range(dice.randint(0, n)))
+    rows = [(i, f"S{i}", word(12), word(9) if i % 3 else None, i if i % 4 else None) for i in range(900)]
+    rows[700] = (700, "S700", "only here: quartz", None, 5)
+    objects = spark.createDataFrame(rows, "pos long, jcat string, name string, pl_name string, satno long").withColumn("block", F.lit("clash"))
+    search.write_index(objects, str(tmp_path / "index"), each=100)
+    needles = ["", "  ", "é", "ab", "quartz", "S700", "s70", "zzzz", "%_%", "123", "\U0001f680 -"] + [word(5) for _ in range(6)]
+    for needle in needles:
+        want = sorted(r.pos for r in explore.search(objects, needle).collect())
+        assert sorted(r.pos for r in search.search_index(spark, str(tmp_path / "index"), needle).collect()) == want, needle
+    found, scan = search.search_index(spark, str(tmp_path / "index"), "quartz"), search.search_index(spark, str(tmp_path / "index"), "qu")
+    assert len(found.collect()) == len(scan.collect()) == 1
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_join_against_all_pairs(spark):
+    dice = random.Random(6)
+    lives = [(i, a, dice.choice([-1, a, a + dice.randint(0, 900)]), dice.choice([40, 90, 500, 0, -3])) for i in range(200) for a in [dice.randint(0, 2000)]] + [(200, 0, 29_000, 120), (201, 5, -1, 80), (202, 5, 5, 80)]
+    table = spark.createDataFrame(lives, "k long, lday int, dday int, p long").withColumn("a", F.col("p") + 10)
+    days = [(0,), (5,), (1999,), (1999,), (2500,), (28_000,), (None,)]
+    up = lambda r, d: r[1] <= d and (r[2] < 0 or r[2] >= d)
+    want = sorted((r[0], d) for r in lives for (d,) in days if d is not None and up(r, d))
+    for width, salts in ((16, 1), (512, 8), (100_000, 3)):
+        got = lifetimes.active_at(table, spark.createDataFrame(days, "day int"), width, salts)
+        assert got.columns == ["k", "lday", "dday", "p", "a", "day"] and sorted((r.k, r.day) for r in got.collect()) == want
+    windows = [(0, 10), (50, 700), (600, 600), (10, 5), (3000, 20_000)]
+    got = lifetimes.active_during(table, spark.createDataFrame(windows, "from_day int, to_day int"), 64, 2)
+    assert sorted((r.k, r.from_day, r.to_day) for r in got.collect()) == sorted((r[0], a, b) for r in lives for a, b in windows if a <= b and r[1] <= b and (r[2] < 0 or r[2] >= a))
+    hot = {d: lifetimes.hot_count(table, d).first()[0] for d in (0, 5, 6, 1999, 2500, 28_000)}
+    many = {r.day: r.n for r in lifetimes.altitude_at(table, spark.createDataFrame([(d,) for d in hot], "day int")).groupBy("day").agg(F.count_if("hot").alias("n")).collect()}
+    assert many == hot
+    daily = {r.day: (r.active, r.near_reentry) for r in lifetimes.near_reentry_daily(table).collect()}
+    for d in [*list(daily)[::40], 28_999, 28_800]:
+        last = max(x for x in daily if x <= d)
+        assert daily[last] == (lifetimes.active_on(table, d).count(), lifetimes.hot_count(table, d).first()[0]), d
+    assert lifetimes.near_reentry_daily(table.limit(0)).count() == 0 and lifetimes.active_at(table, spark.createDataFrame([], "day int")).count() == 0
+    with pytest.raises(ValueError, match="above 0"):
+        lifetimes.near_reentry_daily(table, 0)
+
+
 def test_collation_and_page_arguments(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(["É", "b", "A", "a", "Z"])], "pos long, name string")
     assert [r.name for r in explore.ordered(rows.withColumn("ldate", F.lit(None).cast("string")), "name", "asc").collect()] == ["a", "A", "b", "É", "Z"]
     assert explore.page_arguments(-1, 9999) == (1, 500) and explore.page_arguments("2", "-3") == (2, 1)
+    assert explore.page_arguments("2x", "20abc") == (2, 20) and explore.page_arguments(" +3.9", "0x10") == (3, 50) and explore.page_arguments("x2", None) == (1, 50)
 
 
 def test_watchlist_and_nested_cadence(tables):

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import cdf, mass
+from orrery.operators import cdf, mass, ranks
 from orrery.plans import queries as plans
 from orrery.plans.adapters import launches, objects
 
@@ -62,11 +62,35 @@ def test_plans_stay_in_the_engine(spark, sf_dir):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
 
 
-def test_no_window_holds_a_group_of_raw_values(spark):
-    rows = spark.createDataFrame([("a", float(i)) for i in range(2000)], "g string, m double")
-    plan = cdf.sampled_cdf(rows, F.col("g"), F.col("m"))._jdf.queryExecution().optimizedPlan().toString()
-    by_value = [x for x in plan.split("\n") if "Window" in x and "[m#" in x]
-    assert by_value and all("inner#" in x for x in by_value)
+@pytest.mark.parametrize("spread", ["outlier", "log-uniform"])
+def test_no_window_holds_more_than_a_range(spark, spread):
+    """However values are spread, a window of the running sums has about as many as a range."""
+    dice = random.Random(3)
+    values = [dice.uniform(1, 1000) for _ in range(20_000)] + [1e12] if spread == "outlier" else [10 ** dice.uniform(-12, 12) for _ in range(20_000)]
+    rows = spark.createDataFrame([("a" if i % 3 else "b", x) for i, x in enumerate(values)], "g string, m double")
+    got = cdf.sampled_cdf(rows, F.col("g"), F.col("m"), each=500)
+    for g in ("a", "b"):
+        own = sorted(x for i, x in enumerate(values) if (i % 3 != 0) == (g == "a"))
+        step = len(own) // 250
+        want = [(i, own[i]) for i in range(0, len(own), step)]
+        assert [(r.i, r.m) for r in got.filter(F.col("grp") == g).orderBy("i").collect()] == want + ([(len(own) - 1, own[-1])] if want[-1][1] != own[-1] else [])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in x for x in plan.split("\n") if "Window" in x and "[m#" in x)
+    spread_out = rows.groupBy("g", "m").agg(F.count("*").alias("k")).repartitionByRange(ranks.ranges(20_001, 500), "g", "m")
+    assert spread_out.groupBy(F.spark_partition_id(), "g").count().agg(F.max("count")).first()[0] < 1500
+
+
+def test_ranks_and_running_sums(spark):
+    dice = random.Random(8)
+    rows = [(dice.choice("ab"), dice.randint(1, 400), i) for i in range(3000)] + [("hot", 7, i) for i in range(3000, 5000)]
+    table = spark.createDataFrame(rows, "g string, x int, i int")
+    got = ranks.ranked(table, [F.col("x").desc(), F.col("i").asc()], each=256).collect()
+    assert [(r.x, r.i) for r in sorted(got, key=lambda r: r.rank)] == sorted(((x, i) for _, x, i in rows), key=lambda r: (-r[0], r[1])) and sorted(r.rank for r in got) == list(range(5000))
+    summed = table.groupBy("g", "x").agg(F.count("*").alias("k"))
+    for r in ranks.running(summed, "g", "x", "k", each=50).collect():
+        own = [x for g, x, _ in rows if g == r.g]
+        assert (r.hi, r.total, r.top) == (sum(x <= r.x for x in own), len(own), max(own))
+    assert ranks.ranked(table.limit(0), [F.col("x")]).count() == ranks.running(summed.limit(0), "g", "x", "k").count() == 0
 
 
 def test_small_things(spark, tmp_path):
