@@ -100,6 +100,16 @@ def partitions(df: DataFrame, rows: int, each: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+#: Bytes of a batch of rows that Spark sends to a Python worker, or one longer row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of few bytes: texts differ a thousandfold in length,
+    so that a number of rows bounds nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: What Python workers remember between tasks, by operator: how to forget it.
 _MEMORIES: dict[str, Callable[[], None]] = {}
 

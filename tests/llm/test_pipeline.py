@@ -30,8 +30,9 @@ def test_columns_and_order(stages):
     assert all(s.columns == stages[0].columns for s in stages[1:5])
 
 
-def test_quality(stages):
-    kept = {r.doc_id for r in quality.judge(stages[0], keep=["doc_id"]).collect() if r.kept}
+def test_quality(spark, sf_dir, stages):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = {r.doc_id for r in quality.judge(stages[0], keep=["doc_id"], labels=labels).collect() if r.kept}
     assert {r.doc_id for r in stages[1].collect()} == kept
     rows = {r.doc_id: r for r in stages[0].collect()}
     assert all(rows[i] == r for r in stages[1].collect() for i in [r.doc_id])

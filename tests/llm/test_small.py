@@ -497,6 +497,57 @@ def test_band_with_a_third_of_noise(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in noise)
 
 
+def test_whole_model_in_arrays_gives_plain_probabilities(spark):
+    """Whole models back off to the probabilities of the plain one, for texts that they never saw too."""
+    rows = [(i, prose(60, 70 + i), "en") for i in range(30)]
+    model = quality.Backoff(quality.fit_models(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"])
+    levels, _ = plain_kneser_ney([t.encode() for _, t, _ in rows], quality.ORDER)
+    d, under = {}, {}
+    for k, level in levels.items():
+        f = [0] + [sum(n == i for n in level.values()) for i in (1, 2, 3, 4)]
+        y = f[1] / (f[1] + 2 * f[2]) if f[1] else 0
+        d[k] = [0] + ([min(max(i - (i + 1) * y * f[i + 1] / f[i], 0.05), i - 0.05) for i in (1, 2, 3)] if all(f[1:]) else [0.5, 1.0, 1.5])
+        for g, n in level.items():
+            under.setdefault(g[:-1], []).append(n)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        if g[:-1] not in under:
+            return p(g[1:])
+        own, n = under[g[:-1]], levels[k].get(g, 0)
+        return max(n - d[k][min(n, 3)], 0) / sum(own) + sum(d[k][min(c, 3)] for c in own) / sum(own) * p(g[1:])
+
+    for text in (rows[3][1].encode(), b"quite unseen: #$% text", b"", "\u00e9\u00e9 ab".encode()):
+        data = b"\xff" * 4 + text + b"\xfe"
+        want = sum(np.log10(p(data[at : at + 5])) for at in range(len(data) - 4))
+        assert abs(model.text_scores([text], quality.ORDER)[0][0] / ngrams.UNIT - want) < 1e-5
+
+
+def test_labels_keep_junk_out_of_the_model(spark):
+    """A fifth of the rows are clean words with symbols, in capitals with marks, or behind bars; models and bands are of
+    labelled good texts, so all of them lie above, and good texts, labelled or not, stay."""
+    own = random.Random(8)
+    clean = [(i, prose(own.randint(60, 250), 7000 + i), "en") for i in range(160)]
+    spoil = [lambda w: w + own.choice(["###", "%%%", "&&&", "$$$"]), lambda w: w.upper() + "!!", lambda w: w + " |"]
+    junk = [(1000 + i, " ".join(map(spoil[i % 3], prose(150, 8000 + i).split())), "en") for i in range(40)]
+    other = [(2000, prose(80, 1), None), (2001, None, "en"), (2002, prose(80, 2), "de"), (0, clean[0][1], "en")]
+    table = spark.createDataFrame(clean + junk + other, "doc_id long, text string, lang string").withColumns({"kept": F.lit("clash"), "quality": F.lit(1)})
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120)] + [(1000 + i, 0) for i in range(20)] + [(None, 1), (5, 1), (99_999, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(table, keep=["doc_id", "kept"], labels=labels).collect()}
+    assert all(got[i].kept for i, *_ in clean) and not any(got[i].kept for i, *_ in junk) and not any(got[1000 + i].base_failed for i in range(40) if i % 3 < 2)
+    assert min(got[i].log_ppl for i, *_ in junk) > max(got[i].log_ppl for i, *_ in clean)
+    assert got[2000].kept and got[2000].log_ppl is None and got[2002].kept and not got[2001].kept
+    assert quality.accepted(table, labels=labels).columns == table.columns
+    few = {r.doc_id: r.kept for r in quality.judge(table, keep=["doc_id"], labels=labels, sample=60).collect()}
+    assert not any(few[i] for i, *_ in junk) and all(few[i] for i, *_ in clean)
+    assert quality.good_sample(table, labels, "doc_id", "text", "lang", most=30).count() < 60
+    assert quality.judge(table.limit(0), keep=["doc_id"], labels=labels).count() == 0
+    none = quality.judge(table, keep=["doc_id"], labels=labels.filter("quality = 0"))
+    assert none.count() == table.count()
+
+
 # ---- near duplicates
 def brute_components(sets, percent):
     up = {i: i for i in sets}
