@@ -129,7 +129,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    judged = quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"], labels=_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 
