@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import ngrams
-from orrery.llm.common import discard, enter, materialize
+from orrery.llm.common import discard, enter, materialize, small_batches
 from orrery.llm.ngrams import HELD, UNIT
 from orrery.llm.segment_ids import by_bytes
 
 #: Bytes of the longest context.
-ORDER = 4
+ORDER = 5
 #: The end of a text as a token: a byte that no word has.
 END = b"\n"
 
@@ -139,6 +139,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Workers hold the `most` most frequent words and events; what a text has besides is joined from the whole tables, in
     which no key is frequent, so that scores are the same whatever `most` is.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), held_out(docs[id_col], parts, part).alias("held_out"), docs[text_col].alias("text"))
     counts = materialize(corpus_counts(rows.select((~F.col("held_out")).alias("train"), "text"), order), "counts")
     words, grams = counts.filter("gram is null").select("word", "n"), counts.filter("gram is not null").select("gram", "n")
