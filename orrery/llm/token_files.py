@@ -105,10 +105,16 @@ def token_ids(docs: DataFrame, tokenizer_path: str, bounds: np.ndarray, id_col:
     return rows.mapInArrow(run, "shard int, id long, tie long, n long, ids binary")
 
 
-def shard_bounds(docs: DataFrame, id_col: str, text_col: str, bytes_a_shard: int) -> np.ndarray:
-    """Ends of ranges of ids with about as many documents each, from one pass over the ids and the texts' sizes."""
+#: Shards at most; the shards of a larger table are larger, so that what the driver holds of them is bounded.
+MOST_SHARDS = 10_000
+
+
+def shard_bounds(docs: DataFrame, id_col: str, text_col: str, bytes_a_shard: int, most: int = MOST_SHARDS) -> np.ndarray:
+    """Ends of ranges of ids with about as many documents each, from one pass over the ids and the texts' sizes: a range
+    for so many bytes, `most` at most."""
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(np.iinfo(np.int64).min)).alias("id"), F.octet_length(docs[text_col]).alias("size"))
     n = partitions(rows, rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], bytes_a_shard)
+    n = min(n, most)
     found = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0]
     return np.array(found if n > 1 and found else [], np.int64)
 
