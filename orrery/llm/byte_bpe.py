@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orrery.llm.common import enter, memory_of
+from orrery.llm.common import enter, memory_of, small_batches
 from orrery.llm.segment_ids import HashIndex, SegmentIds, by_bytes, free, joined, mixed
 
 #: Segments whose ids a Python worker keeps (some 40 bytes each); beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Bytes of pre-tokens that are merged at once (some 40 bytes of memory each), or one longer pre-token.
-MERGED = 1 << 20
+MERGED = 1 << 19
 
 
 class RankQueue:
@@ -259,6 +259,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     A column named like an output is replaced. A text is encoded whole; memory is bounded by the longest text and
     a memory of REMEMBERED short segments per worker.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (ids_col, decoded_col)]
     # the text goes to the workers once, as the last column, and stays if it isn't named like an output
     stays = text_col in keep
@@ -269,7 +270,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("byte_bpe")
         own = codec(path, pattern)
-        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 21)):
+        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 20)):
             ids, offsets = own.encode(batch.column(batch.num_columns - 1))
             columns = [*batch.columns[: len(sent) + stays], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
             if decoded_col:

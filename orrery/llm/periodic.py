@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orrery.llm.common import enter
+from orrery.llm.common import enter, small_batches
 from orrery.llm.segment_ids import by_bytes, mixed
 
 #: Words of a run, and its length in periods, at least.
@@ -192,6 +192,7 @@ def collapsed(docs: DataFrame, text_col: str = "text", runs_col: str = "runs", o
     columns named like an output are replaced. An empty table gives an empty one. A text is searched whole, a longer
     one alone: some 100 bytes a word, in time that grows with its length (times its logarithm), whatever it repeats.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (runs_col, out_col)]
     stays = text_col in keep
     sent = [c for c in keep if c != text_col]

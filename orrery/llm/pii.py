@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import enter, memory_of
+from orrery.llm.common import enter, memory_of, small_batches
 from orrery.llm.pii_labels import LABELLED
 from orrery.llm.segment_ids import by_bytes
 
@@ -417,6 +417,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     other columns stay and one named spans_col is replaced. Time is linear in a text's length: no pattern looks back
     over a run of characters again.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != spans_col]
     # the text goes to the workers once, as the last column
     sent = [c for c in keep if c != text_col]
