@@ -18,8 +18,9 @@ from orrery.llm.common import discard, materialize, released
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the perplexity bands reject go: null and empty texts do, as they have under 50 words."""
-    return quality.accepted(docs)
+    """Documents that the rules or the perplexity bands reject go: null and empty texts do, as they have under 50 words.
+    Models and bands are of texts that the table of labels calls good."""
+    return quality.accepted(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
