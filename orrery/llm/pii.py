@@ -87,7 +87,7 @@ _RUNS, _DIGITS = re.compile(r"A+|a+"), re.compile(r"9+")
 _BETWEEN = re.compile(r"[-./_]|[\[({]\.[\])}]")
 _EDGES = ".,;:!?\"'"
 #: Words that tell by themselves, also with one mark before and two behind.
-NAMED = tuple("at dot call phone tel fax ring dial number card visa ip host server mail email write contact id order version page section".split())
+NAMED = tuple("at dot call phone tel fax ring dial number card visa ip host server mail email write contact id order version page section isbn account ticket sum total units pages invoice serial ref reference part lot item case batch tracking patent sku people rows com org net de info co uk eu number code model flight policy telephone telefon mobile cell call rooms items years".split())
 _OPEN, _CLOSE = ("", "(", "[", "{", '"', "'"), ("", ".", ",", ":", ";", "!", "?", ")", "]", "}", '"', "'", "),", ").", "],", "].", '",', '".')
 NAME_OF = {(o + w + c).encode(): i for i, w in enumerate(NAMED, 1) for o in _OPEN for c in _CLOSE}
 
@@ -121,7 +121,7 @@ def named(word: bytes) -> str:
 AROUND = [(-1, "shape"), (1, "shape"), (0, "name"), (-1, "name"), (1, "name"), (-2, "name"), (2, "name")]
 PAIRS = (-1, 1)
 #: Pairs of places that both hold telling words.
-NAME_PAIRS = ((-1, 1), (1, 3), (0, 2), (-2, 0), (-3, -1))
+NAME_PAIRS = ((-1, 1), (1, 3), (0, 2), (-2, 0), (-3, -1), (3, 4), (2, 3), (1, 2), (0, 1))
 
 
 def _features(words: list[str]) -> list[list[str]]:
@@ -153,8 +153,10 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
     return np.where(ok, 0.0, -1e4), np.where([x.startswith("I-") for x in LABELS], -1e4, 0.0)
 
 
-def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.15, ridge: float = 0.02) -> Field:
-    """Maximum likelihood with a ridge, by gradient steps with running second moments, over sentences as padded batches."""
+def train(rows: list[tuple[list[str], list[str]]], rounds: int = 100, rate: float = 0.15, ridge: float = 0.02) -> Field:
+    """Maximum likelihood with a ridge, by gradient steps with running second moments, over sentences side by side, longest
+    first, so that those with a word at a place are always the first rows."""
+    rows = sorted(rows, key=lambda r: -len(r[0]))
     names = sorted({f for words, _ in rows for fs in _features(words) for f in fs})
     index = {f: i for i, f in enumerate(names)}
     n, size, k = len(rows), max(len(w) for w, _ in rows), len(LABELS)
@@ -163,32 +165,34 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 120, rate: floa
     for i, (words, labels) in enumerate(rows):
         feats[i, : len(words)] = [[index[f] for f in fs] for fs in _features(words)]
         gold[i, : len(words)], mask[i, : len(words)] = [LABELS.index(x) for x in labels], True
+    live = mask.sum(0)
     ban, ban0 = _allowed()
     emit, step, begin = np.zeros((len(names) + 1, k)), np.zeros((k, k)), np.zeros(k)
     moments = [np.zeros_like(x) for x in (emit, step, begin)]
-    flat = feats[mask]
+    flat, score = feats[mask], np.zeros((n, size, k))
+    # sums by feature: all places of all words in the order of their features, once
+    order = np.argsort(flat.ravel(), kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(flat.ravel()[order]) != 0])
+    met, of = flat.ravel()[order[starts]], order // width
     for turn in range(rounds):
-        score = emit[feats].sum(2)
+        score[mask] = emit[flat].sum(1)
         a, b, steps = np.zeros((size, n, k)), np.zeros((size, n, k)), step + ban
         a[0] = begin + ban0 + score[:, 0]
         for t in range(1, size):
-            a[t] = np.where(mask[:, t, None], _lse(a[t - 1][:, :, None] + steps, 1) + score[:, t], a[t - 1])
+            a[t, : live[t]] = _lse(a[t - 1, : live[t], :, None] + steps, 1) + score[: live[t], t]
         for t in range(size - 2, -1, -1):
-            b[t] = np.where(mask[:, t + 1, None], _lse(steps + (score[:, t + 1] + b[t + 1])[:, None, :], 2), 0.0)
-        z = _lse(a[-1], 1)
+            b[t, : live[t + 1]] = _lse(steps + (score[: live[t + 1], t + 1] + b[t + 1, : live[t + 1]])[:, None, :], 2)
+        z = _lse(a[mask.sum(1) - 1, np.arange(n)], 1)
         p = np.exp(a + b - z[:, None])
-        at = np.moveaxis(p, 0, 1)[mask]
         d_emit, d_step, d_begin = np.zeros_like(emit), np.zeros_like(step), -p[0].sum(0)
-        miss = np.eye(k)[gold[mask]] - at
-        for j in range(width):
-            for label in range(k):
-                d_emit[:, label] += np.bincount(flat[:, j], miss[:, label], len(d_emit))
+        miss = np.eye(k)[gold[mask]] - np.moveaxis(p, 0, 1)[mask]
+        d_emit[met] = np.add.reduceat(miss[of], starts)
         np.add.at(d_begin, gold[:, 0], 1.0)
         for t in range(1, size):
-            live = mask[:, t]
-            pair = a[t - 1][live][:, :, None] + steps + (score[live, t] + b[t][live])[:, None, :] - z[live][:, None, None]
+            m = live[t]
+            pair = a[t - 1, :m, :, None] + steps + (score[:m, t] + b[t, :m])[:, None, :] - z[:m, None, None]
             d_step -= np.exp(pair).sum(0)
-            np.add.at(d_step, (gold[live, t - 1], gold[live, t]), 1.0)
+            np.add.at(d_step, (gold[:m, t - 1], gold[:m, t]), 1.0)
         for value, grad, moment in zip((emit, step, begin), (d_emit, d_step, d_begin), moments, strict=True):
             grad -= ridge * value
             moment *= 0.9
@@ -317,7 +321,9 @@ _EDGE = re.compile(r"^[^0-9A-Za-z+(\[]+|[^0-9A-Za-z)\]]+$")
 
 _AT = r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*"
 _DOT = r"\s*[\[({]?\s*(?:\.|\bdot\b)\s*[\])}]?\s*"
-_SPELLED = re.compile(rf"[\w.%+-]+?{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_SPELLED = re.compile(rf"[\w.%+-]+(?:{_DOT}(?!dot\b)[\w%+-]+)*?{_AT}(?!dot\b)[\w-]+(?:{_DOT}(?!dot\b)[\w-]+)+", re.I)
+#: Words without a digit at the ends of a number.
+_PLAIN_ENDS = re.compile(r"^(?:[^0-9\s]*[A-Za-z][^0-9\s]*\s+)+|(?:\s+[^0-9\s]*[A-Za-z][^0-9\s]*)+$")
 _IP_FORM = re.compile(r"[0-9]{1,3}(?:[\[({]?\.[\])}]?[0-9]{1,3}){3}")
 
 
@@ -368,6 +374,11 @@ def added_spans(tables: Tables, texts: list[str], base: list[list[Span]]) -> lis
                     end += 1
                 start, stop = chain[k][0], chain[end - 1][1]
                 inner = texts[i][start:stop]
+                if name[2:] != "email" and (cut := _PLAIN_ENDS.match(inner)):
+                    start += cut.end()
+                    inner = inner[cut.end() :]
+                if name[2:] != "email":
+                    inner = _PLAIN_ENDS.sub("", inner)
                 lead = _EDGE.match(inner)
                 shift = lead.end() if lead and lead.start() == 0 else 0
                 core = _EDGE.sub("", inner)
