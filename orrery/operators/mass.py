@@ -30,10 +30,16 @@ def mass_by(objects: DataFrame, key: Column, payload: str = "P", top: int | None
     rounded after summing and before ordering: by mass, largest first, or by label; ties by label. With `above`,
     labels of a larger mass than it only; with top, the first of those.
     """
-    rows = objects.select((F.coalesce(key, F.lit(unknown)) if unknown is not None else key).alias("label"), "mass_kg", "object_class")
+    return counted_by(objects.withColumn("n", F.lit(1)), key, payload, top, unknown, order, above)
+
+
+def counted_by(rows: DataFrame, key: Column, payload: str = "P", top: int | None = None, unknown: str | None = "Unknown", order: str = "mass", above: float | None = None) -> DataFrame:
+    """mass_by() of rows that stand for n objects each, mass_kg being the sum of theirs."""
+    rows = rows.select((F.coalesce(key, F.lit(unknown)) if unknown is not None else key).alias("label"), "mass_kg", "object_class", "n")
     if unknown is None:
         rows = rows.filter("label is not null")
-    out = rows.groupBy("label").agg(half_up(F.sum(known(F.col("mass_kg")))).alias("mass_kg"), F.count("*").alias("count"), F.count_if(F.col("object_class") == payload).alias("payload_count"))
+    own = F.coalesce(F.sum(F.when(F.col("object_class") == payload, F.col("n"))), F.lit(0)).cast("long")
+    out = rows.groupBy("label").agg(half_up(F.sum(known(F.col("mass_kg")))).alias("mass_kg"), F.sum("n").cast("long").alias("count"), own.alias("payload_count"))
     out = out if above is None else out.filter(F.col("mass_kg") > above)
     out = out.orderBy(F.col("mass_kg").desc(), "label") if order == "mass" else out.orderBy("label")
     return out.limit(top) if top else out

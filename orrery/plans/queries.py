@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import classify, dates, text
-from orrery.operators import audit, cadence, cdf, explore, lifetimes, mass, search, series
+from orrery.operators import audit, cadence, cdf, explore, lifetimes, mass, rollup, search, series
 from orrery.plans.adapters import SEGMENT_RULES, SQL, SQL_PROVIDER, decays, launches, objects, table
-from orrery.sources import catalogs, shared
+from orrery.sources import catalogs, shared, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,7 +580,7 @@ def _accented(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_ACCENTED} SELECT jcat, price, name FROM named ORDER BY name COLLATE en DESC, jcat, price LIMIT 100 OFFSET 2400")
 def explore_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A late page in collated order from a directory of pages."""
-    folder = shared.shared_dir(spark, "pages")
+    folder = shared.temporary_dir(spark, "pages")
     explore.write_pages(_accented(spark, sf_dir), folder, "name", "desc", each=1000)
     return explore.read_page(spark, folder, "25th", 100)[0].select("jcat", "price", "name")
 
@@ -593,11 +595,59 @@ def explore_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{WITH} SELECT jcat, name, satno FROM objects WHERE contains(lower(name), 'ge gea') OR contains(lower(pl_name), 'ge gea') OR contains(jcat, 'ge gea') OR contains(satno::VARCHAR, 'ge gea')")
 def explore_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by an index of trigrams."""
-    folder = shared.shared_dir(spark, "index")
+    folder = shared.temporary_dir(spark, "index")
     search.write_index(_explored(spark, sf_dir), folder, each=2000)
     return search.search_index(spark, folder, "GE gea").select("jcat", "name", "satno")
 
 
+# ---- a rollup, bucketed tables, snapshots ---------------------------------------------------------------------
+def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of two parts of the objects, merged."""
+    rows = objects(spark, sf_dir, "part", "owner", "launch")
+    halves = [rollup.rollup(rows.filter(F.col("launch_tag") % 2 == k), "month", constellation="GEAR") for k in (0, 1)]
+    return shared.materialize(rollup.merged(*halves), "rollup")
+
+
+@_query(ORACLE_SQL["summary"])
+def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.summary(_rolled(spark, sf_dir), PAYLOAD)
+
+
+@_query(f"{WITH} SELECT 'year' AS by, ldate[1:4] AS label, {_MASS} FROM objects GROUP BY 2 UNION ALL SELECT 'state', coalesce(state, 'Unknown'), {_MASS} FROM objects WHERE object_class = 'N' GROUP BY 2 UNION ALL SELECT 'orbit', coalesce(op_orbit, 'Unknown'), {_MASS} FROM objects WHERE object_class = 'N' GROUP BY 2 UNION ALL SELECT 'vehicle', coalesce(lv_family, lv), {_MASS} FROM objects WHERE object_class = 'N' GROUP BY 2")
+def rollup_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masses by four keys from one rollup: the objects are scanned once for all."""
+    rolled = _rolled(spark, sf_dir)
+    own = mass.payloads(rolled, PAYLOAD)
+    found = [("year", rollup.mass_by_year(rolled, PAYLOAD))] + [(n, rollup.mass_by(own, k, PAYLOAD)) for n, k in (("state", F.col("state")), ("orbit", F.col("op_orbit")), ("vehicle", F.coalesce("lv_family", "lv")))]
+    return functools.reduce(DataFrame.unionByName, [x.withColumn("by", F.lit(n)) for n, x in found])
+
+
+@_query(f"{WITH} {_sums(_SITE, ['cape', 'vandenberg', 'other'], f'{_OWN} AND year(ldate::DATE) >= {LEAST_YEAR}')}")
+def rollup_site_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mass.payloads(_rolled(spark, sf_dir), PAYLOAD).filter(classify.holds(F.col("lv_family"), "auto"))
+    return series.segment_series(rows, _year(), classify.site_bucket(F.col("site"), SITES), ["cape", "vandenberg", "other"], least=LEAST_YEAR)
+
+
+@_query(f"{WITH}, few AS (SELECT * FROM launches WHERE orbital), o AS (SELECT jcat, CASE WHEN satno <= 2 THEN 1 ELSE launch_tag END AS launch_tag, quantity FROM objects) SELECT o.jcat, o.launch_tag, o.quantity, f.lv, f.lv_family, f.site FROM o LEFT JOIN few f ON o.launch_tag = f.launch_tag")
+def enrich_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and launches in buckets of the launch tag, a third of the objects under one tag."""
+    rows = objects(spark, sf_dir).select("jcat", F.when(F.col("satno") <= 2, F.lit(1).cast("long")).otherwise(F.col("launch_tag")).alias("launch_tag"), "quantity")
+    name = f"orrery_{uuid.uuid4().hex}"
+    catalogs.write_bucketed(rows, launches(spark, sf_dir).filter("orbital"), name, shared.temporary_dir(spark, "bucketed"), buckets=16)
+    return catalogs.enrich_bucketed(spark, name)
+
+
+@_query(f"{WITH} SELECT coalesce(ldate[1:4], 'none') AS part, count(*) AS n, sum(price)::DECIMAL(38,2) AS price FROM objects GROUP BY 1")
+def snapshot_by_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog without its last two years, then the whole one: the second snapshot writes the new years alone."""
+    folder, tag = shared.temporary_dir(spark, "silver"), launches(spark, sf_dir)
+    rows = objects(spark, sf_dir, "launch").select("jcat", "launch_tag", "ldate", "price", "object_class")
+    snapshots.update(rows.filter("ldate < '2000'"), tag, folder)
+    snapshots.update(rows, tag, folder)
+    part = F.coalesce(dates.year_text(F.col("ldate")), F.lit(snapshots.NO_YEAR))
+    return snapshots.read(spark, folder)[0].groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("price").cast("decimal(38,2)").alias("price"))
+
+
 # ---- scalar functions -----------------------------------------------------------------------------------------
 @_query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y') AS year, month(o_orderdate)::INTEGER AS month, datediff('day', DATE '1957-01-01', o_orderdate::DATE)::INTEGER AS day,
  datediff('day', DATE '1957-01-01', o_orderdate::DATE)::INTEGER AS decay_day, strftime(o_orderdate, '%Y-%m-%d') AS back FROM orders""")

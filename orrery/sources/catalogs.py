@@ -128,6 +128,32 @@ def read_silver(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(f"{folder}/objects"), spark.read.parquet(f"{folder}/launches")
 
 
+def enrich_bucketed(spark: SparkSession, name: str) -> DataFrame:
+    """enrich() of the tables that write_bucketed() made: both are bucketed by the join's keys, so nothing is shuffled."""
+    objects, launches = spark.table(f"{name}_objects"), spark.table(f"{name}_launches")
+    return objects.join(launches, ["launch_tag", "tag_part"], "left").drop("tag_part")
+
+
+def write_bucketed(objects: DataFrame, launches: DataFrame, name: str, folder: str | None = None, buckets: int = 64, hot: float = 0.002, parts: int = 64) -> None:
+    """Tables <name>_objects and <name>_launches (in a folder, or the warehouse), both in `buckets` buckets by launch tag and
+    part. A tag that holds a larger
+    share of all objects than `hot` is cut into `parts` parts, and its launch has a row for each, so that no bucket has
+    all objects of one tag; there are 1 / hot such tags at most, and they are all that is broadcast."""
+    bare = objects.drop("lv", "lv_family", "site", "tag_part", "_hot")
+    counts = bare.groupBy("launch_tag").agg(F.count("*").alias("n")).filter("launch_tag is not null")
+    total = bare.agg(F.count("*").alias("total"))
+    large = materialize(counts.join(F.broadcast(total)).filter(F.col("n") > F.greatest(F.lit(1), F.col("total") * hot)).select(F.col("launch_tag").alias("_hot")), "hot")
+    # objects without a tag match nothing, wherever they are
+    part = F.when(F.col("_hot").isNotNull() | F.col("launch_tag").isNull(), F.pmod(F.xxhash64(*bare.columns), F.lit(parts))).otherwise(0).cast("int")
+    marked = bare.join(F.broadcast(large), F.col("launch_tag") == F.col("_hot"), "left").withColumn("tag_part", part).drop("_hot")
+    known = launches.select("launch_tag", "lv", "lv_family", "site").join(F.broadcast(large), F.col("launch_tag") == F.col("_hot"), "left")
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    known = known.withColumn("tag_part", F.explode(every)).drop("_hot")
+    for rows, table in ((marked, "objects"), (known, "launches")):
+        out = rows.repartition(buckets, "launch_tag", "tag_part").write.mode("overwrite").bucketBy(buckets, "launch_tag", "tag_part").sortBy("launch_tag", "tag_part")
+        (out.option("path", f"{folder}/{table}") if folder else out).saveAsTable(f"{name}_{table}")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

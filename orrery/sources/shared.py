@@ -29,11 +29,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_dir(spark: SparkSession, name: str) -> str:
+    """A new shared folder name that is deleted when the program ends."""
+    path = shared_dir(spark, name)
+    _TABLES[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at files that outlive any executor. They are
     deleted when the program ends."""
-    path = shared_dir(df.sparkSession, name)
-    _TABLES[path] = df.sparkSession
+    path = temporary_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import cadence, explore, lifetimes, mass, search
-from orrery.sources import catalogs
+from orrery.operators import cadence, explore, lifetimes, mass, rollup, search
+from orrery.sources import catalogs, snapshots
 
 NAMES = "JCAT Satcat Launch_Tag Type Name PLName LDate DDate Status Owner State Mass Perigee Apogee Inc OpOrbit".split()
 OBJECTS = """S1|1|L1|P|STARLINK-1|-|2026 Jan  5|-|O|SPX|US|575.5|540|560|53.05|LLEO/I
@@ -243,6 +243,67 @@ def test_aligned_programs_need_both(tables):
         cadence.aligned_programs(tables[1], both | {"nova": F.col("lv_family") == "Nova"})
 
 
+def test_bucketed_enrichment_shuffles_nothing(spark, tmp_path):
+    """A third of the objects under one tag: the same rows as the plain join, no exchange, and no bucket with all of them."""
+    dice = random.Random(4)
+    rows = [(f"S{i}", "hot" if i % 3 == 0 else dice.choice(["a", "b", "c", "d", None, "lost"])) for i in range(3000)]
+    objects = spark.createDataFrame(rows, "jcat string, launch_tag string").withColumn("tag_part", F.lit("clash"))
+    launches = spark.createDataFrame([(t, f"lv {t}", None, "x") for t in ("hot", "a", "b", "c", "d", "e")], "launch_tag string, lv string, lv_family string, site string")
+    catalogs.write_bucketed(objects, launches, "bucketed_test", str(tmp_path / "tables"), buckets=8, hot=0.2, parts=16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalogs.enrich_bucketed(spark, "bucketed_test")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        want = catalogs.enrich(objects.drop("tag_part"), launches)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spread = spark.table("bucketed_test_objects").filter("launch_tag = 'hot'").groupBy("tag_part").count().collect()
+    assert len(spread) == 16 and max(r["count"] for r in spread) < 150
+    spark.sql("DROP TABLE bucketed_test_objects")
+    spark.sql("DROP TABLE bucketed_test_launches")
+
+
+def test_snapshots_write_what_changed(spark, tables, tmp_path, monkeypatch):
+    folder, (objects, launches) = str(tmp_path / "silver"), tables
+    files = lambda: sorted(str(p) for p in (tmp_path / "silver").rglob("*.parquet"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    with pytest.raises(ValueError, match="no snapshot"):
+        snapshots.read(spark, folder)
+    assert snapshots.update(objects, launches, folder)["added"] == ["1981", "1998", "2026", "launches", "none"]
+    first, name = files(), snapshots.current(spark, folder)
+    assert rows(snapshots.read(spark, folder)[0].select(objects.columns)) == rows(objects) and rows(snapshots.read(spark, folder)[1].select(launches.columns)) == rows(launches)
+    assert not any(snapshots.update(objects.repartition(3), launches, folder).values()) and files() == first
+    after = objects.withColumn("owner", F.when(F.col("jcat") == "S5", F.lit("NEW")).otherwise(F.col("owner"))).filter("ldate is null or ldate < '2000'")
+    with monkeypatch.context() as m:  # killed before the pointer moves
+        m.setattr(snapshots, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            snapshots.update(after, launches, folder)
+    assert snapshots.current(spark, folder) == name and rows(snapshots.read(spark, folder)[0].select(objects.columns)) == rows(objects)
+    between = files()
+    assert snapshots.update(after, launches, folder) == {"changed": ["1981"], "added": [], "removed": ["2026"]}
+    assert {p.split("part=")[1].split("/")[0] for p in files() if p not in between and "part=" in p} == {"1981"}
+    assert rows(snapshots.read(spark, folder)[0].select(objects.columns)) == rows(after)
+    assert rows(snapshots.read(spark, folder, name=name)[0].select(objects.columns)) == rows(objects)
+    assert [r.jcat for r in snapshots.read(spark, folder, ["1998"])[0].orderBy("jcat").collect()] == ["S3", "S4"]
+    assert snapshots.read(spark, folder, ["1900"])[0].count() == 0
+    got = {r.jcat: r.change for r in snapshots.changes(objects, after.unionByName(objects.limit(1).withColumn("jcat", F.lit("S99")))).collect()}
+    assert got == {"S5": "changed", "S1": "removed", "S2": "removed", "S99": "added"}
+
+
+def test_rollup_gives_what_the_objects_give(tables):
+    objects = tables[0].withColumn("mass_kg", F.col("mass_kg").cast("decimal(18,4)"))
+    for period in ("day", "month", "year"):
+        rolled = rollup.merged(rollup.rollup(objects.filter("pos % 2 = 0"), period), rollup.rollup(objects.filter("pos % 2 = 1"), period)).cache()
+        assert rollup.summary(rolled).first().asDict() == mass.summary(objects).first().asDict()
+        assert rollup.mass_by_year(rolled).collect() == mass.mass_by_year(objects).collect()
+        assert rollup.mass_by(mass.payloads(rolled), F.col("op_orbit"), top=2).collect() == mass.mass_by(mass.payloads(objects), F.col("op_orbit"), top=2).collect()
+    assert rollup.summary(rollup.rollup(objects.limit(0))).first().asDict() == mass.summary(objects.limit(0)).first().asDict()
+    assert mass.summary(objects, approximate=True).first().asDict() == mass.summary(objects).first().asDict()
+
+
 def test_silver_and_json(spark, tables, tmp_path):
     catalogs.write_silver(tables[0], tables[1], str(tmp_path))
     objects, launches = catalogs.read_silver(spark, str(tmp_path))
