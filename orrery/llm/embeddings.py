@@ -46,7 +46,7 @@ def budgets(dim: int, cosine: float, blocks: int = BLOCKS) -> np.ndarray:
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).astype(float).reshape(len(raw), -1)
+    x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -88,7 +88,7 @@ def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            dims = np.array([len(x) // 4 for x in raw], int)
+            dims = np.array([len(x) // 8 for x in raw], int)
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
                 turned = _turn(_unit([raw[i] for i in own]))
@@ -171,15 +171,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     with the number of vectors: see README.
     """
     v = F.col("v")
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("v"))
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     sound = F.col("id").isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("v", F.when(sound, F.transform(v, lambda x: x + F.lit(0.0).cast("float"))))  # -0.0 is 0.0
+    rows = rows.withColumn("v", F.when(sound, F.transform(v, lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
     whole = rows.filter("v is not null")
     classes = materialize(whole.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.asarray(x, np.float32).tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
+            raw = [np.asarray(x, float).tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], names=["id", "raw", "copies"])
 
     packed = classes.select("rep", "v", "copies").mapInArrow(pack, "id long, raw binary, copies long")

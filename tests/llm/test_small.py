@@ -293,6 +293,19 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_vectors(rows.limit(0)).count() == 0
 
 
+def test_links_close_to_the_threshold_in_double_precision(spark):
+    """Pairs of planted cosines on both sides of 0.95, some nearer to it than floats can tell, and entries beyond floats."""
+    rng, rows = np.random.default_rng(9), []
+    cosines = [0.95 + 1e-9, 0.95 - 1e-9, 0.9501, 0.9499, *np.linspace(0.951, 0.96, 10), 0.94, 0.9]
+    for i, c in enumerate(cosines):
+        q = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        scale = 1e200 if i % 5 == 0 else 1e-200 if i % 5 == 1 else 1.0
+        rows += [(2 * i, (scale * q[0]).tolist()), (2 * i + 1, (c * q[0] + np.sqrt(1 - c * c) * q[1]).tolist())]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, c in enumerate(cosines):
+        assert [(got[k].n_links, got[k].component_id) for k in (2 * i, 2 * i + 1)] == ([(1, 2 * i)] * 2 if c >= 0.95 else [(0, 2 * i), (0, 2 * i + 1)]), c
+
+
 def test_boxes_lose_no_pair_and_compare_few():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 8)) / 8
