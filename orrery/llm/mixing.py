@@ -90,7 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
     """The mix itself: rows of docs as often as mix() takes them, with their columns. Only the thresholds, a row for
-    each source, meet the documents, so no text is shuffled where they are few."""
+    each source, meet the documents, so no text is shuffled where they are few. Null and empty texts have no words and go
+    with their hash as others do; a null source is one; an empty table gives an empty one."""
     bounds = thresholds(_sized(docs, id_col, text_col, source_col), weights, share, most)
     rows = docs.select(F.struct("*").alias("_row"), docs[source_col].alias("_source"), _prefix(docs, id_col, text_col).alias("_prefix"))
     rows = rows.join(bounds, F.col("_source").eqNullSafe(F.col("of")), "left").withColumn("_copies", _copies(F.col("_prefix"), most)).filter("_copies > 0")

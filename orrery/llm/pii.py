@@ -465,7 +465,8 @@ def trained_field(spark: SparkSession, labelled: DataFrame | None = None, most:
 
 
 def masked(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by <KIND>; overlapping spans are replaced as one, by the first one's kind."""
+    """docs with every span replaced by <KIND>; overlapping spans are replaced as one, by the first one's kind. Null texts
+    stay null, empty ones empty; repeated rows are masked alike; an empty table gives an empty one."""
     found = find_pii(docs, field, text_col, "_pii")
     merged = F.aggregate(
         "_pii",

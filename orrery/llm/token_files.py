@@ -230,7 +230,8 @@ class SequenceReader:
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(id, start, n_ids, ids_le) of every document of the files: start counts the ids of all documents before it,
-    ids_le has its ids as little-endian unsigned 32-bit integers. A task reads a shard batch by batch."""
+    ids_le has its ids as little-endian unsigned 32-bit integers. A task reads a shard batch by batch. Null and empty texts
+    have the end id alone, null ids come back as nulls, repeated rows as often as they were written; no shards, no rows."""
     offset = F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")  # a row for each file
     ordered = shards.select("shard", "path", "docs_path", offset.alias("offset"))
     n = max(1, shards.count())

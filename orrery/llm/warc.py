@@ -149,7 +149,8 @@ def _head(row: dict, date: str) -> bytes:
 def read_archives(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """CHUNKS of every record, read from the archives' bytes a chunk at a time. data of a revisit is empty. The last
     chunk of a response is only given if its bytes have the digest of its header; a damaged archive raises an error.
-    payload_bytes is what the record's HTTP header says, and for responses what was read."""
+    payload_bytes is what the record's HTTP header says, and for responses what was read. No archives give no rows; empty
+    payloads (of null or empty ones) are one empty chunk."""
     n = archives.count()
     dealt = archives.select("path").repartition(n, "path") if n > 1 else archives.select("path")
 
