@@ -46,8 +46,10 @@ def running(rows: DataFrame, group: str, by: str, weight: str, each: int = EACH)
     A range holds some `each` rows of any groups; a window holds a group's part of one range.
     """
     source = materialize(rows.select(group, by, weight), "summed")
-    spread = source.repartitionByRange(ranges(source.count(), each), group, by).withColumn("_range", F.spark_partition_id())
-    table = materialize(spread, "ranges")
+    if (n := ranges(source.count(), each)) > 1:
+        table = materialize(source.repartitionByRange(n, group, by).withColumn("_range", F.spark_partition_id()), "ranges")
+    else:
+        table = source.withColumn("_range", F.lit(0))
     parts = table.groupBy(group, "_range").agg(F.sum(weight).alias("_held"), F.max(by).alias("_top"))
     whole = Window.partitionBy(group)  # a row for each range
     parts = parts.select(
