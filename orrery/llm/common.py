@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
@@ -13,31 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources.shared import shared_dir
+
 #: A word of the contracts: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Without a setting a session on one machine (tests, notebooks) keeps tables that cut lineage here.
-LOCAL_DIR = "file:///tmp/checkpoints/orrery"
 #: Tables written by materialize() and not deleted yet.
 _TABLES: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name that driver and executors share, below spark.checkpoint.dir. Where that is unset, a folder of
-    this machine serves a local master only: executors elsewhere would each write to their own disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = LOCAL_DIR
-    if base.startswith("/"):
-        base = f"file://{base}"
-    elif base.startswith("file:/") and not base.startswith("file:///"):
-        base = "file:///" + base[len("file:/") :]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at files that outlive any executor. They are
     deleted by discard(), by released(), or when the program ends."""
