@@ -48,6 +48,12 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mass.summary(objects(spark, sf_dir, "part", "owner", "launch"), PAYLOAD, constellation="GEAR")
 
 
+@_query(ORACLE_SQL["summary"])
+def summary_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts by sketches, which are exact for as few owners and vehicles as there are."""
+    return mass.summary(objects(spark, sf_dir, "part", "owner", "launch"), PAYLOAD, constellation="GEAR", approximate=True)
+
+
 @_query(f"{WITH} SELECT ldate[1:4] AS label, {_MASS} FROM objects GROUP BY 1")
 def mass_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mass.mass_by_year(objects(spark, sf_dir, "launch"), PAYLOAD)
@@ -226,6 +232,13 @@ def vehicle_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cadence.vehicle_providers(launches(spark, sf_dir), LEAST_YEAR, SEGMENT_RULES)
 
 
+@_query(f"{WITH}, t AS (SELECT year(ldate::DATE) AS year, {SQL_PROVIDER} AS provider, coalesce(lv_family, lv, 'Unknown') AS vehicle, launch_tag FROM launches WHERE orbital) SELECT year, vehicle, count(*) AS n, arg_min(provider, launch_tag % 1009 * 1000000 + launch_tag) AS provider FROM t WHERE {_LATE} GROUP BY 1, 2")
+def vehicle_providers_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provider of a vehicle's first launch of a year, where launches have an order."""
+    place = F.col("launch_tag") % 1009 * 1_000_000 + F.col("launch_tag")
+    return cadence.vehicle_providers(launches(spark, sf_dir).withColumn("pos", place), LEAST_YEAR, SEGMENT_RULES)
+
+
 @_query(f"""{_TRIES}, v AS (SELECT year, provider, vehicle, count(*) AS n FROM tries WHERE {_LATE} GROUP BY ALL),
 p AS (SELECT year, provider, sum(n)::BIGINT AS n, string_agg(vehicle || '=' || n, ',' ORDER BY n DESC, vehicle) AS inner_text FROM v GROUP BY ALL),
 w AS (SELECT year, vehicle, sum(n)::BIGINT AS n, min(provider) AS provider FROM v GROUP BY ALL)
