@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,20 @@ from orrery.llm import byte_bpe, minhash, mixing, pii, quality
 from orrery.llm.common import discard, materialize, released
 
 
+def _table_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the perplexity bands reject go: null and empty texts do, as they have under 50 words.
-    Models and bands are of texts that the table of labels calls good."""
-    return quality.accepted(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    Models and bands are of texts that the table of labels calls good, or of all where there is no such table."""
+    return quality.accepted(docs, labels=_table_of(spark, f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
