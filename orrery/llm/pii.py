@@ -319,11 +319,10 @@ def viterbi(field: Field, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _EDGE = re.compile(r"^[^0-9A-Za-z+(\[]+|[^0-9A-Za-z)\]]+$")
 
 
-_AT = r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*"
-_DOT = r"\s*[\[({]?\s*(?:\.|\bdot\b)\s*[\])}]?\s*"
-_SPELLED = re.compile(rf"[\w.%+-]+(?:{_DOT}(?!dot\b)[\w%+-]+)*?{_AT}(?!dot\b)[\w-]+(?:{_DOT}(?!dot\b)[\w-]+)+", re.I)
-#: Words without a digit at the ends of a number.
-_PLAIN_ENDS = re.compile(r"^(?:[^0-9\s]*[A-Za-z][^0-9\s]*\s+)+|(?:\s+[^0-9\s]*[A-Za-z][^0-9\s]*)+$")
+#: Spelled marks become plain ones; what is left has one way to match.
+_AT = re.compile(r"\s*[\[({]?\s*(?:@|\bat\b)\s*[\])}]?\s*", re.I)
+_DOT = re.compile(r"\s*[\[({]?\s*(?:\.|\bdot\b)\s*[\])}]?\s*", re.I)
+_ADDRESS = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
 _IP_FORM = re.compile(r"[0-9]{1,3}(?:[\[({]?\.[\])}]?[0-9]{1,3}){3}")
 
 
@@ -335,7 +334,12 @@ def _fits(kind: str, found: str) -> bool:
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         return bool(_IP_FORM.fullmatch(found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
-    return len(found) <= 320 and bool(_SPELLED.fullmatch(found))
+    return len(found) <= 320 and bool(_ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", found))))
+
+
+def _plain(word: str) -> bool:
+    """A word with letters and no digit."""
+    return not _DIGIT.search(word) and any(x.isalpha() for x in word)
 
 
 def added_spans(tables: Tables, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
@@ -372,13 +376,14 @@ def added_spans(tables: Tables, texts: list[str], base: list[list[Span]]) -> lis
             if name != "O":
                 while end < len(chain) and LABELS[found[end]] == f"I-{name[2:]}":
                     end += 1
-                start, stop = chain[k][0], chain[end - 1][1]
+                first, last = k, end
+                if name[2:] != "email":  # numbers are cut to their digits
+                    while first < last and _plain(texts[i][slice(*chain[first])]):
+                        first += 1
+                    while first < last and _plain(texts[i][slice(*chain[last - 1])]):
+                        last -= 1
+                start, stop = (chain[first][0], chain[last - 1][1]) if first < last else (chain[k][0], chain[k][0])
                 inner = texts[i][start:stop]
-                if name[2:] != "email" and (cut := _PLAIN_ENDS.match(inner)):
-                    start += cut.end()
-                    inner = inner[cut.end() :]
-                if name[2:] != "email":
-                    inner = _PLAIN_ENDS.sub("", inner)
                 lead = _EDGE.match(inner)
                 shift = lead.end() if lead and lead.start() == 0 else 0
                 core = _EDGE.sub("", inner)

@@ -169,6 +169,8 @@ def test_field_leaves_numbers_of_other_kinds_and_prose(spark):
         assert found_by_field(field, text) == [], text
     for text, kind in (("anna(at)web.de", "email"), ("01 23 45 67 89", "phone"), ("jane dot doe at example dot com", "email")):
         assert found_by_field(field, text) == [(kind, text)]
+    for text in ("a.b." * 79 + "a", "a dot " * 50, "a at " * 60, "[ ] " * 80, ". " * 150):  # no form takes long to tell
+        assert not pii._fits("email", text) and found_by_field(field, f"write to {text} now") is not None
 
 
 def test_field_on_forms_that_it_was_not_trained_on(monkeypatch):
