@@ -23,8 +23,9 @@ from orrery.llm.segment_ids import HashIndex, SegmentIds, by_bytes, free, joined
 
 #: Segments whose ids a Python worker keeps (some 40 bytes each); beyond it the memory starts anew.
 REMEMBERED = 500_000
-#: Bytes of pre-tokens that are merged at once (some 40 bytes of memory each), or one longer pre-token.
-MERGED = 1 << 19
+#: Bytes of text that a worker encodes at once, or one longer text. Half as many bytes of pre-tokens are merged at once (some
+#: 40 bytes of memory each): the more, the fewer times all ranks are gone through.
+PIECE = 1 << 22
 
 
 class RankQueue:
@@ -89,6 +90,7 @@ class Codec:
         key = mixed(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
         order = np.argsort(key)
         self.pairs, self.pair_rank = HashIndex(key[order]), np.append(whole[order], -1).astype(np.int32)
+        self.merged = PIECE // 2
         self.memory = SegmentIds(self.encode_new, np.dtype("<i4"), REMEMBERED)
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -207,7 +209,7 @@ class Codec:
         total, lo = len(pieces), 0
         while lo < len(rest):
             hi, held = lo, 0
-            while hi < len(rest) and (hi == lo or held + len(pieces[rest[hi]]) <= MERGED):
+            while hi < len(rest) and (hi == lo or held + len(pieces[rest[hi]]) <= self.merged):
                 held, hi = held + len(pieces[rest[hi]]), hi + 1
             own, sizes = self.merge([pieces[i] for i in rest[lo:hi]])
             size[rest[lo:hi]], begin[rest[lo:hi]] = sizes, total + np.cumsum(sizes) - sizes
@@ -251,13 +253,14 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, piece: int = PIECE) -> DataFrame:
     """Add the ids of every whole text, and with decoded_col the bytes that decoding those ids gives.
 
     Null and empty texts have no ids (an empty array). Each match of pattern is merged apart; special tokens are
     ordinary text. Nothing is shuffled: rows, repeated ones too, stay where they are and keep their other columns.
     A column named like an output is replaced. A text is encoded whole; memory is bounded by the longest text and
-    a memory of REMEMBERED short segments per worker.
+    a memory of REMEMBERED short segments per worker; `piece` bytes of text at a time, which a caller whose executors
+    are full makes smaller.
     """
     small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (ids_col, decoded_col)]
@@ -270,7 +273,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("byte_bpe")
         own = codec(path, pattern)
-        for batch in (x for whole in batches for x in by_bytes(whole, 1 << 20)):
+        own.merged = piece // 2
+        for batch in (x for whole in batches for x in by_bytes(whole, piece)):
             ids, offsets = own.encode(batch.column(batch.num_columns - 1))
             columns = [*batch.columns[: len(sent) + stays], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
             if decoded_col:
