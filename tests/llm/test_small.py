@@ -585,6 +585,27 @@ def test_labels_keep_junk_out_of_the_model(spark):
     assert none.count() == table.count()
 
 
+def test_models_and_bands_are_of_all_good_texts(spark, monkeypatch):
+    """6,000 labelled good texts are all counted, and a text's probability is the plain one of the fold that it isn't in,
+    whether workers hold n-grams or join them; no share of the labels decides."""
+    own = random.Random(5)
+    rows = [(i, f"{prose(50, 9000 + i % 40)} number {i} {own.random()}", "en" if i % 4 else None) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows], "doc_id long, quality int")
+    assert quality.good_sample(table, labels, "doc_id", "text", "lang").count() == 6000
+    few, odd = table.filter("doc_id < 300"), spark.createDataFrame([(7000, "zq" * 30 + " #$ quite unseen" * 20, "en"), (7001, prose(60, 1), "de")], table.schema)
+    asked = few.unionByName(odd)
+    got = {r.doc_id: r.log_ppl for r in quality.judge(asked, keep=["doc_id"], labels=labels).collect()}
+    monkeypatch.setattr(quality.measure, "__defaults__", tuple(3 if x == ngrams.HELD else x for x in quality.measure.__defaults__))
+    assert got == {r.doc_id: r.log_ppl for r in quality.judge(asked, keep=["doc_id"], labels=labels).collect()}
+    good = quality.good_sample(few, labels, "doc_id", "text", "lang")
+    models = {k: quality.Backoff(m) for k, m in quality.fit_models(good, "_text", "_model").items()}
+    assert sorted(models) == ["0", "0:en", "1", "1:en"] and got[7001] is None
+    for r in asked.withColumn("_by", quality._model("text", "lang", 1)).filter("doc_id % 50 = 0").collect():
+        score = models[r._by].text_scores([r.text.encode().lower()], quality.ORDER)[0][0]
+        assert abs(got[r.doc_id] + score / (len(r.text.encode()) + 1) / ngrams.UNIT) < 1e-6
+
+
 # ---- near duplicates
 def brute_components(sets, percent):
     up = {i: i for i in sets}
