@@ -30,7 +30,7 @@ def _table_of(spark: SparkSession, path: str) -> DataFrame | None:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the perplexity bands reject go: null and empty texts do, as they have under 50 words.
-    Models and bands are of texts that the table of labels calls good, or of all where there is no such table."""
+    Models and bands are of all texts that the table of labels calls good, or of all where there is no such table."""
     return quality.accepted(docs, labels=_table_of(spark, f"{sf_dir}/labels.parquet"))
 
 

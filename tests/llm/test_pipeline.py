@@ -38,6 +38,15 @@ def test_quality(spark, sf_dir, stages):
     assert all(rows[i] == r for r in stages[1].collect() for i in [r.doc_id])
 
 
+def test_quality_counts_all_good_texts(spark, sf_dir, stages, monkeypatch):
+    """What the stage's models count is every different labelled good text of 50 words and more."""
+    counted, real = [], quality.ngram_counts
+    monkeypatch.setattr(quality, "ngram_counts", lambda docs, *a: counted.extend(r[0] for r in docs.select(a[0]).collect()) or real(docs, *a))
+    QUALITY(spark, stages[0], sf_dir).count()
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()}
+    assert sorted(counted) == sorted({r.text for r in stages[0].collect() if r.doc_id in good and len(r.text.encode().split()) >= 50})
+
+
 def test_near_duplicates(stages):
     sets = {}
     for r in stages[1].collect():
