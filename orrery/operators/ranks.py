@@ -23,6 +23,12 @@ def ranges(rows: int, each: int = EACH) -> int:
     return max(1, -(-rows // each))
 
 
+def spread_over(rows: int, each: int, most: int) -> int:
+    """Rows of a file: `each`, or so many more that there are `most` files at most. What files cost to write, commit, list
+    and open then doesn't grow with the table."""
+    return max(each, -(-rows // most))
+
+
 def ranked(rows: DataFrame, by: Sequence[Column], each: int = 1 << 20, name: str = "rank") -> DataFrame:
     """rows with `name`: their positions 0 to n - 1 in the order of `by`, ties in any order. The result is a table.
 
