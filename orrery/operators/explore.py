@@ -8,12 +8,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.ranks import ranked
+from orrery.operators.ranks import ranked, spread_over
 
 SORTABLE = ("jcat", "satno", "name", "pl_name", "ldate", "lv", "lv_family", "site", "owner", "state", "object_class", "obj_type", "op_orbit", "sat_state", "mass_kg", "apogee_km", "perigee_km", "inc_deg")
 MOST, USUAL = 500, 50
-#: Rows of a file of sorted pages.
-EACH = 100_000
+#: Rows of a file of sorted pages; files of a directory at most, which then hold more rows each.
+EACH, MOST_FILES = 100_000, 1024
 
 
 def page_arguments(page: object = 1, limit: object = USUAL) -> tuple[int, int]:
@@ -103,9 +103,12 @@ def page_after(objects: DataFrame, field: str, order: str, last_value: object, l
 
 def write_pages(objects: DataFrame, folder: str, field: str = "ldate", order: str = "desc", tie: str = "pos", collation: str | None = "UNICODE", each: int = EACH) -> None:
     """A directory of pages: objects in the order of explore(), sorted once by ranges, with their places in it (place), in
-    files of `each` rows; a file's name says which. read_page() then reads one or two files for any page."""
+    files of `each` rows, or of more where these would be over MOST_FILES; a file's name says which. read_page() then reads
+    one or two files for any page."""
     rows = ranked(objects.drop("place", "file"), _order(objects, field, order, tie, collation), name="place")
-    rows.agg(F.count("*").alias("total"), F.lit(each).alias("each")).write.mode("overwrite").parquet(f"{folder}/total")
+    total = rows.count()
+    each = spread_over(total, each, MOST_FILES)
+    rows.sparkSession.range(1, numPartitions=1).select(F.lit(total).cast("long").alias("total"), F.lit(each).alias("each")).write.mode("overwrite").parquet(f"{folder}/total")
     filed = rows.withColumn("file", F.floor(F.col("place") / F.lit(each)))
     filed.repartition("file").sortWithinPartitions("file", "place").write.mode("overwrite").partitionBy("file").parquet(f"{folder}/rows")
 

@@ -162,6 +162,17 @@ def test_directory_of_pages(spark, tmp_path):
     assert files_read(page) == 2 and len(list((tmp_path / "asc" / "rows").glob("file=*/*.parquet"))) == 6
 
 
+def test_pages_of_a_long_table_are_in_few_files(spark, tmp_path, monkeypatch):
+    """However few rows a file is to hold, there are MOST_FILES at most, and any page is the same."""
+    monkeypatch.setattr(explore, "MOST_FILES", 4, raising=False)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(NAMED * 20)], "pos long, name string")
+    explore.write_pages(rows, str(tmp_path / "pages"), "name", "asc", each=2)
+    assert len(list((tmp_path / "pages" / "rows").glob("file=*/*.parquet"))) == 4
+    pages = [explore.read_page(spark, str(tmp_path / "pages"), k, 30) for k in range(1, 11)]
+    assert [r.pos for page, _ in pages for r in page.collect()] == [r.pos for r in explore.ordered(rows.withColumn("ldate", F.lit("")), "name", "asc").collect()]
+    assert pages[8][1].first().asDict() == {"total": 260, "page": 9, "limit": 30, "pages": 9, "first": 241, "last": 260}
+
+
 def files_read(df):
     """Of the scans of a plan that has run."""
     total, todo = 0, [df._jdf.queryExecution().executedPlan()]
@@ -194,6 +205,17 @@ def test_search_by_index_equals_the_scan(spark, tmp_path):
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_of_a_long_table_has_few_blocks(spark, tmp_path, monkeypatch):
+    """However few rows a block is to hold, there are MOST_BLOCKS at most, and a search finds the same."""
+    monkeypatch.setattr(search, "MOST_BLOCKS", 5, raising=False)
+    rows = [(i, f"S{i}", f"name {i % 7}", "pay" if i % 3 else None, i if i % 4 else None) for i in range(300)]
+    objects = spark.createDataFrame(rows, "pos long, jcat string, name string, pl_name string, satno long")
+    search.write_index(objects, str(tmp_path), each=3)
+    assert len(list((tmp_path / "rows").glob("block=*"))) == 5
+    for needle in ("S29", "name 3", "PAY", "123", "e 6", "none"):
+        assert sorted(r.pos for r in search.search_index(spark, str(tmp_path), needle).collect()) == sorted(r.pos for r in explore.search(objects, needle).collect()), needle
+
+
 def test_interval_join_against_all_pairs(spark):
     dice = random.Random(6)
     lives = [(i, a, dice.choice([-1, a, a + dice.randint(0, 900)]), dice.choice([40, 90, 500, 0, -3])) for i in range(200) for a in [dice.randint(0, 2000)]] + [(200, 0, 29_000, 120), (201, 5, -1, 80), (202, 5, 5, 80)]
