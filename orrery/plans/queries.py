@@ -653,8 +653,8 @@ def enrich_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{WITH} SELECT coalesce(ldate[1:4], 'none') AS part, count(*) AS n, sum(price)::DECIMAL(38,2) AS price FROM objects GROUP BY 1")
 def snapshot_by_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog without its last two years, then the whole one: the second snapshot writes the new years alone."""
-    folder, tag = shared.temporary_dir(spark, "silver"), launches(spark, sf_dir)
-    rows = objects(spark, sf_dir, "launch").select("jcat", "launch_tag", "ldate", "price", "object_class")
+    folder, tag = shared.temporary_dir(spark, "silver"), shared.materialize(launches(spark, sf_dir), "launches")
+    rows = shared.materialize(objects(spark, sf_dir, "launch").select("jcat", "launch_tag", "ldate", "price", "object_class"), "objects")
     snapshots.update(rows.filter("ldate < '2000'"), tag, folder)
     snapshots.update(rows, tag, folder)
     part = F.coalesce(dates.year_text(F.col("ldate")), F.lit(snapshots.NO_YEAR))

@@ -69,7 +69,8 @@ def parts(spark: SparkSession, folder: str, name: str | None = None) -> DataFram
 def update(objects: DataFrame, launches: DataFrame, folder: str, each: int = 1_000_000) -> dict[str, list[str]]:
     """Make the tables the current snapshot of the folder; returns the parts that were changed, added and removed. Where
     nothing differs, nothing is written. Years are compared by digests of their rows, so the order of rows is none; a
-    changed year is written in files of some `each` rows."""
+    changed year is written in files of some `each` rows. Both tables are read twice: what is derived by joins had better be
+    materialized before."""
     spark, old = objects.sparkSession, {r.part: r for r in parts(objects.sparkSession, folder).collect()}
     tables = _parted(objects, launches)
     new = {r.part: r for t in tables for r in _digests(t).collect()}  # a row for each year

@@ -113,3 +113,11 @@ def test_small_things(spark, tmp_path):
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
     plan = launches(spark, sf_dir).filter("site = '5-LOW'").select("launch_tag", "lv_family")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderpriority,5-LOW)" in plan and "o_totalprice" not in plan
+
+
+def test_snapshots_join_once(spark, sf_dir, monkeypatch):
+    """Each update reads tables in files: the joins behind objects and launches run once."""
+    seen, real = [], plans.snapshots.update
+    monkeypatch.setattr(plans.snapshots, "update", lambda *a: seen.extend(t._jdf.queryExecution().optimizedPlan().toString() for t in a[:2]) or real(*a))
+    plans.snapshot_by_difference(spark, sf_dir)
+    assert len(seen) == 4 and not any("Join" in x for x in seen)
