@@ -39,10 +39,17 @@ def _delete(path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for df in tables:
-        _delete(df._table_path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new shared folder for files that tasks write themselves. It is deleted as tables are."""
+    path = shared_dir(spark, name)
+    _TABLES[path] = spark
+    return path
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete materialized tables, or folders from scratch(), that nothing reads any more."""
+    for x in tables:
+        _delete(x if isinstance(x, str) else x._table_path)
 
 
 @contextmanager

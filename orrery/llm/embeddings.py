@@ -2,33 +2,51 @@
 
 Unit vectors of cosine c are sqrt(2 - 2 c) apart. A random rotation spreads that evenly over the dimensions, which
 are split into blocks: vectors within the whole squared distance are within a block's proportional share of it in one
-block at least. So each block is range-joined under its own budget: by slabs of its first coordinate, to which a
-vector comes with all that lie within the budget's radius, and in a slab by boxes over all coordinates of the block: the
-vectors at home are halved at medians, and visitors go on to a half only if its box is within the budget. Candidates are
-verified there on the full vectors in double precision, and a pair counts in the first block that has it.
+block at least. So each block is range-joined under its own budget, by boxes over all its coordinates: the vectors at
+home are halved at medians, and visitors go on to a half only if its box is within the budget. Candidates are verified
+there on the full vectors in double precision, and a pair counts in the first block that has it.
+
+Vectors are written once, to files of the shared folder. A task of the join gets the numbers of two chunks and of a
+block, and reads the chunks' files: no vector is copied for the blocks, boxes and chunks that it meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from hashlib import sha256
+from itertools import groupby
+from math import isqrt
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from orrery.llm.common import discard, materialize
+from orrery.llm.common import discard, enter, filesystem, materialize, scratch, small_batches
 from orrery.llm.components import Forest, components
 
 BLOCKS = 8
-#: Vectors of a slab that meet in one task; larger slabs are cut into chunks, and chunks meet in pairs.
+#: Vectors of a chunk; chunks meet in pairs.
 CHUNK = 32_768
+#: Bytes of a chunk in double precision: of longer vectors it holds fewer.
+CHUNK_BYTES = 1 << 24
 #: Added to a block's budget, so that rounding loses no candidate.
 SLACK = 1e-6
 #: Vectors at home in a box that isn't halved again.
 LEAF = 48
+#: The same in the join, where single precision and products of matrices make comparing cheaper than halving.
+JOIN_LEAF = 256
+#: Pairs that are compared at once, and candidates that are verified at once.
+STEP, PIECE = 1 << 18, 1 << 16
+#: Partitions of the join: a row of a pair of chunks and a block each as long as there are few, and no more than many.
+FEW_TASKS, MOST_TASKS = 256, 20_000
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """A random rotation, the same for the same dimension."""
     q, r = np.linalg.qr(np.random.default_rng((seed, dim)).standard_normal((dim, dim)))
@@ -45,9 +63,9 @@ def budgets(dim: int, cosine: float, blocks: int = BLOCKS) -> np.ndarray:
     return (2 - 2 * cosine) * np.diff(block_edges(dim, blocks)) / dim + SLACK
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
-    x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x /= np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -62,51 +80,142 @@ def _turn(unit: np.ndarray) -> np.ndarray:
 def boxed(visitors: np.ndarray, home: np.ndarray, limit: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of visitors and of home, box by box: all pairs within the squared distance are among them. Boxes hold `leaf`
     rows of home at most, unless those are all alike."""
-    todo = [(np.arange(len(visitors)), np.arange(len(home)))]
+    todo = [(np.arange(len(visitors)), np.ascontiguousarray(visitors.T), np.arange(len(home)))]
     while todo:
-        i, j = todo.pop()
+        i, at, j = todo.pop()
         low, high = home[j].min(0), home[j].max(0)
-        beyond = np.maximum(np.maximum(low - visitors[i], visitors[i] - high), 0)
-        i = i[np.einsum("ij,ij->i", beyond, beyond) <= limit + 1e-9]
-        if not len(i):
+        beyond = np.zeros(len(i), at.dtype)
+        for x, lo, hi in zip(at, low, high, strict=True):
+            d = np.maximum(lo - x, x - hi)
+            np.maximum(d, 0, out=d)
+            d *= d
+            beyond += d
+        use = np.flatnonzero(beyond <= limit + 1e-9)
+        if not len(use):
             continue
+        if len(use) < len(i):
+            i, at = i[use], at[:, use]
         c = int((high - low).argmax())
         if len(j) <= leaf or high[c] == low[c]:
             yield i, j
             continue
         order = np.argsort(home[j, c], kind="stable")
-        todo += [(i, j[order[: len(j) // 2]]), (i, j[order[len(j) // 2 :]])]
+        todo += [(i, at, j[order[: len(j) // 2]]), (i, at, j[order[len(j) // 2 :]])]
+
+
+def _sound(column: pa.Array, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of a column of lists, by length. Null and zero vectors and those with null or non-finite
+    components are left out."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    starts = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        x = flat[starts[rows][:, None] + np.arange(dim)] + kind(0)  # -0.0 is 0.0
+        use = np.isfinite(x).all(1) & (x != 0).any(1)
+        yield rows[use], x[use]
+
+
+def _packed(rows: DataFrame, kind: type) -> DataFrame:
+    """(id, raw) of the rows (id, v) that can link: the bytes of v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, x in _sound(batch.column(1), kind):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "raw"])
+
+    return rows.filter("id is not null").mapInArrow(run, "id long, raw binary")
+
+
+def _named(rows: DataFrame, kind: type) -> DataFrame:
+    """(id, digest) of all rows (id, v): digest is null where v can't link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests: list[bytes | None] = [None] * batch.num_rows
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for own, x in _sound(batch.column(1), kind):
+                for i, v in zip(own.tolist(), x, strict=True):
+                    if known[i]:
+                        digests[i] = sha256(v.tobytes()).digest()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["id", "digest"])
+
+    return rows.mapInArrow(run, "id long, digest binary")
 
-def _widths(dim: int, cosine: float, blocks: int) -> np.ndarray:
-    return np.maximum(2 * np.sqrt(budgets(dim, cosine, blocks)), 0.02)
 
+def _held(dim: int, chunk: int) -> int:
+    return max(1, min(chunk, CHUNK_BYTES // (8 * dim)))
 
-def _slabs(table: DataFrame, cosine: float, blocks: int) -> DataFrame:
-    """(dim, block, slab, home, id, copies, raw): each vector once at home, and in the slabs that its radius reaches."""
+
+def _written(classes: DataFrame, folder: str, chunk: int, kind: type) -> DataFrame:
+    """(digest, rep, copies, dim, path) of classes (raw, rep, copies), and the files: each has vectors of one length, as
+    many as a chunk at most."""
+    size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+        waiting: dict[int, list[pa.Table]] = {}
+
+        def flush(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            rows, held = pa.concat_tables(waiting[dim]), _held(dim, chunk)
+            while rows.num_rows >= least:
+                name, part, rows = uuid4().hex, rows.slice(0, held).combine_chunks(), rows.slice(held)
+                raw = part["raw"].to_pylist()
+                vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * size), len(raw), [None, pa.py_buffer(b"".join(raw))])
+                kept = pa.table({"raw": vectors, "id": part["rep"], "copies": part["copies"]})
+                with fs.open_output_stream(f"{base}/{name}.arrow") as sink, pa.ipc.new_file(sink, kept.schema) as writer:
+                    writer.write_table(kept)
+                yield from pa.table({"digest": pa.array([sha256(x).digest() for x in raw], pa.binary()), "rep": part["rep"], "copies": part["copies"], "dim": pa.array([dim] * len(raw), pa.int32()), "path": pa.array([f"{folder}/{name}.arrow"] * len(raw))}).combine_chunks().to_batches()
+            waiting[dim] = [rows]
+
         for batch in batches:
-            ids, raw, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            dims = np.array([len(x) // 8 for x in raw], int)
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                turned = _turn(_unit([raw[i] for i in own]))
-                edges, radius, width = block_edges(dim, blocks), np.sqrt(budgets(dim, cosine, blocks)), _widths(dim, cosine, blocks)
-                for b in range(len(edges) - 1):
-                    first = turned[:, edges[b]]
-                    home = np.floor(first / width[b]).astype(int)
-                    lo, hi = (np.floor((first + s * (radius[b] + 1e-5)) / width[b]).astype(int) for s in (-1, 1))
-                    for slab_of, is_home, use in [(home, True, np.ones(len(own), bool))] + [(lo + k, False, lo + k <= hi) for k in range(int((hi - lo).max()) + 1)]:
-                        at = np.flatnonzero(use)
-                        n = len(at)
-                        if n:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab_of[at].astype(np.int32)), pa.array(np.full(n, is_home)), pa.array(ids[own[at]]), pa.array(copies[own[at]]), pa.array([raw[own[i]] for i in at], pa.binary())],
-                                names=["dim", "block", "slab", "home", "id", "copies", "raw"],
-                            )
-
-    return table.mapInArrow(run, "dim int, block int, slab int, home boolean, id long, copies long, raw binary")
+            rows = pa.Table.from_batches([batch])
+            dims = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // size
+            for dim in np.unique(dims).tolist():
+                waiting.setdefault(dim, []).append(rows.filter(pa.array(dims == dim)))
+                if sum(x.num_rows for x in waiting[dim]) >= _held(dim, chunk):
+                    yield from flush(dim, _held(dim, chunk))
+        for dim in waiting:
+            yield from flush(dim, 1)
+
+    return classes.select("raw", "rep", "copies").mapInArrow(run, "digest binary, rep long, copies long, dim int, path string")
+
+
+def _chunks(written: DataFrame, chunk: int) -> list[tuple[int, list[list[str]]]]:
+    """The files of each chunk, by length of vectors. The driver sees a name for each chunk, or for each partition's rest."""
+    out: dict[int, list[list[str]]] = {}
+    full: dict[int, int] = {}
+    for r in sorted(written.groupBy("dim", "path").count().collect()):
+        if r.dim not in out or full[r.dim] + r["count"] > _held(r.dim, chunk):
+            out.setdefault(r.dim, []).append([])
+            full[r.dim] = 0
+        out[r.dim][-1].append(r.path)
+        full[r.dim] += r["count"]
+    return list(out.items())
+
+
+class Chunk:
+    """Vectors of some files: unit vectors, and blocks of the turned ones in single precision (`small`)."""
+
+    def __init__(self, files: list[str], dim: int, kind: type, blocks: int) -> None:
+        tables = []
+        for path in files:
+            fs, name = filesystem(path)
+            with fs.open_input_stream(name) as source:
+                tables.append(pa.ipc.open_file(source.read()).read_all())
+        self.ids, self.copies = (np.concatenate([t[c].to_numpy() for t in tables]) for c in ("id", "copies"))
+        self.unit = _unit(np.concatenate([np.frombuffer(x.buffers()[1], kind).reshape(-1, dim) for t in tables for x in t["raw"].chunks]))
+        turned, self.edges = self.unit @ rotation(dim), block_edges(dim, blocks)
+        self.small = [np.ascontiguousarray(turned[:, a:b], np.float32) for a, b in zip(self.edges, self.edges[1:], strict=False)]
+
+    @cached_property
+    def turned(self) -> np.ndarray:
+        return _turn(self.unit)
+
+    def near(self, other: Chunk, x: np.ndarray, y: np.ndarray, block: int, limit: float) -> np.ndarray:
+        own = slice(self.edges[block], self.edges[block + 1])
+        return _near(self.turned[x, own], other.turned[y, own]) <= limit
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,43 +227,93 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(cosine: float, blocks: int, step: int = 1 << 20):
-    """A chunk of visitors against a chunk at home: sums of copies linked to each, and links to a root for each."""
-
-    def run(cell: pa.Table) -> pa.Table:
-        dim, block = cell["dim"][0].as_py(), cell["block"][0].as_py()
-        home = cell["home"].to_numpy()
-        raw, ids, copies = _unit(cell["raw"].to_pylist()), cell["id"].to_numpy(), cell["copies"].to_numpy()
-        turned, edges, limit = _turn(raw), block_edges(dim, blocks), budgets(dim, cosine, blocks)
-        a, b, own = np.flatnonzero(~home), np.flatnonzero(home), slice(edges[block], edges[block + 1])
-        small = np.ascontiguousarray(turned[:, own])
-        square = (small * small).sum(1)
-        near = np.zeros(len(ids), np.int64)
-        forest = Forest(len(ids))
-        for i, j in boxed(small[a], small[b], limit[block]):
-            left, q = a[i], b[j]
-            for at in range(0, len(left), max(1, step // len(q))):
-                p = left[at : at + max(1, step // len(q))]
-                found = square[p][:, None] + square[q][None, :] - 2 * (small[p] @ small[q].T) <= limit[block] + 1e-9
-                x, y = np.nonzero(found & (ids[p][:, None] < ids[q][None, :]))
-                x, y = p[x], q[y]
-                use = _near(small[x], small[y]) <= limit[block]
-                x, y = x[use], y[use]
-                use = np.einsum("ij,ij->i", raw[x], raw[y]) >= cosine
-                x, y = x[use], y[use]
+def _candidates(visitors: np.ndarray, home: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, PIECE of them or fewer at once: all within the squared distance, and few beyond. Rows are no longer
+    than 1, so that (m + 4) * 2 ** -22 bounds what single precision loses in m coordinates."""
+    m = visitors.shape[1]
+    limit += 2 * (m + 4) * 2.0**-22
+    square = [np.einsum("ij,ij->i", x, x, dtype=float).astype(np.float32)[:, None] for x in (visitors, home)]
+    one = [np.ones_like(x) for x in square]
+    left, right = np.hstack([-2 * visitors, square[0], one[0]]), np.hstack([home, one[1], square[1]])
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for i, j in boxed(visitors, home, limit, JOIN_LEAF):
+        for jj in (j[k : k + STEP] for k in range(0, len(j), STEP)):
+            step, there = max(1, STEP // len(jj)), right[jj].T
+            for at in range(0, len(i), step):
+                ii = i[at : at + step]
+                found = np.flatnonzero((left[ii] @ there).ravel() <= np.float32(limit))
+                if len(found):
+                    some.append((ii[found // len(jj)], jj[found % len(jj)]))
+                    n += len(found)
+                if n >= PIECE:
+                    x, y = (np.concatenate(z) for z in zip(*some, strict=True))
+                    yield from ((x[k : k + PIECE], y[k : k + PIECE]) for k in range(0, n, PIECE))
+                    some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(z) for z in zip(*some, strict=True))
+
+
+class Meeting:
+    """Two chunks, or a chunk and itself: sums of copies linked to each vector, and links to a root for each."""
+
+    def __init__(self, a: Chunk, b: Chunk, cosine: float, limits: np.ndarray) -> None:
+        self.a, self.b, self.cosine, self.limits = a, b, cosine, limits
+        self.shift = 0 if a is b else len(a.ids)
+        self.ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+        self.n, self.forest = np.zeros(len(self.ids), np.int64), Forest(len(self.ids))
+
+    def join(self, block: int) -> None:
+        a, b = self.a, self.b
+        for x, y in _candidates(a.small[block], b.small[block], float(self.limits[block])):
+            use = a.ids[x] != b.ids[y]
+            if a is b:
+                use &= x < y
+            x, y = x[use], y[use]
+            use = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= self.cosine
+            x, y = x[use], y[use]
+            if len(x):
+                use = a.near(b, x, y, block, self.limits[block])
                 for earlier in range(block):
-                    part = slice(edges[earlier], edges[earlier + 1])
-                    use = _near(turned[x][:, part], turned[y][:, part]) > limit[earlier]
-                    x, y = x[use], y[use]
-                np.add.at(near, x, copies[y])
-                np.add.at(near, y, copies[x])
-                forest.join(x, y)
-        root = forest.settled()
-        child = np.flatnonzero(root != np.arange(len(ids)))
-        linked = np.flatnonzero(near)
-        return pa.table({"id": np.concatenate([ids[linked], ids[child]]), "root": pa.array(np.concatenate([ids[linked], ids[root[child]]]), mask=np.r_[np.ones(len(linked), bool), np.zeros(len(child), bool)]), "n": np.concatenate([near[linked], np.zeros(len(child), np.int64)])})
+                    use &= ~a.near(b, x, y, earlier, self.limits[earlier])
+                x, y = x[use], y[use]
+                np.add.at(self.n, x, b.copies[y])
+                np.add.at(self.n, y + self.shift, a.copies[x])
+                self.forest.join(x, y + self.shift)
+
+    def found(self) -> pa.RecordBatch:
+        """(id, root, n): n of linked vectors, without a root; roots of those that aren't their own, without n."""
+        root, linked = self.forest.settled(), np.flatnonzero(self.n)
+        child = np.flatnonzero(root != np.arange(len(root)))
+        none = np.r_[np.ones(len(linked), bool), np.zeros(len(child), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([self.ids[linked], self.ids[child]])), pa.array(np.concatenate([self.ids[linked], self.ids[root[child]]]), mask=none), pa.array(np.concatenate([self.n[linked], np.zeros(len(child), np.int64)]))], names=["id", "root", "n"])
+
+
+def _joined(spark: SparkSession, chunks: list[tuple[int, list[list[str]]]], cosine: float, blocks: int, kind: type) -> DataFrame:
+    """What Meeting.found() gives for each pair of chunks of one length: a row for each pair and block is a task's work."""
+    first = np.cumsum([0] + [len(of) * (len(of) + 1) // 2 * min(blocks, dim) for dim, of in chunks]).tolist()
+    pairs = sum(len(of) * (len(of) + 1) // 2 for _, of in chunks)
+
+    def meeting(row: int) -> tuple[tuple[int, int, int], int]:
+        """((place in chunks, numbers of two chunks), block)"""
+        k = int(np.searchsorted(first, row, "right")) - 1
+        pair, block = divmod(row - first[k], min(blocks, chunks[k][0]))
+        i = (isqrt(8 * pair + 1) - 1) // 2
+        return (k, i, pair - i * (i + 1) // 2), block
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("embeddings")
+        held: dict[tuple[int, int], Chunk] = {}
+        rows = (meeting(x) for batch in batches for x in batch.column(0).to_pylist())
+        for (k, i, j), of in groupby(rows, key=lambda x: x[0]):
+            dim, files = chunks[k]
+            held = {x: held.get(x) or Chunk(files[x[1]], dim, kind, blocks) for x in {(k, i), (k, j)}}
+            met = Meeting(held[k, i], held[k, j], cosine, budgets(dim, cosine, blocks))
+            for _, block in of:
+                met.join(block)
+            yield met.found()
+
+    return spark.range(0, first[-1], 1, max(1, min(first[-1], max(FEW_TASKS, pairs), MOST_TASKS))).mapInArrow(run, "id long, root long, n long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
@@ -163,42 +322,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     n_links: other rows of cosine >= `cosine`; component_id: the smallest id reachable; kept: it is the row's own.
     Null and zero vectors, those with null or non-finite components, and rows of a null id link with nothing (a null
     id has a null component and isn't kept). Vectors of different lengths don't link. Rows that repeat an id are rows
-    of their own and share its component. Equal vectors are one class with a count from the start.
+    of their own and share its component. Equal vectors are one class with a count from the start; rows find their
+    class by SHA-256.
 
-    A slab of any size is cut into chunks by a hash, and each pair of chunks is a task with 2 * chunk vectors at most
-    that returns counts and a link to a root for each vector, never pairs. The rotation spreads a threshold over all
-    blocks, so the join is exact for any data. How many pairs its boxes leave to compare depends on the data and falls
-    with the number of vectors: see README.
+    Vectors are cut into chunks as they come. A task has two chunks in memory, and returns counts and a link to a root for
+    each vector, never pairs. On disk each vector is once in a shuffle and once in a file, however many chunks there are.
+    The rotation spreads a threshold over all blocks, so the join is exact for any data. How many pairs its boxes leave
+    to compare depends on the data, and the pairs of chunks grow with the square of their number: see README.
     """
-    v = F.col("v")
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("v", F.when(sound, F.transform(v, lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
-    whole = rows.filter("v is not null")
-    classes = materialize(whole.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.asarray(x, float).tobytes() for x in batch.column(1).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], names=["id", "raw", "copies"])
-
-    packed = classes.select("rep", "v", "copies").mapInArrow(pack, "id long, raw binary, copies long")
-    cells = materialize(_slabs(packed, cosine, blocks), "slabs")
-    # a row for each slab; coordinates of unit vectors bound their number
-    sizes = cells.groupBy("dim", "block", "slab").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_visit"))
-    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(chunk))).cast("int")
-    sizes = sizes.filter("n_home > 0 and n_visit > 0").select("dim", "block", "slab", cut("n_home").alias("homes"), cut("n_visit").alias("visits"))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    dealt = cells.join(sizes, ["dim", "block", "slab"])
-    dealt = dealt.withColumn("i", F.when(F.col("home"), part("homes"))).withColumn("j", F.when(~F.col("home"), part("visits")))
-    dealt = dealt.withColumn("k", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("visits") - 1)).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))))
-    dealt = dealt.withColumn("i", F.coalesce("i", "k")).withColumn("j", F.coalesce("j", "k")).select("dim", "block", "slab", "i", "j", "home", "id", "raw", "copies")
-    found = materialize(dealt.groupBy("dim", "block", "slab", "i", "j").applyInArrow(_joined(cosine, blocks), "id long, root long, n long"), "joined")
-    discard(cells)
+    spark = vectors.sparkSession
+    small_batches(spark)
+    element = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    kind = np.float32 if isinstance(element, FloatType) else np.float64
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>" if kind is np.float32 else "array<double>").alias("v"))
+    classes = _packed(rows, kind).groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    folder = scratch(spark, "vectors")
+    written = materialize(_written(classes, folder, chunk, kind), "classes")
+    found = materialize(_joined(spark, _chunks(written, chunk), cosine, blocks, kind), "joined")
+    discard(folder)
     counts = found.filter("root is null").groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("n"))
     linked = components(found.filter("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "member")
-    named = classes.join(counts, F.col("rep") == F.col("of"), "left").join(linked, F.col("rep") == F.col("member"), "left")
-    named = named.select(F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, F.col("v") == F.col("_v"), "left")
+    named = written.join(counts, F.col("rep") == F.col("of"), "left").join(linked, F.col("rep") == F.col("member"), "left")
+    named = named.select(F.col("digest").alias("_digest"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = _named(rows, kind).join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -308,6 +309,25 @@ def test_links_close_to_the_threshold_in_double_precision(spark):
         assert [(got[k].n_links, got[k].component_id) for k in (2 * i, 2 * i + 1)] == ([(1, 2 * i)] * 2 if c >= 0.95 else [(0, 2 * i), (0, 2 * i + 1)]), c
 
 
+def test_vectors_are_on_disk_a_few_times(spark, monkeypatch):
+    """Shuffles and shared tables, when most of them are there, against the vectors themselves; more and smaller chunks add nothing."""
+    x = np.random.default_rng(11).standard_normal((6000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used():
+        files = blocks.getAllFiles()
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared) for f in names) + sum(files.apply(i).length() for i in range(files.size()))
+
+    most, discard = [], embeddings.discard
+    monkeypatch.setattr(embeddings, "discard", lambda *tables: (most.append(used()), discard(*tables)))
+    for chunk in (embeddings.CHUNK, 2000):
+        before = used()
+        assert embeddings.near_vectors(rows, chunk=chunk).filter("n_links = 0 and kept").count() == len(x)
+        assert most.pop() - before < 3 * x.nbytes
+
+
 def test_boxes_lose_no_pair_and_compare_few():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 8)) / 8
