@@ -6,14 +6,14 @@ block at least. So each block is range-joined under its own budget, by boxes ove
 home are halved at medians, and visitors go on to a half only if its box is within the budget. Candidates are verified
 there on the full vectors in double precision, and a pair counts in the first block that has it.
 
-Vectors are written once, to files of the shared folder. A task of the join gets the numbers of two chunks and of a
-block, and reads the chunks' files: no vector is copied for the blocks, boxes and chunks that it meets.
+Vectors are written once, to files of the shared folder. A task of the join gets the numbers of chunks and of blocks, and
+reads the chunks' files: no vector is copied for the blocks, boxes and chunks that it meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from hashlib import sha256
 from itertools import groupby
 from math import isqrt
@@ -30,8 +30,10 @@ from orrery.llm.common import discard, enter, filesystem, materialize, scratch,
 from orrery.llm.components import Forest, components
 
 BLOCKS = 8
-#: Vectors of a chunk; chunks meet in pairs.
+#: Vectors of a chunk.
 CHUNK = 32_768
+#: Chunks that are at home together, as boxes of more vectors are smaller; chunks visit them one by one.
+HOMES = 8
 #: Bytes of a chunk in double precision: of longer vectors it holds fewer.
 CHUNK_BYTES = 1 << 24
 #: Added to a block's budget, so that rounding loses no candidate.
@@ -42,8 +44,8 @@ LEAF = 48
 JOIN_LEAF = 256
 #: Pairs that are compared at once, and candidates that are verified at once.
 STEP, PIECE = 1 << 18, 1 << 16
-#: Partitions of the join: a row of a pair of chunks and a block each as long as there are few, and no more than many.
-FEW_TASKS, MOST_TASKS = 256, 20_000
+#: Partitions of the join: a visit in a block each as long as there are few, and no more than many.
+FEW_TASKS, MOST_TASKS = 96, 20_000
 
 
 @lru_cache(maxsize=4)
@@ -66,12 +68,14 @@ def budgets(dim: int, cosine: float, blocks: int = BLOCKS) -> np.ndarray:
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(float)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return x
 
 
-def _turn(unit: np.ndarray) -> np.ndarray:
-    """Rotated vectors, summed in one order, so that a vector has the same bits wherever it is turned."""
-    turn, out = rotation(unit.shape[1]), np.zeros_like(unit)
+def _turn(unit: np.ndarray, own: slice) -> np.ndarray:
+    """A block of rotated vectors, summed in one order, so that a vector has the same bits wherever it is turned."""
+    turn = rotation(unit.shape[1])[:, own]
+    out = np.zeros((len(unit), turn.shape[1]))
     for k in range(unit.shape[1]):
         out += unit[:, k : k + 1] * turn[k]
     return out
@@ -83,23 +87,21 @@ def boxed(visitors: np.ndarray, home: np.ndarray, limit: float, leaf: int = LEAF
     todo = [(np.arange(len(visitors)), np.ascontiguousarray(visitors.T), np.arange(len(home)))]
     while todo:
         i, at, j = todo.pop()
-        low, high = home[j].min(0), home[j].max(0)
-        beyond = np.zeros(len(i), at.dtype)
-        for x, lo, hi in zip(at, low, high, strict=True):
-            d = np.maximum(lo - x, x - hi)
-            np.maximum(d, 0, out=d)
-            d *= d
-            beyond += d
-        use = np.flatnonzero(beyond <= limit + 1e-9)
+        own = home.take(j, axis=0)
+        low, high = own.min(0), own.max(0)
+        beyond = np.maximum(at, low[:, None])
+        np.minimum(beyond, high[:, None], out=beyond)
+        beyond -= at
+        use = np.flatnonzero(np.einsum("ij,ij->j", beyond, beyond) <= limit + 1e-9)
         if not len(use):
             continue
-        if len(use) < len(i):
-            i, at = i[use], at[:, use]
         c = int((high - low).argmax())
         if len(j) <= leaf or high[c] == low[c]:
-            yield i, j
+            yield i[use], j
             continue
-        order = np.argsort(home[j, c], kind="stable")
+        if 2 * len(use) < len(i):  # taking costs more than asking again
+            i, at = i[use], at.take(use, axis=1)
+        order = np.argpartition(own[:, c], len(j) // 2)
         todo += [(i, at, j[order[: len(j) // 2]]), (i, at, j[order[len(j) // 2 :]])]
 
 
@@ -196,7 +198,7 @@ def _chunks(written: DataFrame, chunk: int) -> list[tuple[int, list[list[str]]]]
 
 
 class Chunk:
-    """Vectors of some files: unit vectors, and blocks of the turned ones in single precision (`small`)."""
+    """Unit vectors of some files."""
 
     def __init__(self, files: list[str], dim: int, kind: type, blocks: int) -> None:
         tables = []
@@ -205,17 +207,37 @@ class Chunk:
             with fs.open_input_stream(name) as source:
                 tables.append(pa.ipc.open_file(source.read()).read_all())
         self.ids, self.copies = (np.concatenate([t[c].to_numpy() for t in tables]) for c in ("id", "copies"))
-        self.unit = _unit(np.concatenate([np.frombuffer(x.buffers()[1], kind).reshape(-1, dim) for t in tables for x in t["raw"].chunks]))
-        turned, self.edges = self.unit @ rotation(dim), block_edges(dim, blocks)
-        self.small = [np.ascontiguousarray(turned[:, a:b], np.float32) for a, b in zip(self.edges, self.edges[1:], strict=False)]
+        self.unit, self.edges = np.empty((len(self.ids), dim)), block_edges(dim, blocks)
+        at = 0
+        for raw in (x for t in tables for x in t["raw"].chunks):
+            self.unit[at : at + len(raw)] = _unit(np.frombuffer(raw.buffers()[1], kind, len(raw) * dim).reshape(-1, dim))
+            at += len(raw)
+        self.single: dict[int, np.ndarray] = {}
+        self.whole: dict[int, np.ndarray] = {}
+
+    def small(self, block: int) -> np.ndarray:
+        """A block of the turned vectors in single precision."""
+        if block not in self.single:
+            own = slice(self.edges[block], self.edges[block + 1])
+            self.single[block] = (self.unit @ rotation(self.unit.shape[1])[:, own]).astype(np.float32)
+        return self.single[block]
+
+    def turned(self, rows: np.ndarray, block: int) -> np.ndarray:
+        """A block of some rows in double precision. Many rows are turned once and all together."""
+        own = slice(self.edges[block], self.edges[block + 1])
+        if block not in self.whole and len(rows) < len(self.ids) / 4:
+            return _turn(self.unit[rows], own)
+        if block not in self.whole:
+            self.whole[block] = _turn(self.unit, own)
+        return self.whole[block][rows]
 
-    @cached_property
-    def turned(self) -> np.ndarray:
-        return _turn(self.unit)
+    def apart(self, other: Chunk, x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
+        """Squared distances in a block, in single precision."""
+        d = self.small(block).take(x, axis=0) - other.small(block).take(y, axis=0)
+        return np.einsum("ij,ij->i", d, d)
 
     def near(self, other: Chunk, x: np.ndarray, y: np.ndarray, block: int, limit: float) -> np.ndarray:
-        own = slice(self.edges[block], self.edges[block + 1])
-        return _near(self.turned[x, own], other.turned[y, own]) <= limit
+        return _near(self.turned(x, block), other.turned(y, block)) <= limit
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -227,25 +249,30 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lost(m: int) -> float:
+    """Twice a bound of what single precision takes from a squared distance in m coordinates of vectors no longer than 1."""
+    return 2 * (m + 4) * 2.0**-22
+
+
 def _candidates(visitors: np.ndarray, home: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, PIECE of them or fewer at once: all within the squared distance, and few beyond. Rows are no longer
-    than 1, so that (m + 4) * 2 ** -22 bounds what single precision loses in m coordinates."""
-    m = visitors.shape[1]
-    limit += 2 * (m + 4) * 2.0**-22
+    """Pairs of rows, PIECE of them or fewer at once: all within the squared distance, and few beyond."""
+    limit += _lost(visitors.shape[1])
     square = [np.einsum("ij,ij->i", x, x, dtype=float).astype(np.float32)[:, None] for x in (visitors, home)]
     one = [np.ones_like(x) for x in square]
     left, right = np.hstack([-2 * visitors, square[0], one[0]]), np.hstack([home, one[1], square[1]])
     some: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
+    n, room = 0, np.empty(STEP, np.float32)  # one memory for all products
     for i, j in boxed(visitors, home, limit, JOIN_LEAF):
         for jj in (j[k : k + STEP] for k in range(0, len(j), STEP)):
-            step, there = max(1, STEP // len(jj)), right[jj].T
+            step, there = max(1, STEP // len(jj)), np.ascontiguousarray(right.take(jj, axis=0).T)
             for at in range(0, len(i), step):
                 ii = i[at : at + step]
-                found = np.flatnonzero((left[ii] @ there).ravel() <= np.float32(limit))
-                if len(found):
-                    some.append((ii[found // len(jj)], jj[found % len(jj)]))
-                    n += len(found)
+                apart = np.matmul(left.take(ii, axis=0), there, out=room[: len(ii) * len(jj)].reshape(len(ii), len(jj)))
+                some_near = np.flatnonzero(apart.min(1) <= np.float32(limit))
+                if len(some_near):
+                    p, q = np.nonzero(apart[some_near] <= np.float32(limit))
+                    some.append((ii[some_near[p]], jj[q]))
+                    n += len(p)
                 if n >= PIECE:
                     x, y = (np.concatenate(z) for z in zip(*some, strict=True))
                     yield from ((x[k : k + PIECE], y[k : k + PIECE]) for k in range(0, n, PIECE))
@@ -255,31 +282,37 @@ def _candidates(visitors: np.ndarray, home: np.ndarray, limit: float) -> Iterato
 
 
 class Meeting:
-    """Two chunks, or a chunk and itself: sums of copies linked to each vector, and links to a root for each."""
+    """A chunk that visits chunks at home, of which it may be the first itself: sums of copies linked to each vector, and
+    links to a root for each."""
 
-    def __init__(self, a: Chunk, b: Chunk, cosine: float, limits: np.ndarray) -> None:
-        self.a, self.b, self.cosine, self.limits = a, b, cosine, limits
-        self.shift = 0 if a is b else len(a.ids)
-        self.ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+    def __init__(self, a: Chunk, b: Chunk, within: bool, cosine: float, limits: np.ndarray) -> None:
+        self.a, self.b, self.within, self.cosine, self.limits = a, b, within, cosine, limits
+        self.shift = 0 if within else len(a.ids)
+        self.ids = b.ids if within else np.concatenate([a.ids, b.ids])
         self.n, self.forest = np.zeros(len(self.ids), np.int64), Forest(len(self.ids))
 
     def join(self, block: int) -> None:
         a, b = self.a, self.b
-        for x, y in _candidates(a.small[block], b.small[block], float(self.limits[block])):
+        lost = _lost(a.unit.shape[1])
+        for x, y in _candidates(a.small(block), b.small(block), float(self.limits[block])):
             use = a.ids[x] != b.ids[y]
-            if a is b:
+            if self.within:
                 use &= x < y
             x, y = x[use], y[use]
+            if len(self.limits) > 1:  # two blocks alone may be too far apart
+                use = a.apart(b, x, y, block) + a.apart(b, x, y, (block + 1) % len(self.limits)) <= self.limits.sum() + lost
+                x, y = x[use], y[use]
+            for earlier in range(block):  # what is surely found there
+                use = a.apart(b, x, y, earlier) >= self.limits[earlier] - lost
+                x, y = x[use], y[use]
             use = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= self.cosine
             x, y = x[use], y[use]
-            if len(x):
-                use = a.near(b, x, y, block, self.limits[block])
-                for earlier in range(block):
-                    use &= ~a.near(b, x, y, earlier, self.limits[earlier])
+            for other in range(block, -1, -1):
+                use = a.near(b, x, y, other, self.limits[other]) == (other == block)
                 x, y = x[use], y[use]
-                np.add.at(self.n, x, b.copies[y])
-                np.add.at(self.n, y + self.shift, a.copies[x])
-                self.forest.join(x, y + self.shift)
+            np.add.at(self.n, x, b.copies[y])
+            np.add.at(self.n, y + self.shift, a.copies[x])
+            self.forest.join(x, y + self.shift)
 
     def found(self) -> pa.RecordBatch:
         """(id, root, n): n of linked vectors, without a root; roots of those that aren't their own, without n."""
@@ -290,30 +323,38 @@ class Meeting:
 
 
 def _joined(spark: SparkSession, chunks: list[tuple[int, list[list[str]]]], cosine: float, blocks: int, kind: type) -> DataFrame:
-    """What Meeting.found() gives for each pair of chunks of one length: a row for each pair and block is a task's work."""
-    first = np.cumsum([0] + [len(of) * (len(of) + 1) // 2 * min(blocks, dim) for dim, of in chunks]).tolist()
-    pairs = sum(len(of) * (len(of) + 1) // 2 for _, of in chunks)
-
-    def meeting(row: int) -> tuple[tuple[int, int, int], int]:
-        """((place in chunks, numbers of two chunks), block)"""
+    """What Meeting.found() gives, for each chunk and each HOMES chunks of its length that don't all come before it. A visit in a
+    block is a row of the join."""
+    visits = []
+    for _, of in chunks:
+        last = (len(of) - 1) // HOMES
+        visits.append(HOMES * last * (last + 1) // 2 + len(of))
+    first = np.cumsum([0] + [n * min(blocks, dim) for n, (dim, _) in zip(visits, chunks, strict=True)]).tolist()
+
+    def visit(row: int) -> tuple[tuple[int, int, range], int]:
+        """((place in chunks, number of the visitor, numbers of those at home), block)"""
         k = int(np.searchsorted(first, row, "right")) - 1
-        pair, block = divmod(row - first[k], min(blocks, chunks[k][0]))
-        i = (isqrt(8 * pair + 1) - 1) // 2
-        return (k, i, pair - i * (i + 1) // 2), block
+        n, block = divmod(row - first[k], min(blocks, chunks[k][0]))
+        group = (isqrt(8 * (n // HOMES) + 1) - 1) // 2
+        visitor = n - HOMES * group * (group + 1) // 2
+        return (k, visitor, range(max(HOMES * group, visitor), min(HOMES * (group + 1), len(chunks[k][1])))), block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("embeddings")
-        held: dict[tuple[int, int], Chunk] = {}
-        rows = (meeting(x) for batch in batches for x in batch.column(0).to_pylist())
-        for (k, i, j), of in groupby(rows, key=lambda x: x[0]):
+        at, home = None, None
+        rows = (visit(x) for batch in batches for x in batch.column(0).to_pylist())
+        for (k, visitor, numbers), of in groupby(rows, key=lambda x: x[0]):
             dim, files = chunks[k]
-            held = {x: held.get(x) or Chunk(files[x[1]], dim, kind, blocks) for x in {(k, i), (k, j)}}
-            met = Meeting(held[k, i], held[k, j], cosine, budgets(dim, cosine, blocks))
+            if at != (k, numbers):
+                at, home = None, None  # freed before the next are read
+                home = Chunk([x for n in numbers for x in files[n]], dim, kind, blocks)
+                at = k, numbers
+            met = Meeting(Chunk(files[visitor], dim, kind, blocks), home, visitor in numbers, cosine, budgets(dim, cosine, blocks))
             for _, block in of:
                 met.join(block)
             yield met.found()
 
-    return spark.range(0, first[-1], 1, max(1, min(first[-1], max(FEW_TASKS, pairs), MOST_TASKS))).mapInArrow(run, "id long, root long, n long")
+    return spark.range(0, first[-1], 1, max(1, min(first[-1], max(FEW_TASKS, sum(visits)), MOST_TASKS))).mapInArrow(run, "id long, root long, n long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
@@ -325,10 +366,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     of their own and share its component. Equal vectors are one class with a count from the start; rows find their
     class by SHA-256.
 
-    Vectors are cut into chunks as they come. A task has two chunks in memory, and returns counts and a link to a root for
-    each vector, never pairs. On disk each vector is once in a shuffle and once in a file, however many chunks there are.
-    The rotation spreads a threshold over all blocks, so the join is exact for any data. How many pairs its boxes leave
-    to compare depends on the data, and the pairs of chunks grow with the square of their number: see README.
+    Vectors are cut into chunks as they come. A task has HOMES chunks and a visitor in memory, and returns counts and a
+    link to a root for each vector, never pairs. On disk each vector is once in a shuffle and once in a file, however many
+    chunks there are. The rotation spreads a threshold over all blocks, so the join is exact for any data. How many pairs
+    its boxes leave to compare depends on the data, and visits grow with the square of the number of chunks: see README.
     """
     spark = vectors.sparkSession
     small_batches(spark)

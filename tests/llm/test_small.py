@@ -328,6 +328,18 @@ def test_vectors_are_on_disk_a_few_times(spark, monkeypatch):
         assert most.pop() - before < 3 * x.nbytes
 
 
+def test_pairs_of_a_close_group_count_once(spark):
+    """Half of the pairs are links, most of them within the budget of several blocks; chunks are visited from others and from within."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal(64) / 8 + 0.0305 * rng.standard_normal((400, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    assert 0.2 < linked.mean() < 0.9
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(rows, chunk=30).collect()}
+    assert got == dict(enumerate((linked.sum(1) - 1).tolist()))
+
+
 def test_boxes_lose_no_pair_and_compare_few():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 8)) / 8
